@@ -51,6 +51,13 @@ def rate(numerator: Column, denominator: Column, default: float | None = None) -
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Round the binary value, ties to even. ``bround`` would round its shortest
+    decimal spelling instead, which differs where the two lie on either side of a tie."""
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale
+
+
 def short_hash(text: Column, length: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
 

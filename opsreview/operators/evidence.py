@@ -234,8 +234,12 @@ def unsupported_refs(tables: Tables, refs: DataFrame) -> DataFrame:
             ).alias("source_id")
         ),
     }
-    missing = None
-    for kind, known in ids.items():
-        part = refs.where(F.col("source_type") == kind).join(known, "source_id", "left_anti").select(*COLUMNS)
-        missing = part if missing is None else missing.unionByName(part)
-    return missing
+    known = None
+    for kind, id_column in ids.items():
+        part = id_column.select(F.lit(kind).alias("source_type"), "source_id")
+        known = part if known is None else known.unionByName(part)
+    return (
+        refs.where(F.col("source_type").isin(*ids))
+        .join(known, ["source_type", "source_id"], "left_anti")
+        .select(*COLUMNS)
+    )

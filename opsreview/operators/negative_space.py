@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsreview.config import NegativeSpaceConfig
-from opsreview.functions.expr import hours_between, severity_at_least
+from opsreview.functions.expr import hours_between, round_half_even, severity_at_least
 from opsreview.sources.tables import Tables
 
 COLUMNS = (
@@ -99,7 +99,7 @@ def vanished_telemetry(tables: Tables, config: NegativeSpaceConfig) -> DataFrame
         F.col("criticality").alias("asset_criticality"),
         "expected_telemetry",
         "baseline_observation_count",
-        F.bround(silence, 3).alias("silence_hours"),
+        round_half_even(silence, 3).alias("silence_hours"),
         F.format_string(
             "Asset %s reported in %d periods and then no more until the end of the data.", "asset_id", n
         ).alias("summary"),

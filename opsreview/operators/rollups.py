@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsreview import vocab as V
-from opsreview.functions.expr import lookup, rate, seconds_between
+from opsreview.functions.expr import lookup, rate, round_half_even, seconds_between
 from opsreview.sources.tables import Tables
 
 PERIOD = ("entity_id", "period_start", "period_end")
@@ -173,7 +173,7 @@ def kpi_rollup(tables: Tables, periods: DataFrame) -> DataFrame:
     measured = periods.select(*PERIOD).join(counted, list(PERIOD), "left").na.fill(0)
 
     def kpi(name: str, top: F.Column, bottom: str, default: float) -> F.Column:
-        return F.bround(rate(top, F.col(bottom), default), 4).alias(name)
+        return round_half_even(rate(top, F.col(bottom), default), 4).alias(name)
 
     c = F.col
     return measured.select(

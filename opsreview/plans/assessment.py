@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from opsreview.operators import (
     sequences,
     trend,
 )
+from opsreview.operators.rollups import latest_metrics
 from opsreview.session import write_through
 from opsreview.sources.tables import Tables
 
@@ -89,6 +90,8 @@ def assess(
     shared; so is the findings table, the product of the run.
     """
     scoped = tables.scoped(entity_ids)
+    kpis = write_through(latest_metrics(scoped.performance_metrics), "kpis")
+    scoped = replace(scoped, performance_metrics=kpis)
     records = sequences.investigation_records(scoped, config.sequences)
     features = forest.model_rows(scoped)
     detected = detect_all(scoped, config, records, features)
