@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,9 +154,11 @@ def kpi_rollup(tables: Tables, periods: DataFrame) -> DataFrame:
     acked = F.col("acknowledged_at").isNotNull()
     in_time = seconds_between("created_at", "acknowledged_at") / 60.0 <= lookup(V.SLA_MINUTES, "severity")
     confirmed = F.col("is_true_positive").eqNullSafe(True)
-    evidence = F.least(
-        F.lit(1.0), rate(F.col("evidence_count"), lookup(V.EXPECTED_EVIDENCE, "severity"))
-    )
+    # min(1, evidence / expected) in whole parts of a common denominator, so that the
+    # sum is exact and does not depend on the order of rows.
+    parts = math.lcm(*V.EXPECTED_EVIDENCE.values())
+    share = {severity: parts // n for severity, n in V.EXPECTED_EVIDENCE.items()}
+    evidence = F.least(F.col("evidence_count"), lookup(V.EXPECTED_EVIDENCE, "severity")) * lookup(share, "severity")
     has_key = F.coalesce(F.col("recurrence_key"), F.lit("")) != ""
     counted = alerts.groupBy(*PERIOD).agg(
         F.count("*").alias("alerts"),
@@ -185,7 +189,7 @@ def kpi_rollup(tables: Tables, periods: DataFrame) -> DataFrame:
         kpi("investigation_completeness", c("full_workflow"), "closed", 1.0),
         kpi("recurrence_rate", c("recurring"), "alerts", 0.0),
         kpi("remediation_rate", c("remediated"), "confirmed", 1.0),
-        kpi("evidence_completeness", c("evidence"), "closed", 1.0),
+        kpi("evidence_completeness", c("evidence") / float(parts), "closed", 1.0),
     )
 
 

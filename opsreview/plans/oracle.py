@@ -124,8 +124,9 @@ _CTE: dict[str, str] = {
         round_even(coalesce(count(*) FILTER (i.status = 'CLOSED' AND i.full_flow)::DOUBLE / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 1), 4) AS investigation_completeness,
         round_even(coalesce(count(a.recurrence_key)::DOUBLE / nullif(count(a.alert_id), 0), 0), 4) AS recurrence_rate,
         round_even(coalesce(count(*) FILTER (a.is_true_positive AND i.has_rem)::DOUBLE / nullif(count(*) FILTER (a.is_true_positive), 0), 1), 4) AS remediation_rate,
-        round_even(coalesce(avg(least(1.0::DOUBLE, i.evidence_count::DOUBLE / CASE a.severity WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 4 WHEN 'HIGH' THEN 6 ELSE 8 END))
-            FILTER (i.status = 'CLOSED'), 1), 4) AS evidence_completeness
+        round_even(coalesce(sum(least(i.evidence_count, CASE a.severity WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 4 WHEN 'HIGH' THEN 6 ELSE 8 END)
+            * CASE a.severity WHEN 'LOW' THEN 12 WHEN 'MEDIUM' THEN 6 WHEN 'HIGH' THEN 4 ELSE 3 END) FILTER (i.status = 'CLOSED')::DOUBLE / 24
+            / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 1), 4) AS evidence_completeness
         FROM quarters q LEFT JOIN alerts a ON a.entity_id = q.entity_id AND q.period_start <= a.created_at AND a.created_at < q.period_end
         LEFT JOIN inv_facts i ON i.alert_id = a.alert_id GROUP BY q.entity_id, q.period_start, q.period_end""",
     "remediated": """SELECT alert_id FROM remediations WHERE status = 'COMPLETED' AND alert_id IS NOT NULL
