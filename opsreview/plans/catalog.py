@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsreview import vocab as V
 from opsreview.config import (
     AssessmentConfig,
     DivergenceConfig,
@@ -16,9 +17,10 @@ from opsreview.config import (
     PeerConfig,
     SequenceConfig,
 )
-from opsreview import vocab as V
 from opsreview.functions.expr import action_names, period_label
 from opsreview.operators import (
+    audit,
+    evaluate,
     evidence,
     execution_gap,
     findings,
@@ -28,9 +30,11 @@ from opsreview.operators import (
     queue,
     sequences,
     trend,
+    validate,
 )
 from opsreview.operators.rollups import latest_metrics, period_features
 from opsreview.plans.assessment import assess
+from opsreview.schemas import DATASETS
 from opsreview.session import write_through
 from opsreview.sources import demo
 from opsreview.sources.tables import Tables
@@ -423,6 +427,127 @@ def queue_of_entity(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.select("queue_id", "finding_key", "priority", "status")
 
 
+# --- Ingestion -------------------------------------------------------------------------------
+
+
+def raw_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders spelled as uploaded alert rows, with faults wherever an order's own
+    attributes do not fit the alert dataset."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    key, price, status = F.col("o_orderkey").cast("string"), F.col("o_totalprice"), F.col("o_orderstatus")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return orders.select(
+        (F.col("o_orderkey") + 1).alias("_row"),
+        F.when(price > 480000.0, F.concat(F.lit("ALR-"), F.col("o_custkey").cast("string")))
+        .when(price < 4000.0, F.concat(F.lit("ALERT/"), key))
+        .otherwise(F.concat(F.lit("ALR-"), key)).alias("alert_id"),
+        F.when(price < 8000.0, "ENT-99").when(price > 495000.0, " ").otherwise("ENT-07").alias("entity_id"),
+        F.concat(F.lit("AST-"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("asset_id"),
+        F.concat(F.lit(" "), F.lower(F.regexp_extract("o_orderpriority", "-(.*)$", 1)), F.lit("\t")).alias("severity"),
+        F.when(status == "F", "Malware").when(status == "O", "").otherwise("PHISHING").alias("category"),
+        F.lit("ENDPOINT").alias("detection_source"),
+        F.when(status == "F", "closed").when(status == "O", "ACKNOWLEDGED").otherwise("In_Investigation").alias("status"),
+        F.when(price > 490000.0, "yesterday").when(status == "F", F.concat(day, F.lit("T10:00:00Z")))
+        .when(status == "O", F.concat(day, F.lit(" 10:00"))).otherwise(F.concat(day, F.lit("T12:00:00.250+02:00"))).alias("created_at"),
+        F.when(price < 20000.0, F.concat(day, F.lit("T09:59:59z"))).when(price < 300000.0, F.concat(day, F.lit("T10:00:00.5Z"))).alias("acknowledged_at"),
+        F.when(price >= 100000.0, "yes").when(price >= 50000.0, "N").when(price >= 40000.0, "maybe").otherwise("").alias("is_true_positive"),
+    )
+
+
+def raw_telemetry(spark: SparkSession, folder: str) -> DataFrame:
+    """Events spelled as uploaded telemetry rows in various number formats."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    kind, k = F.col("event_type"), F.regexp_extract("props", "[0-9]+", 0)
+    start = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return events.select(
+        (F.col("event_id") + 1).alias("_row"),
+        F.concat(F.lit("TLM-"), F.col("event_id").cast("string")).alias("telemetry_id"),
+        F.lit("ENT-01").alias("entity_id"),
+        F.concat(F.lit("AST-"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("asset_id"),
+        start.alias("period_start"),
+        start.alias("period_end"),
+        F.lit("DNS").alias("category"),
+        F.when(kind == "click", F.concat(k, F.lit(".0"))).when(kind == "view", F.concat(k, F.lit(".5")))
+        .when(kind == "error", F.concat(F.lit("-1"), k)).when(kind == "signup", "n/a").otherwise(F.concat(k, F.lit("e2"))).alias("event_count"),
+        F.when(kind == "click", "NaN").when(kind == "view", F.concat(F.lit("-"), F.lit("0.5"))).when(kind == "error", "inf")
+        .otherwise(F.col("value").cast("decimal(12,2)").cast("string")).alias("activity_level"),
+        F.lit("HEALTHY").alias("source_status"),
+        F.when(kind == "view", "T").when(kind == "click", "0").when(kind == "error", "oui").otherwise("TRUE").alias("expected"),
+    )
+
+
+def _typed(rows: DataFrame, dataset_type: str) -> DataFrame:
+    return write_through(validate.check_cells(rows, DATASETS[dataset_type]), "typed-rows")
+
+
+def _alert_issues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    tables = demo.load(spark, folder)
+    typed = _typed(raw_alerts(spark, folder), "alerts")
+    references = {"entities": tables.entities, "assets": tables.assets}
+    stored = tables.alerts.where("status = 'IN_INVESTIGATION'").withColumn(
+        "alert_id", F.regexp_replace("alert_id", "^ALR-0*(?=[0-9])", "ALR-")
+    )
+    return typed, validate.row_issues(typed, DATASETS["alerts"], references, stored)
+
+
+@query
+def ingest_alert_issues(spark: SparkSession, folder: str) -> DataFrame:
+    return _alert_issues(spark, folder)[1].select("row", "field", "code", "severity")
+
+
+@query
+def ingest_alert_report(spark: SparkSession, folder: str) -> DataFrame:
+    issues = _alert_issues(spark, folder)[1]
+    return issues.groupBy("code", "severity").agg(
+        F.count("*").alias("errors"), F.countDistinct("row").alias("rejected_rows")
+    )
+
+
+@query
+def ingest_alert_accepted(spark: SparkSession, folder: str) -> DataFrame:
+    typed, issues = _alert_issues(spark, folder)
+    bad = issues.select(F.col("row").alias("_row")).distinct()
+    return typed.join(bad, "_row", "left_anti").select(
+        F.col("_row").alias("row"), "alert_id", "severity", "category", "status", "is_true_positive"
+    )
+
+
+@query
+def ingest_telemetry_issues(spark: SparkSession, folder: str) -> DataFrame:
+    typed = _typed(raw_telemetry(spark, folder), "telemetry")
+    return validate.row_issues(typed, DATASETS["telemetry"]).select("row", "field", "code", "severity")
+
+
+@query
+def ingest_telemetry_values(spark: SparkSession, folder: str) -> DataFrame:
+    typed = _typed(raw_telemetry(spark, folder), "telemetry")
+    return typed.select(F.col("_row").alias("row"), "event_count", "activity_level", "expected")
+
+
+# --- Audits and evaluation -----------------------------------------------------------------------
+
+
+@query
+def dataset_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(demo.load(spark, folder))
+
+
+@query
+def scenario_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    region = F.col("n_regionkey")
+    scenario = (
+        F.when(region == 0, "CRITICAL_ALERT_WITHOUT_ESCALATION").when(region == 1, "TELEMETRY_DISAPPEARANCE")
+        .when(region == 2, "SUSPICIOUSLY_FAST_INVESTIGATION").when(region == 3, "METRIC_RISK_DIVERGENCE")
+        .otherwise("NORMAL_BASELINE")
+    )
+    planted = spark.read.parquet(f"{folder}/nation.parquet").select(
+        scenario.alias("scenario_type"),
+        F.concat(F.lit("ENT-"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("entity_id"),
+        F.lit(None).cast("string").alias("expected_detection_category"),
+    )
+    return evaluate.evaluate(planted, _findings(spark, folder))
+
+
 # --- Whole runs and listings -----------------------------------------------------------------
 
 

@@ -312,6 +312,31 @@ _CTE: dict[str, str] = {
     "judged": """SELECT queue_id, new_status, CASE WHEN status IS NULL THEN 'NOT_FOUND'
         WHEN status || '>' || new_status IN ('OPEN>IN_REVIEW', 'OPEN>REVIEWED', 'OPEN>DISMISSED', 'IN_REVIEW>REVIEWED', 'IN_REVIEW>OPEN', 'REVIEWED>OPEN', 'DISMISSED>OPEN')
         THEN 'APPLIED' ELSE 'INVALID_TRANSITION' END AS result FROM moves""",
+    # --- ingestion ------------------------------------------------------------------
+    "raw_alerts": """SELECT o_orderkey + 1 AS row, o_custkey,
+        CASE WHEN o_totalprice > 480000 THEN 'ALR-' || o_custkey::VARCHAR WHEN o_totalprice < 4000 THEN 'ALERT/' || o_orderkey::VARCHAR ELSE 'ALR-' || o_orderkey::VARCHAR END AS alert_id,
+        CASE WHEN o_totalprice < 8000 THEN 'ENT-99' WHEN o_totalprice > 495000 THEN NULL ELSE 'ENT-07' END AS entity_id,
+        upper(split_part(o_orderpriority, '-', 2)) AS severity, o_orderstatus AS st, o_totalprice AS p FROM orders""",
+    "alert_issues": """SELECT row, 'alert_id' AS field, 'invalid_identifier_format' AS code FROM raw_alerts WHERE p < 4000
+        UNION ALL SELECT row, 'entity_id', 'missing_required_value' FROM raw_alerts WHERE entity_id IS NULL
+        UNION ALL SELECT row, 'entity_id', 'missing_reference' FROM raw_alerts WHERE entity_id = 'ENT-99'
+        UNION ALL SELECT row, 'severity', 'invalid_enum_value' FROM raw_alerts WHERE severity IN ('URGENT', 'NOT SPECIFIED')
+        UNION ALL SELECT row, 'category', 'missing_required_value' FROM raw_alerts WHERE st = 'O'
+        UNION ALL SELECT row, 'created_at', 'invalid_timestamp' FROM raw_alerts WHERE p > 490000
+        UNION ALL SELECT row, 'created_at', 'naive_timestamp' FROM raw_alerts WHERE p <= 490000 AND st = 'O'
+        UNION ALL SELECT row, 'acknowledged_at', 'temporal_order' FROM raw_alerts WHERE p < 20000 AND st <> 'O'
+        UNION ALL SELECT row, 'is_true_positive', 'invalid_field_type' FROM raw_alerts WHERE p >= 40000 AND p < 50000
+        UNION ALL SELECT row, 'alert_id', 'duplicate_identifier' FROM (SELECT row, row_number() OVER (PARTITION BY alert_id ORDER BY row) AS place FROM raw_alerts) WHERE place > 1
+        UNION ALL SELECT row, 'alert_id', 'duplicate_identifier' FROM raw_alerts WHERE alert_id IN (SELECT 'ALR-' || o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'P')
+        UNION ALL SELECT row, 'asset_id', 'missing_reference' FROM raw_alerts WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    "raw_telemetry": """SELECT event_id + 1 AS row, event_type AS kind, regexp_extract(props, '[0-9]+') AS k, value FROM events""",
+    # --- audits -----------------------------------------------------------------------
+    "spans": """SELECT investigation_id, sequence_number, count(*) AS n, min(occurred_at) AS f, max(occurred_at) AS t,
+        lag(max(occurred_at)) OVER (PARTITION BY investigation_id ORDER BY sequence_number) AS before FROM actions GROUP BY investigation_id, sequence_number""",
+    "ground": """SELECT CASE n_regionkey WHEN 0 THEN 'CRITICAL_ALERT_WITHOUT_ESCALATION' WHEN 1 THEN 'TELEMETRY_DISAPPEARANCE' WHEN 2 THEN 'SUSPICIOUSLY_FAST_INVESTIGATION'
+        WHEN 3 THEN 'METRIC_RISK_DIVERGENCE' ELSE 'NORMAL_BASELINE' END AS scenario_type,
+        CASE n_regionkey WHEN 0 THEN 'ESCALATION_GAP' WHEN 1 THEN 'TELEMETRY_DISAPPEARANCE' WHEN 2 THEN 'INVESTIGATION_QUALITY' WHEN 3 THEN 'METRIC_RISK_DIVERGENCE' ELSE 'NONE' END AS expected,
+        'ENT-' || lpad(n_nationkey::VARCHAR, 2, '0') AS entity_id FROM nation""",
 }
 
 _NAMES = re.compile(r"\b(" + "|".join(_CTE) + r")\b")
@@ -392,5 +417,72 @@ _QUERIES: dict[str, str] = {
 }
 
 
+def _number(check: str, sql: str) -> str:
+    return f"SELECT '{check}' AS \"check\", ({sql})::BIGINT AS violations"
+
+
+_AUDIT = [
+    _number(f"{name}: key unique", f"SELECT count(*) - count(DISTINCT {key}) FROM {cte}")
+    for name, cte, key in (
+        ("entities", "entities", "entity_id"), ("assets", "assets", "asset_id"), ("alerts", "alerts", "alert_id"),
+        ("investigations", "investigations", "investigation_id"), ("investigation_actions", "actions", "action_id"),
+        ("escalations", "escalations", "escalation_id"), ("remediations", "remediations", "remediation_id"),
+        ("telemetry", "telemetry", "telemetry_id"), ("performance_metrics", "kpi", "metric_id"),
+    )
+] + [
+    _number(f"{name}: {col} exists", f"SELECT count(*) FROM {cte} WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT {col} FROM {parent})")
+    for name, cte, col, parent in (
+        ("assets", "assets", "entity_id", "entities"), ("alerts", "alerts", "entity_id", "entities"), ("alerts", "alerts", "asset_id", "assets"),
+        ("investigations", "investigations", "alert_id", "alerts"), ("investigations", "investigations", "entity_id", "entities"),
+        ("investigation_actions", "actions", "investigation_id", "investigations"),
+        ("escalations", "escalations", "alert_id", "alerts"), ("escalations", "escalations", "investigation_id", "investigations"),
+        ("remediations", "remediations", "alert_id", "alerts"), ("remediations", "remediations", "investigation_id", "investigations"),
+        ("telemetry", "telemetry", "entity_id", "entities"), ("telemetry", "telemetry", "asset_id", "assets"),
+        ("performance_metrics", "kpi", "entity_id", "entities"),
+    )
+] + [
+    _number(f"{name}: {later} not before {earlier}", f"SELECT count(*) FROM {cte} WHERE {later} < {earlier}")
+    for name, cte, earlier, later in (
+        ("entities", "entities", "data_period_start", "data_period_end"), ("alerts", "alerts", "created_at", "acknowledged_at"),
+        ("alerts", "alerts", "created_at", "closed_at"), ("investigations", "investigations", "started_at", "ended_at"),
+        ("escalations", "escalations", "created_at", "resolved_at"), ("remediations", "remediations", "created_at", "completed_at"),
+        ("telemetry", "telemetry", "period_start", "period_end"), ("performance_metrics", "kpi", "period_start", "period_end"),
+    )
+] + [
+    _number("investigations: alert_id unique", "SELECT count(*) - count(DISTINCT alert_id) FROM investigations"),
+    _number("performance_metrics: one row per period", "SELECT count(*) - count(DISTINCT (entity_id, period_start)) FROM kpi"),
+    _number("investigation_actions: numbers run 1..n", "SELECT count(*) FROM (SELECT investigation_id FROM spans GROUP BY investigation_id HAVING NOT (min(sequence_number) = 1 AND max(sequence_number) = sum(n) AND count(*) = sum(n)))"),
+    _number("investigation_actions: time does not go back", "SELECT count(*) FROM spans WHERE f < before"),
+    _number("investigation_actions: within the investigation", "SELECT count(*) FROM actions a JOIN investigations i ON a.investigation_id = i.investigation_id WHERE occurred_at < started_at OR occurred_at > ended_at"),
+    _number("assets: severe ones are monitored", "SELECT count(*) FROM assets WHERE criticality IN ('HIGH', 'CRITICAL') AND (NOT monitoring_expected OR expected_telemetry IS NULL)"),
+    _number("telemetry: only of monitored assets", "SELECT count(*) FROM telemetry WHERE asset_id NOT IN (SELECT asset_id FROM assets WHERE monitoring_expected)"),
+]
+
+_severity = "CASE WHEN code = 'invalid_field_type' THEN 'structural' ELSE 'semantic' END"
+_QUERIES |= {
+    "ingest_alert_issues": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
+    "ingest_alert_report": f"SELECT code, {_severity} AS severity, count(*) AS errors, count(DISTINCT row) AS rejected_rows FROM alert_issues GROUP BY code",
+    "ingest_alert_accepted": """SELECT row, alert_id, severity, CASE st WHEN 'F' THEN 'MALWARE' ELSE 'PHISHING' END AS category,
+        CASE st WHEN 'F' THEN 'CLOSED' ELSE 'IN_INVESTIGATION' END AS status, CASE WHEN p >= 100000 THEN TRUE WHEN p >= 50000 THEN FALSE END AS is_true_positive
+        FROM raw_alerts WHERE row NOT IN (SELECT row FROM alert_issues)""",
+    "ingest_telemetry_issues": f"""SELECT row, field, code, {_severity} AS severity FROM (
+        SELECT row, 'event_count' AS field, 'invalid_field_type' AS code FROM raw_telemetry WHERE kind IN ('view', 'signup')
+        UNION ALL SELECT row, 'event_count', 'negative_value' FROM raw_telemetry WHERE kind = 'error'
+        UNION ALL SELECT row, 'activity_level', 'invalid_field_type' FROM raw_telemetry WHERE kind IN ('click', 'error')
+        UNION ALL SELECT row, 'activity_level', 'negative_value' FROM raw_telemetry WHERE kind = 'view' OR (kind IN ('signup', 'purchase') AND value < 0)
+        UNION ALL SELECT row, 'expected', 'invalid_field_type' FROM raw_telemetry WHERE kind = 'error')""",
+    "ingest_telemetry_values": """SELECT row, CASE kind WHEN 'click' THEN k::BIGINT WHEN 'error' THEN -('1' || k)::BIGINT WHEN 'purchase' THEN k::BIGINT * 100 END AS event_count,
+        CASE WHEN kind = 'view' THEN -0.5::DOUBLE WHEN kind IN ('signup', 'purchase') THEN round(value, 2) END AS activity_level,
+        CASE WHEN kind IN ('view', 'signup', 'purchase') THEN TRUE WHEN kind = 'click' THEN FALSE END AS expected FROM raw_telemetry""",
+    "dataset_audit": " UNION ALL ".join(_AUDIT),
+    "scenario_evaluation": """SELECT scenario_type, expected, count(*) AS planted, count(*) FILTER (hit) AS hits,
+        CASE WHEN expected = 'NONE' AND count(*) FILTER (hit) = 0 THEN 'CONTROL_CLEAN' WHEN expected = 'NONE' THEN 'CONTROL_FLAGGED'
+          WHEN count(*) FILTER (hit) > 0 THEN 'DETECTED' ELSE 'MISSED' END AS verdict FROM (
+        SELECT g.*, EXISTS (SELECT 1 FROM findings f WHERE f.entity_id = g.entity_id AND CASE expected WHEN 'ESCALATION_GAP' THEN finding_type = 'CRITICAL_ALERT_NO_ESCALATION'
+          WHEN 'TELEMETRY_DISAPPEARANCE' THEN finding_type = 'TELEMETRY_CONTINUITY_GAP' WHEN 'METRIC_RISK_DIVERGENCE' THEN finding_type = 'METRIC_RISK_DIVERGENCE'
+          WHEN 'NONE' THEN finding_type = 'REPETITIVE_WORKFLOW' ELSE TRUE END) AS hit FROM ground g) GROUP BY scenario_type, expected""",
+}
+
+
 def statements() -> dict[str, str]:
     return {name: _with(sql) for name, sql in _QUERIES.items()}
