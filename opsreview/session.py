@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="opsreview-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -41,8 +41,11 @@ def write_through(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     This cuts the lineage, so a lost executor costs a re-read rather than a
-    recomputation, and it fixes values that depend on how the job was split.
+    recomputation, and it fixes values that depend on how the job was split. All
+    tables of an application lie in one folder, to be dropped when it is done.
     """
-    path = f"{shared_folder(df.sparkSession)}/opsreview/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    run = f"{shared_folder(spark)}/opsreview-{spark.sparkContext.applicationId}"
+    path = f"{run}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
