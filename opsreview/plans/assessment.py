@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -91,7 +91,7 @@ def assess(
     """
     scoped = tables.scoped(entity_ids)
     kpis = write_through(latest_metrics(scoped.performance_metrics), "kpis")
-    scoped = replace(scoped, performance_metrics=kpis)
+    scoped = scoped.replace(performance_metrics=kpis)
     records = sequences.investigation_records(scoped, config.sequences)
     features = forest.model_rows(scoped)
     detected = detect_all(scoped, config, records, features)

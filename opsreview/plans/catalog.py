@@ -283,7 +283,7 @@ def _detected(spark: SparkSession, folder: str) -> tuple[Tables, DataFrame, dict
     """Everything but the forest, whose random splits have no SQL counterpart."""
     tables = demo.load(spark, folder)
     kpis = write_through(latest_metrics(tables.performance_metrics), "kpis")
-    tables = Tables(**{**tables.items(), "performance_metrics": kpis})
+    tables = tables.replace(performance_metrics=kpis)
     records = sequences.investigation_records(tables, CONFIG.sequences)
     return tables, records, {
         "execution_gap": execution_gap.detect(tables, CONFIG.execution_gap),

@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsreview.schemas import DATASETS
+
+NAMES = tuple(DATASETS)
+_WITH_ENTITY = tuple(n for n, d in DATASETS.items() if any(f.name == "entity_id" for f in d.fields))
+
 
-@dataclass(frozen=True)
 class Tables:
-    entities: DataFrame
-    assets: DataFrame
-    alerts: DataFrame
-    investigations: DataFrame
-    investigation_actions: DataFrame
-    escalations: DataFrame
-    remediations: DataFrame
-    telemetry: DataFrame
-    performance_metrics: DataFrame
+    """Tables by name. A source may be a function; it is called on first use, so a
+    query builds only the tables it reads."""
+
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]) -> None:
+        missing = set(NAMES) - set(sources)
+        if missing or set(sources) - set(NAMES):
+            raise ValueError(f"tables must be exactly {NAMES}")
+        self._sources = dict(sources)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._sources:
+            raise AttributeError(name)
+        source = self._sources[name]
+        if not isinstance(source, DataFrame):
+            source = self._sources[name] = source()
+        return source
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Tables:
         """Read ``<folder>/<table>`` Parquet folders."""
-        return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
+        return cls(**{n: (lambda n=n: spark.read.parquet(f"{folder}/{n}")) for n in NAMES})
 
     def items(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {n: getattr(self, n) for n in NAMES}
+
+    def replace(self, **changed: DataFrame | Callable[[], DataFrame]) -> Tables:
+        return Tables(**{n: changed.get(n, lambda n=n: getattr(self, n)) for n in NAMES})
 
     def scoped(self, entity_ids: Iterable[str] | DataFrame | None) -> Tables:
         """Restrict to some entities: ``None`` keeps all, an empty list keeps none.
@@ -40,9 +53,13 @@ class Tables:
             return self
         if isinstance(entity_ids, DataFrame):
             ids = entity_ids.select("entity_id")
-            limit = lambda df: df.join(ids, "entity_id", "left_semi")
+
+            def limit(df: DataFrame) -> DataFrame:
+                return df.join(ids, "entity_id", "left_semi")
         else:
             wanted = list(entity_ids)
-            limit = lambda df: df.where(F.col("entity_id").isin(wanted) if wanted else F.lit(False))
-        own = ("entities", "assets", "alerts", "investigations", "telemetry", "performance_metrics")
-        return replace(self, **{name: limit(getattr(self, name)) for name in own})
+
+            def limit(df: DataFrame) -> DataFrame:
+                return df.where(F.col("entity_id").isin(wanted) if wanted else F.lit(False))
+
+        return self.replace(**{n: (lambda n=n: limit(getattr(self, n))) for n in _WITH_ENTITY})

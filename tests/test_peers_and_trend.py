@@ -64,7 +64,7 @@ def test_newest_row_of_a_period_wins(spark):
     t = _peer_world(spark, [0.5, 0.5, 0.5])
     extra = world(spark, performance_metrics=[dict(metric_id="PMET-9", entity_id="ENT-02", closure_rate=0.9)])
     both = t.performance_metrics.unionByName(extra.performance_metrics)
-    found = peers.detect(type(t)(**{**t.items(), "performance_metrics": both}))
+    found = peers.detect(t.replace(performance_metrics=both))
     assert keys(found) == ["PB-001:ENT-02:2024-01:closure_rate"]
 
 

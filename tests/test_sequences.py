@@ -136,7 +136,7 @@ def test_missing_action(spark):
 def test_outside_every_period_is_left_out(spark):
     t = _world(spark, ["OPEN CLOSE"], severity="HIGH", status="CLOSED")
     moved = t.investigations.withColumn("started_at", F.lit(month(6)))
-    t = type(t)(**{**t.items(), "investigations": moved})
+    t = t.replace(investigations=moved)
     assert sq.investigation_records(t).count() == 0
 
 
