@@ -61,6 +61,9 @@ class AnomalyConfig:
                 "max_samples must be 'auto' or an int >= 1",
             )
 
+        # The grown trees travel to every task, so their number of nodes is bounded.
+        _require(self.n_estimators * self.sample_size <= 1_000_000, "n_estimators x max_samples must be <= 1,000,000")
+
     @property
     def sample_size(self) -> int:
         return 256 if self.max_samples == "auto" else int(self.max_samples)

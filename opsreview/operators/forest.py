@@ -51,29 +51,44 @@ def status(tables_or_features: DataFrame, config: AnomalyConfig = AnomalyConfig(
     )
 
 
-def notable_features(features: DataFrame) -> DataFrame:
-    """Per complete row the three features farthest from their median, by IQR."""
-    rows = features.where("complete")
-    values = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in FEATURES]))
-    long = rows.select("entity_id", "period_start", values.alias("f")).select("entity_id", "period_start", "f.*")
+def _feature_marks(features: DataFrame) -> F.Column:
+    """Median and spread of each feature over the complete rows, as one map value."""
+    values = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in FEATURES])
+    long = features.where("complete").select(F.explode(values).alias("f")).select("f.*")
     marks = exact_quantiles(long, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "feature-quantiles")
-    iqr = F.col("q3") - F.col("q1")
-    gap = F.abs(F.col("value") - F.col("median")) / F.when(iqr > 0, iqr).otherwise(F.lit(1.0))
-    ranked = F.array_sort(
-        F.collect_list(F.struct((-gap).alias("order"), F.col("feature"), F.col("value"), F.col("median")))
-    )
+    spread = F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1")).otherwise(F.lit(1.0))
+    entries = F.collect_list(F.struct("feature", F.struct("median", spread.alias("spread"))))
+    return marks.agg(F.map_from_entries(entries)).scalar()
+
+
+def _with_notable(rows: DataFrame, marks: F.Column) -> DataFrame:
+    def entry(name: str) -> F.Column:
+        mark = F.col("_marks")[name]
+        gap = F.abs(F.col(name) - mark["median"]) / mark["spread"]
+        return F.struct(
+            (-F.round(gap, 9)).alias("order"), F.lit(name).alias("name"), F.col(name).alias("value"),
+            mark["median"].alias("population_median"),
+        )
+
+    ranked = F.slice(F.array_sort(F.array(*[entry(n) for n in FEATURES])), 1, 3)
     return (
-        long.join(marks, "feature")
-        .groupBy("entity_id", "period_start")
-        .agg(F.slice(ranked, 1, 3).alias("top"))
-        .select(
-            "entity_id",
-            "period_start",
-            F.transform(
-                "top",
-                lambda t: F.struct(t["feature"].alias("name"), t["value"].alias("value"), t["median"].alias("population_median")),
-            ).alias("notable_features"),
+        rows.withColumn("_marks", marks)
+        .withColumn(
+            "notable_features",
+            F.transform(ranked, lambda t: F.struct(t["name"].alias("name"), t["value"].alias("value"), t["population_median"].alias("population_median"))),
         )
+        .drop("_marks")
+    )
+
+
+def notable_features(features: DataFrame) -> DataFrame:
+    """Per complete row the three features farthest from their median, by IQR.
+
+    Distances are compared at nine decimals, so that equal ones rank by name and not
+    by the last bit of a division. Rows are only projected; nothing is shuffled.
+    """
+    return _with_notable(features.where("complete"), _feature_marks(features)).select(
+        "entity_id", "period_start", "notable_features"
     )
 
 
@@ -208,12 +223,14 @@ def detect(features: DataFrame, config: AnomalyConfig = AnomalyConfig()) -> Data
     width = F.col("highest") - F.col("lowest")
     signal = F.coalesce(F.try_divide(F.col("highest") - F.col("raw_anomaly_score"), width), F.lit(0.0))
     label = period_label("period_start")
-    return (
+    flagged = (
         scored.join(cut, "model")
         .join(span, "model")
         .where(F.col("raw_anomaly_score") < F.col("cut"))
         .withColumn("normalized_anomaly_score", signal)
-        .join(notable_features(features), ["entity_id", "period_start"])
+    )
+    return (
+        _with_notable(flagged, _feature_marks(features))
         .select(
             F.concat_ws(":", F.lit("AN-001"), "entity_id", label).alias("finding_key"),
             *PERIOD,

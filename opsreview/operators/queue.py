@@ -139,8 +139,12 @@ def apply_moves(queue: DataFrame, judged: DataFrame, run_at: datetime | Column)
     reviewer; OPEN keeps earlier stamps. Missing reviewer or note leaves the old one.
     """
     now = run_at if isinstance(run_at, Column) else F.lit(run_at)
-    moves = judged.where("result = 'APPLIED'").select(
-        "queue_id", "new_status", F.col("reviewer_ref").alias("by"), F.col("review_note").alias("note")
+    move = F.struct("request_no", "new_status", F.col("reviewer_ref").alias("by"), F.col("review_note").alias("note"))
+    moves = (
+        judged.where("result = 'APPLIED'")
+        .groupBy("queue_id")
+        .agg(F.min(move).alias("move"))
+        .select("queue_id", "move.new_status", "move.by", "move.note")
     )
     moved = F.col("new_status").isNotNull()
     decided = F.col("new_status").isin("REVIEWED", "DISMISSED")
