@@ -15,12 +15,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pieces(words: Sequence[str], shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def pieces(words: Sequence[str], shortest: int, longest: int, buckets: int, at_once: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of each word between boundary marks.
 
     Returns the buckets of all words one after the other and where each word begins.
     A word that is too short for any n-gram has one piece that such words share.
     """
+    parts = [_pieces(words[i : i + at_once], shortest, longest, buckets) for i in range(0, len(words), at_once)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    before = np.cumsum([0] + [len(found) for found, _ in parts])
+    return np.concatenate([found for found, _ in parts]), np.concatenate([starts + n for (_, starts), n in zip(parts, before, strict=False)])
+
+
+def _pieces(words: Sequence[str], shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     marked = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64) + np.uint64(1)

@@ -55,7 +55,6 @@ class ToxicityModel:
     bias: float
     slope: float
     offset: float
-    base_rate: float
 
     def word_logits(self, words: list[str]) -> np.ndarray:
         at, starts = pieces(words, self.settings.shortest, self.settings.longest, self.settings.buckets)
@@ -84,8 +83,8 @@ def _fit_words(settings: ToxicitySettings, at, starts, clean_docs, toxic_of, tox
     # The first guess: how much more often the word is in toxic documents than in clean ones.
     logit = np.log(toxic_docs + 0.2) - np.log(clean_docs + 0.2) - 2.0
     sizes = np.diff(np.append(starts, len(at)))
-    owner = np.repeat(np.arange(n), sizes)
-    share = (1.0 / sizes)[owner]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    share = (1.0 / sizes).astype(np.float32)[owner]
     moment, second, wm, wv, bm, bv, step = np.zeros(settings.buckets), np.zeros(settings.buckets), 0.0, 0.0, 0.0, 0.0, 0
     for _ in range(settings.rounds):
         top = np.full(documents, -np.inf)
@@ -100,7 +99,7 @@ def _fit_words(settings: ToxicitySettings, at, starts, clean_docs, toxic_of, tox
             logit = np.add.reduceat((table @ weight)[at], starts) / sizes + bias
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             wrong = (no * p - yes * (1 - p)) / no.sum() * 100
-            pull = np.bincount(at, wrong[owner] * share, settings.buckets)
+            pull = np.bincount(at, wrong.astype(np.float32)[owner] * share, settings.buckets)
             # Adam with one step size for each piece, as its gradient is ``pull`` times the weight; the
             # constant below the fraction keeps pieces that few words speak for from moving far.
             moment = 0.8 * moment + 0.2 * pull
@@ -159,43 +158,48 @@ def fit(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings | No
         .join(sample, "doc_id")
         .select("toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + 1)), F.lit(5)) == 0).alias("spare"), F.xxhash64("doc_id").alias("turn"))
     )
-    lists = rows.mapInPandas(_word_lists, "toxic int, spare boolean, turn long, words string").toPandas()
-    lists = lists.sort_values(["turn", "toxic", "words"]).reset_index(drop=True)
+    lists = write_through(rows.mapInPandas(_word_lists, "toxic int, spare boolean, turn long, words string"), "toxic-sample")
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    flat = ToxicityModel(settings, np.zeros(settings.buckets, np.float32), 0.0, 0.0, math.log((rate + 1e-9) / (1 - rate + 1e-9)), rate)
-    if not len(lists) or lists["toxic"].nunique() < 2 or lists.loc[~lists["spare"], "toxic"].nunique() < 2:
-        return flat
-    ids: dict[str, int] = {}
-    clean_words, toxic_words, toxic_docs, spare_rows, documents_seen = [], [], [], [], 0
-    for toxic, spare, words in zip(lists["toxic"], lists["spare"], lists["words"], strict=True):
-        own = words.split("\n") if words else []
-        if spare:
-            spare_rows.append((toxic, own))
-        elif own:
-            at = np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int64, len(own))
-            if toxic:
-                toxic_words.append(at)
-                toxic_docs.append(np.full(len(at), documents_seen))
-                documents_seen += 1
-            else:
-                clean_words.append(at)
-    del lists
-    if not toxic_words or not clean_words:
-        return flat
-    at, starts = pieces(list(ids), settings.shortest, settings.longest, settings.buckets)
-    clean = np.bincount(np.concatenate(clean_words), minlength=len(ids)).astype(float)
-    piece, bias = _fit_words(settings, at, starts, clean, np.concatenate(toxic_words), np.concatenate(toxic_docs))
-    model = ToxicityModel(settings, piece, bias, 1.0, 0.0, rate)
-    # The curve is fitted on documents whose words were not trained on, weighted to the true share of toxic ones.
-    worst = np.array([model.word_logits(w).max() for _, w in spare_rows if w])
-    truth = np.array([float(x) for x, w in spare_rows if w])
-    share = truth.mean() if len(truth) else 0.0
-    if 0 < share < 1:
-        weight = np.where(truth == 1, rate / share, (1 - rate) / (1 - share))
-        slope, offset = _calibrated(worst, truth, weight)
-    else:
+    # The sample is bounded, so one task can hold it; the driver gets the finished weights only.
+    fitted = lists.repartition(1).mapInPandas(_training(settings, rate), "piece binary, bias double, slope double, offset double").collect()
+    if not fitted:
+        return ToxicityModel(settings, np.zeros(settings.buckets, np.float32), 0.0, 0.0, math.log((rate + 1e-9) / (1 - rate + 1e-9)))
+    return ToxicityModel(settings, np.frombuffer(fitted[0]["piece"], np.float32), fitted[0]["bias"], fitted[0]["slope"], fitted[0]["offset"])
+
+
+def _training(settings: ToxicitySettings, rate: float):
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: dict[str, int] = {}
+        clean_words, toxic_words, toxic_docs, spare_rows = [], [], [], []
+        rows = sorted(x for batch in batches for x in zip(batch["turn"], batch["toxic"], batch["spare"], batch["words"], strict=True))
+        for _, toxic, spare, words in rows:
+            own = words.split("\n") if words else []
+            if spare:
+                spare_rows.append((toxic, own))
+            elif own:
+                at = np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own))
+                if toxic:
+                    toxic_docs.append(np.full(len(at), len(toxic_words), np.int32))
+                    toxic_words.append(at)
+                else:
+                    clean_words.append(at)
+        del rows
+        if not toxic_words or not clean_words:
+            return
+        at, starts = pieces(list(ids), settings.shortest, settings.longest, settings.buckets)
+        clean = np.bincount(np.concatenate(clean_words), minlength=len(ids)).astype(float)
+        piece, bias = _fit_words(settings, at, starts, clean, np.concatenate(toxic_words), np.concatenate(toxic_docs))
+        model = ToxicityModel(settings, piece, bias, 1.0, 0.0)
+        # The curve is fitted on documents whose words were not trained on, weighted to the true share of toxic ones.
+        worst = np.array([model.word_logits(w).max() for _, w in spare_rows if w])
+        truth = np.array([float(x) for x, w in spare_rows if w])
+        share = truth.mean() if len(truth) else 0.0
         slope, offset = 1.0, 0.0
-    return ToxicityModel(settings, piece, bias, slope, offset, rate)
+        if 0 < share < 1:
+            slope, offset = _calibrated(worst, truth, np.where(truth == 1, rate / share, (1 - rate) / (1 - share)))
+        yield pd.DataFrame({"piece": [piece.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
+
+    return train
 
 
 def _word_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
