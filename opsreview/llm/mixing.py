@@ -110,17 +110,21 @@ def walk(chance: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np
     return np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p))
 
 
+#: The landing weighs all choices for so many documents.
+LANDING = 12
+
+
 def land(chance: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
-    """Decide the last documents: drop the balance on documents, keep that on words as far as rounding can."""
-    p = walk(chance, size, draws)
+    """Walk, but leave the last documents; then decide all that are open by the choice whose words come
+    nearest to what is expected (the nearest number of documents among equals, then the first)."""
+    p = np.where(chance < 1e-9, 0.0, np.where(chance > 1 - 1e-9, 1.0, chance.astype(float)))
+    keep = max(0, len(p) - (LANDING - 2))
+    p[:keep] = walk(p[:keep], size[:keep], draws)
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    wanted = float((p[open_] * size[open_]).sum())
-    best = (math.inf, 0)
-    for choice in range(1 << len(open_)):
-        words = sum(float(size[i]) for k, i in enumerate(open_) if choice >> k & 1)
-        best = min(best, (abs(words - wanted), choice))
-    for k, i in enumerate(open_):
-        p[i] = best[1] >> k & 1
+    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    words = np.abs(choices @ size[open_].astype(float) - (p[open_] * size[open_]).sum())
+    documents = np.abs(choices.sum(1) - p[open_].sum())
+    p[open_] = choices[np.lexsort((documents, np.round(words, 6)))[0]]
     return p
 
 

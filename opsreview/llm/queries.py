@@ -7,10 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsreview.llm import decontaminate, mixing, toxicity
+from opsreview.llm import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, quality, token_files, toxicity, urls
 from opsreview.llm.tables import held_out, table
 
 
+def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    settings = near_dedup.NearSettings(shingle=3, percent=85)
+    return near_dedup.grouped(table(spark, folder, "documents").select("doc_id", "text"), settings)
+
+
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identified(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages").select("page_id", "url"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    found = quality.scored(documents, table(spark, folder, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "text_score", "page_score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.written_and_read(table(spark, folder, "documents").select("doc_id", "text")).drop("ids")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     settings = toxicity.ToxicitySettings()
     found = toxicity.scored(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), settings)
@@ -32,9 +64,28 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_licenses": op3_licenses,
+    "op4_language": op4_language,
+    "op5_urls": op5_urls,
+    "op6_quality": op6_quality,
+    "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_exact_dedup": """
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS points
+  FROM documents),
+g AS (
+  SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id
+  FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op3_licenses": licenses.scanned_sql(),
+    "op5_urls": urls.judged_sql(),
+}
