@@ -77,7 +77,7 @@ def _fit_words(settings: ToxicitySettings, at, starts, clean_docs, toxic_of, tox
     draw = np.random.default_rng(settings.seed)
     table = draw.normal(0, 0.1, (settings.buckets, settings.width)).astype(np.float32)
     weight = draw.normal(0, 0.3, settings.width).astype(np.float32)
-    bias = -1.0
+    bias = -4.0  # a word of which nothing is known is clean
     toxic_docs = np.bincount(toxic_of, minlength=n).astype(float)
     documents = int(toxic_doc.max()) + 1 if len(toxic_doc) else 0
     # The first guess: how much more often the word is in toxic documents than in clean ones.
@@ -111,7 +111,7 @@ def _fit_words(settings: ToxicitySettings, at, starts, clean_docs, toxic_of, tox
             weight -= (0.02 * wm / (np.sqrt(wv) + 1e-6)).astype(np.float32)
             g = float(wrong.sum()) / 100
             bm, bv = 0.8 * bm + 0.2 * g, 0.98 * bv + 0.02 * g * g
-            bias -= 0.05 * bm / (math.sqrt(bv) + 1e-6)
+            bias -= 0.01 * bm / (math.sqrt(bv) + 1e-6)
         logit = np.add.reduceat((table @ weight)[at], starts) / sizes + bias
     return (table @ weight).astype(np.float32), float(bias)
 

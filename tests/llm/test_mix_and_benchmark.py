@@ -55,7 +55,9 @@ def test_mix_meets_targets(spark, block):
         assert r["taken"] == r["size"] * r["times"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
     for s, t in target.items():
-        assert abs(taken[s] - t) <= max(60, 0.01 * t), s
+        # The last few documents are rounded: with one of 30,000 words among them no choice need come nearer.
+        longest = max(size(r[1]) for r in rows if r[3] == s)
+        assert abs(taken[s] - t) <= (max(60, 0.01 * t) if longest < 1000 else longest / 2), s
 
 
 def test_mix_repeats_rows(spark):
@@ -134,7 +136,7 @@ def test_pipeline_stages_one_by_one(spark, tmp_path):
     rows = [(k, " ".join(words(draw, 80)), "en", draw.choice("abc")) for k in range(400)]
     toxic = {k for k in range(400) if k % 7 == 0}
     rows = [(k, t + (" worthless idiot" if k in toxic else ""), la, s) for k, t, la, s in rows]
-    rows += [(500 + k, rows[k][1], "en", "a") for k in (1, 2, 3)] + [(600, rows[4][1] + " " + ITEMS[1][1], "en", "a")]
+    rows += [(500 + k, rows[k][1], "en", "a") for k in (1, 2, 3)] + [(600, " ".join(words(draw, 80)) + " " + ITEMS[1][1], "en", "a")]
     folder = str(tmp_path)
     frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(0, 400)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
