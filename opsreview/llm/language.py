@@ -191,7 +191,7 @@ def _labelling(model: LanguageModel):
             for start, stop in stretches(texts):
                 lists = [t.lower().split() for t in texts[start:stop]]
                 every = set().union(*lists)
-                new = list(every - place.keys())
+                new = [w for w in every if w not in place]
                 if len(place) + len(new) > model.settings.cache_words:
                     place.clear()
                     new = list(every)

@@ -71,8 +71,9 @@ def shingle_hashes(text: str, width: int, words: dict[bytes, int]) -> np.ndarray
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and blanks only
-    for w in set(parts) - words.keys():
-        words[w] = xxhash.xxh64_intdigest(w)
+    for w in set(parts):
+        if w not in words:
+            words[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
     if not len(h):
         return h

@@ -213,9 +213,10 @@ def _scoring(text_weight: np.ndarray, meta_weight: np.ndarray, rest: list[float]
                     words = row.text.split()
                     if len(cache) > most:
                         cache.clear()
-                    for w in set(words) - cache.keys():
-                        p, q = word_places(w)
-                        cache[w] = float(text_weight[p] + text_weight[q])
+                    for w in set(words):
+                        if w not in cache:
+                            p, q = word_places(w)
+                            cache[w] = float(text_weight[p] + text_weight[q])
                     again = sum(map(str.__eq__, words, words[1:]))
                     x = (sum(map(cache.__getitem__, words)) + again * float(text_weight[WORDS + SHAPES])) / max(1, len(words)) + text_bias
                     y = float(meta_weight[meta_places(row.text, words, row.source, row.lang, _number(row.n_chars))].sum()) + meta_bias

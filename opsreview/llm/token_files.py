@@ -3,7 +3,7 @@
 The code is built from the counts of all ids, limited in length so that one table lookup
 decodes a symbol. A file is a table of independent blocks in document order. A block holds
 whole documents: their ids and lengths, the packed bits, and the bit offset of every
-1024th id. Any block can be decoded by itself, and inside a block decoding starts at all
+256th id. Any block can be decoded by itself, and inside a block decoding starts at all
 checkpoints at once, one symbol of each per step.
 
 The files lie beside their code table: ``<path>/blocks`` and ``<path>/code``.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from opsreview.llm.tables import partitions, stretches, text_of
 from opsreview.session import shared_folder, write_through
 
-CHECKPOINT = 1024
+CHECKPOINT = 256
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,8 @@ class WordCache(dict):
 
     A byte-level tokenizer never joins across a single blank or line break between two other
     characters, so texts are cut there and each piece is tokenized once. ``wordwise`` says whether the
-    tokenizer is of that kind; texts with other runs of white space, or with a special token, are
-    tokenized whole.
+    tokenizer is of that kind. Texts are tokenized whole that have white space beside a blank or line
+    break, or a special token: they have a piece among ``odd``.
     """
 
     def __init__(self, json_text: str, most: int):
@@ -72,7 +72,8 @@ class WordCache(dict):
         pre = spec.get("pre_tokenizer") or {}
         self.wordwise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
         special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.odd = re.compile("|".join([r"\s\s", r"^\s", r"\s$", r"[^\S \n]", *special]))
+        self.is_odd = re.compile("|".join([r"^ ?\s+$", r"^ ?[^\S ]", r"\s$", *special])).search
+        self.odd: set[str] = set()
         self.most = most
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -84,7 +85,9 @@ class WordCache(dict):
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > self.most:
             self.clear()
+            self.odd.clear()
         new = [w for w in words if w not in self]
+        self.odd.update(w for w in new if w != "\n" and self.is_odd(w))
         after_blank = [w for w in new if w[0] == " " and len(w) > 1]
         # Pieces that begin with a blank are tokenized in one go and cut before each id that begins with one.
         for i in range(0, len(after_blank), 2_000):
@@ -100,7 +103,7 @@ class WordCache(dict):
         self.update(zip(others, self.whole(others), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.wordwise and not self.odd.search(t) for t in texts]
+        plain = [self.wordwise and "\n\n" not in t and "\n " not in t for t in texts]
         cut = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if p and "\x00" not in t else None for t, p in zip(texts, plain, strict=True)]
         words: set[str] = set()
         for parts in cut:
@@ -109,6 +112,8 @@ class WordCache(dict):
         words.discard("")
         self.learn(words)
         self[""] = b""
+        if self.odd:
+            cut = [None if parts is None or not self.odd.isdisjoint(parts) else parts for parts in cut]
         rest = iter(self.whole([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
         return [next(rest) if parts is None else b"".join(map(self.__getitem__, parts)) for parts in cut]
 
@@ -234,15 +239,14 @@ def pack(ids: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[bytes,
     bits = length[ids]
     ends = np.cumsum(bits)
     at = ends - bits
-    out = np.zeros((int(ends[-1]) + 7) // 8 + 4 if len(ids) else 4, np.uint8)
-    value = code[ids] << (32 - bits - (at & 7))  # at most 7 + 20 bits: four bytes
-    first = at >> 3
-    for k in range(4):
-        byte = (value >> (24 - 8 * k)) & 0xFF
-        used = np.flatnonzero(byte)
-        # Codes share bytes but not bits, so adding is joining.
-        out += np.bincount(first[used] + k, byte[used], len(out)).astype(np.uint8)
-    return out.tobytes(), at[::CHECKPOINT].copy()
+    n = (int(ends[-1]) + 31) // 32 + 1 if len(ids) else 1
+    value = code[ids].astype(np.uint64) << (64 - bits - (at & 31)).astype(np.uint64)  # at most 31 + 20 bits
+    word, low = at >> 5, value & np.uint64(0xFFFFFFFF)
+    # Codes share 32-bit words but not bits, so adding is joining; sums stay below 2^32, exact in doubles.
+    out = np.bincount(word, value >> np.uint64(32), n)
+    over = np.flatnonzero(low)
+    out += np.bincount(word[over] + 1, low[over], n)
+    return out.astype(">u4").tobytes(), at[::CHECKPOINT].copy()
 
 
 def unpack(data: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:

@@ -219,7 +219,7 @@ def score(text: Column, model: ToxicityModel) -> Column:
                 everything = set().union(*sets)
                 if len(known) + len(everything) > model.settings.cache_words:
                     known.clear()
-                new = list(everything - known.keys())
+                new = [w for w in everything if w not in known]
                 bare = [w.strip(_EDGE) for w in new]
                 logits = model.word_logits(bare) if new else []
                 known.update((w, float(x) if b else -math.inf) for w, b, x in zip(new, bare, logits, strict=True))
