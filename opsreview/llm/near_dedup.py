@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsreview.llm.components import components
-from opsreview.llm.tables import stretches, text_of
+from opsreview.llm.tables import remembered, stretches, text_of
 from opsreview.session import write_through
 
 
@@ -111,7 +110,7 @@ def _signing(settings: NearSettings):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        words: dict[bytes, int] = {}
+        words: dict[bytes, int] = remembered("word-hashes", 0, dict)
         for batch in batches:
             for start, stop in stretches(batch["text"].tolist()):
                 part = batch.iloc[start:stop]

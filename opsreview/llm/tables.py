@@ -50,3 +50,18 @@ def stretches(texts: Sequence[str], characters: int = 2_000_000) -> Iterator[tup
         held += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def remembered(kind: str, key: object, make):
+    """A cache that a Python worker keeps between tasks: the last one of its kind, if the key is the same.
+
+    Functions come to a worker anew with each task, so the cache lies in a module of its own. Losing
+    it costs time only.
+    """
+    import sys
+    import types
+
+    state = sys.modules.setdefault("opsreview_worker_state", types.ModuleType("opsreview_worker_state")).__dict__
+    if kind not in state or state[kind][0] != key:
+        state[kind] = (key, make())
+    return state[kind][1]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsreview.llm.tables import partitions, stretches, text_of
+from opsreview.llm.tables import partitions, remembered, stretches, text_of
 from opsreview.session import shared_folder, write_through
 
 CHECKPOINT = 256
@@ -83,10 +83,11 @@ class WordCache(dict):
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.most:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.most:
             self.clear()
             self.odd.clear()
-        new = [w for w in words if w not in self]
+            new = list(words)
         self.odd.update(w for w in new if w != "\n" and self.is_odd(w))
         after_blank = [w for w in new if w[0] == " " and len(w) > 1]
         # Pieces that begin with a blank are tokenized in one go and cut before each id that begins with one.
@@ -125,7 +126,7 @@ def tokenized(documents: DataFrame, settings: TokenSettings) -> DataFrame:
     most = settings.cache_words
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(shared.value, most)
+        cache = remembered("tokens", (zlib.crc32(shared.value.encode()), most), lambda: WordCache(shared.value, most))
         for batch in batches:
             texts = batch["text"].tolist()
             for start, stop in stretches(texts):
