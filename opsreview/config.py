@@ -116,8 +116,6 @@ class SequenceConfig:
     min_baseline_investigations: int = 3
     missing_action_min_severity: str = "HIGH"
     expected_actions: tuple[str, ...] = ("EVIDENCE_REVIEW", "VALIDATE")
-    #: Investigations with more actions than this are assembled in pieces.
-    max_actions_per_group: int = 100_000
 
     def __post_init__(self) -> None:
         _require(self.min_sequence_length >= 1, "min_sequence_length must be >= 1")
@@ -128,7 +126,6 @@ class SequenceConfig:
         _require(self.min_baseline_investigations >= 1, "min_baseline_investigations must be >= 1")
         _require(self.missing_action_min_severity in ("HIGH", "CRITICAL"), "missing_action_min_severity must be HIGH or CRITICAL")
         _require(len(self.expected_actions) > 0, "expected_actions must not be empty")
-        _require(self.max_actions_per_group >= 1, "max_actions_per_group must be >= 1")
 
 
 @dataclass(frozen=True)

@@ -52,10 +52,26 @@ def rate(numerator: Column, denominator: Column, default: float | None = None) -
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Round the binary value, ties to even. ``bround`` would round its shortest
-    decimal spelling instead, which differs where the two lie on either side of a tie."""
+    """Round the exact binary value, ties to even.
+
+    ``bround`` would round its shortest decimal spelling, and ``rint(value * scale)`` a product that
+    was rounded before; both differ where the value lies just beside a tie. Here the value is
+    split into two parts whose products with the scale are exact, so its distance from the
+    rounded product is known exactly.
+    """
     scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+    wide = value * F.lit(134217729.0)  # 2^27 + 1: the upper half of the digits
+    upper = wide - (wide - value)
+    lower = value - upper
+    near = F.rint(value * scale)
+    off = (upper * scale - near) + lower * scale
+    odd = near % 2 != 0
+    moved = (
+        F.when((off > 0.5) | ((off == 0.5) & odd), near + 1)
+        .when((off < -0.5) | ((off == -0.5) & odd), near - 1)
+        .otherwise(near)
+    )
+    return moved / scale
 
 
 def short_hash(text: Column, length: int) -> Column:

@@ -225,12 +225,18 @@ def select_findings(
     return findings
 
 
-def page(findings: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page in ``finding_key`` order. The total is ``findings.count()``."""
+def page(findings: DataFrame, limit: int = 50, offset: int = 0, after: str | None = None) -> DataFrame:
+    """One page in ``finding_key`` order. The total is ``findings.count()``.
+
+    ``after``, the last key of the page before, keeps deep pages cheap: only ``limit`` rows
+    are kept by any task, whereas an offset has all rows before the page kept too.
+    """
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     if offset < 0:
         raise ValueError("offset must not be negative")
+    if after is not None:
+        findings = findings.where(F.col("finding_key") > after)
     return findings.orderBy("finding_key").offset(offset).limit(limit)
 
 

@@ -190,10 +190,10 @@ def _scorer(nodes: pd.DataFrame):
     return score
 
 
-def scores(features: DataFrame, config: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """``raw_anomaly_score`` (higher = more normal) of each complete row."""
+def scores(features: DataFrame, config: AnomalyConfig = AnomalyConfig(), n_rows: int | None = None) -> DataFrame:
+    """``raw_anomaly_score`` (higher = more normal) of each of the ``n_rows`` complete rows."""
     rows = features.where("complete")
-    n_rows = rows.count()
+    n_rows = rows.count() if n_rows is None else n_rows
     sample = subsamples(rows, n_rows, config)
     nodes = sample.groupBy("tree").applyInPandas(_grow_tree(config.random_state), _NODE).toPandas()
     score = _scorer(nodes)
@@ -215,7 +215,7 @@ def detect(features: DataFrame, config: AnomalyConfig = AnomalyConfig()) -> Data
             *PERIOD, *FEATURES, F.lit(0.0).alias("raw_anomaly_score"), F.lit("forest").alias("model")
         )
     else:
-        scored = scores(features, config)
+        scored = scores(features, config, counts["scored_observation_count"])
     cut = exact_quantiles(scored, ["model"], "raw_anomaly_score", {"cut": config.contamination}, "forest-cut")
     span = scored.groupBy("model").agg(
         F.max("raw_anomaly_score").alias("highest"), F.min("raw_anomaly_score").alias("lowest")

@@ -107,6 +107,13 @@ def merge(previous: DataFrame, new_items: DataFrame, run_at: datetime | Column)
     )
 
 
+def outcomes(merged: DataFrame) -> DataFrame:
+    """Counts ``(outcome, n)`` of one merge, 0 where an outcome does not occur, and the ``TOTAL``."""
+    wanted = merged.sparkSession.createDataFrame([(x,) for x in ("INSERTED", "UPDATED", "UNCHANGED", "KEPT", "TOTAL")], "outcome string")
+    counts = merged.rollup("outcome").agg(F.count("*").alias("n")).select(F.coalesce("outcome", F.lit("TOTAL")).alias("outcome"), "n")
+    return wanted.join(counts, "outcome", "left").na.fill(0, ["n"])
+
+
 def judge_moves(queue: DataFrame, requests: DataFrame) -> DataFrame:
     """What becomes of each move request ``(queue_id, new_status, reviewer_ref,
     review_note, request_no)``: APPLIED, NOT_FOUND, INVALID_TRANSITION or NOT_FIRST.

@@ -21,22 +21,18 @@ from opsreview.operators.rollups import in_first_period, reporting_periods
 from opsreview.sources.tables import Tables
 
 
-#: Items the frequent-items sketch keeps. Counts are off by at most rows / (0.75 x this).
-_TRACKED = 10_000
-
-
 def _ordered_letters(group: str = "steps") -> F.Column:
     return F.array_join(F.transform(F.array_sort(group), lambda s: s["letter"]), "")
 
 
-def action_sequences(actions: DataFrame, config: SequenceConfig = SequenceConfig()) -> DataFrame:
+def action_sequences(actions: DataFrame) -> DataFrame:
     """Per investigation: ``letters`` (one per action, in order), ``action_count``,
     ``has_duplicate_numbers``.
 
-    Order is by sequence number, then time (missing times last), then action id. An
-    investigation is normally small and is put together in one group. Those above
-    ``max_actions_per_group`` are range-partitioned by that order, put together
-    piece by piece, and the pieces joined, so that no task sorts a whole huge one.
+    Order is by sequence number, then time (missing times last), then action id. The
+    actions are range-partitioned by investigation and that order, put together
+    piece by piece, and the pieces joined: no task sorts a whole investigation,
+    however long it is. An investigation has at most one piece per block.
     """
     steps = actions.select(
         "investigation_id",
@@ -48,58 +44,39 @@ def action_sequences(actions: DataFrame, config: SequenceConfig = SequenceConfig
             action_letter("action_type").alias("letter"),
         ).alias("step"),
     )
-    huge = _huge_investigations(actions, config.max_actions_per_group)
-    if not huge:
-        return _in_one_group(steps)
-    is_huge = F.col("investigation_id").isin(huge)
-    return _in_one_group(steps.where(~is_huge)).unionByName(_in_pieces(steps.where(is_huge)))
-
-
-def _huge_investigations(actions: DataFrame, limit: int) -> list[str]:
-    """Ids of investigations with more than ``limit`` actions, as far as they matter.
-
-    A frequent-items sketch finds them in one pass over one column without a shuffle.
-    It never underestimates a count and misses none that holds a noticeable share of
-    all rows; its size bounds the list. The result of a sequence is the same either way.
-    """
-    top = actions.agg(F.call_function("approx_top_k", F.col("investigation_id"), F.lit(_TRACKED), F.lit(_TRACKED))).first()[0]
-    return sorted(row["item"] for row in top or [] if row["count"] > limit)
-
-
-def _in_one_group(steps: DataFrame) -> DataFrame:
-    # Gathering does not shrink the rows, so they are moved first and gathered once.
-    numbers = F.transform("steps", lambda s: s["seq"])
-    return (
-        steps.repartition("investigation_id")
-        .groupBy("investigation_id")
-        .agg(F.collect_list("step").alias("steps"))
-        .select(
-            "investigation_id",
-            _ordered_letters().alias("letters"),
-            F.size("steps").cast("bigint").alias("action_count"),
-            (F.size(F.array_distinct(numbers)) < F.size("steps")).alias("has_duplicate_numbers"),
-        )
-    )
-
-
-def _in_pieces(steps: DataFrame) -> DataFrame:
     flat = steps.select("investigation_id", "step", "step.seq", "step.untimed", "step.at", "step.id")
     blocks = in_blocks(flat, ["investigation_id"], ["seq", "untimed", "at", "id"], "action-pieces")
+    # Equal numbers lie next to each other, so a piece sees its own repeats; the first
+    # and last number show repeats that two pieces share.
+    numbers = F.transform("steps", lambda s: s["seq"])
     pieces = (
         blocks.groupBy("investigation_id", BLOCK)
         .agg(F.collect_list("step").alias("steps"))
-        .select("investigation_id", F.struct(BLOCK, _ordered_letters().alias("letter")).alias("piece"),
-                F.size("steps").alias("n"))
+        .select(
+            "investigation_id",
+            F.struct(
+                BLOCK,
+                _ordered_letters().alias("letter"),
+                F.array_min(numbers).alias("first"),
+                F.array_max(numbers).alias("last"),
+            ).alias("piece"),
+            F.size("steps").alias("n"),
+            (F.size(F.array_distinct(numbers)) < F.size("steps")).alias("repeats"),
+        )
     )
-    repeats = (
-        blocks.groupBy("investigation_id", "seq").agg(F.count("*").alias("n"))
-        .groupBy("investigation_id").agg((F.max("n") > 1).alias("has_duplicate_numbers"))
+    ends = F.array_sort("pieces")
+    shared = F.exists(
+        F.sequence(F.lit(2), F.size("pieces")), lambda i: F.element_at(ends, i)["first"].eqNullSafe(F.element_at(ends, i - 1)["last"])
     )
     return (
         pieces.groupBy("investigation_id")
-        .agg(F.collect_list("piece").alias("pieces"), F.sum("n").alias("action_count"))
-        .join(repeats, "investigation_id")
-        .select("investigation_id", _ordered_letters("pieces").alias("letters"), "action_count", "has_duplicate_numbers")
+        .agg(F.collect_list("piece").alias("pieces"), F.sum("n").alias("action_count"), F.bool_or("repeats").alias("repeats"))
+        .select(
+            "investigation_id",
+            _ordered_letters("pieces").alias("letters"),
+            "action_count",
+            (F.col("repeats") | (F.when(F.size("pieces") > 1, shared).otherwise(F.lit(False)))).alias("has_duplicate_numbers"),
+        )
     )
 
 
@@ -117,7 +94,7 @@ def investigation_records(tables: Tables, config: SequenceConfig = SequenceConfi
     )
     severity = tables.alerts.select("alert_id", F.col("severity").alias("alert_severity"))
     records = (
-        placed.join(action_sequences(tables.investigation_actions, config), "investigation_id", "left")
+        placed.join(action_sequences(tables.investigation_actions), "investigation_id", "left")
         .join(severity, "alert_id", "left")
         .na.fill({"letters": "", "action_count": 0, "has_duplicate_numbers": False, "alert_severity": ""})
     )

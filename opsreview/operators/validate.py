@@ -213,7 +213,14 @@ def structure_issues(spark: SparkSession, batch: RawBatch) -> DataFrame:
         found += [("unknown_column", c) for c in batch.unknown]
         if batch.row_count == 0:
             found.append(("empty_dataset", None))
-    return spark.createDataFrame([(code, "structural", None, name, _MESSAGES[code]) for code, name in found], ISSUE)
+    issues = spark.createDataFrame([(code, "structural", None, name, _MESSAGES[code]) for code, name in found], ISSUE)
+    if batch.fatal or batch.unknown_names is None:
+        return issues
+    named = batch.unknown_names.select(
+        F.lit("unknown_column").alias("code"), F.lit("structural").alias("severity"), F.lit(None).cast("long").alias("row"),
+        "field", F.lit(_MESSAGES["unknown_column"]).alias("message"),
+    )
+    return issues.unionByName(named)
 
 
 def validate(

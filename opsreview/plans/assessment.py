@@ -43,6 +43,13 @@ class Assessment:
     def queue(self, previous: DataFrame, run_at: datetime) -> DataFrame:
         return queue.merge(previous, queue.items(self.findings), run_at)
 
+    def summary_with_queue(self, merged: DataFrame) -> DataFrame:
+        """The summary and what the run did to the queue, given the merged queue."""
+        done = queue.outcomes(merged).select(
+            F.concat(F.lit("QUEUE_"), "outcome").alias("analytic_id"), F.col("n").alias("finding_count"), F.lit("OK").alias("status")
+        )
+        return self.summary.unionByName(done)
+
     @property
     def summary(self) -> DataFrame:
         """Entities, findings per analytic and in total, and the anomaly status."""

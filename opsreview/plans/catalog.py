@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,11 +16,11 @@ from opsreview.config import (
     ExecutionGapConfig,
     NegativeSpaceConfig,
     PeerConfig,
-    SequenceConfig,
 )
 from opsreview.functions.expr import action_names, period_label
 from opsreview.operators import (
     audit,
+    entities,
     evaluate,
     evidence,
     execution_gap,
@@ -35,8 +36,8 @@ from opsreview.operators import (
 from opsreview.operators.rollups import latest_metrics, period_features
 from opsreview.plans.assessment import assess
 from opsreview.schemas import DATASETS
-from opsreview.session import write_through
-from opsreview.sources import demo
+from opsreview.session import shared_folder, write_through
+from opsreview.sources import demo, files
 from opsreview.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,15 +193,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def action_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    built = sequences.action_sequences(demo.load(spark, folder).investigation_actions, CONFIG.sequences)
-    return built.select("investigation_id", _joined(action_names("letters")).alias("sequence"), "action_count", "has_duplicate_numbers")
-
-
-@query
-def action_sequences_in_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """The same result by the way taken for very long investigations."""
-    actions = demo.load(spark, folder).investigation_actions
-    built = sequences.action_sequences(actions, SequenceConfig(max_actions_per_group=4))
+    built = sequences.action_sequences(demo.load(spark, folder).investigation_actions)
     return built.select("investigation_id", _joined(action_names("letters")).alias("sequence"), "action_count", "has_duplicate_numbers")
 
 
@@ -329,6 +322,20 @@ def findings_page(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def findings_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The page behind a key, for the findings of one month."""
+    chosen = findings.select_findings(_findings(spark, folder), analytic_id="EG-002", period="2023-08")
+    return findings.page(chosen, limit=50, after="EG-002:ALR-0000001000").select("finding_key", "entity_id", "period_label")
+
+
+@query
+def finding_one(spark: SparkSession, folder: str) -> DataFrame:
+    found = write_through(_findings(spark, folder), "findings")
+    key = found.where("analytic_id = 'EG-003'").agg(F.min("finding_key")).first()[0]
+    return findings.one(found, key or "").select("finding_key", "analytic_id", "entity_id", "evidence_count")
+
+
 @query
 def findings_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return findings.count_by(_findings(spark, folder), "category", V.FINDING_CATEGORIES)
@@ -420,6 +427,18 @@ def queue_summary(spark: SparkSession, folder: str) -> DataFrame:
     return queue.summary(_merged(spark, folder))
 
 
+@query
+def queue_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return queue.outcomes(_merged(spark, folder))
+
+
+@query
+def queue_one(spark: SparkSession, folder: str) -> DataFrame:
+    merged = write_through(_merged(spark, folder), "queue")
+    first = merged.where("priority = 'HIGH'").agg(F.min("queue_id")).first()[0]
+    return queue.one(merged, first or "").select("queue_id", "finding_key", "priority", "status")
+
+
 @query
 def queue_page(spark: SparkSession, folder: str) -> DataFrame:
     chosen = queue.select_items(_merged(spark, folder), status="OPEN")
@@ -500,6 +519,34 @@ def ingest_alert_issues(spark: SparkSession, folder: str) -> DataFrame:
     return _alert_issues(spark, folder)[1].select("row", "field", "code", "severity")
 
 
+def _uploaded(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """Problems of the raw alerts after a round through an uploaded file in the shared folder."""
+    path = f"{shared_folder(spark)}/opsreview-{spark.sparkContext.applicationId}/upload-{uuid.uuid4().hex}/alerts.{suffix}"
+    ordered = raw_alerts(spark, folder).orderBy("_row").drop("_row")
+    if suffix == "csv":
+        ordered.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    else:
+        ordered.write.json(path)
+    batch = files.read_batch(spark, "alerts", path)
+    typed = write_through(validate.check_cells(batch.rows, DATASETS["alerts"]), "typed-rows")
+    tables = demo.load(spark, folder)
+    stored = tables.alerts.where("status = 'IN_INVESTIGATION'").withColumn(
+        "alert_id", F.regexp_replace("alert_id", "^ALR-0*(?=[0-9])", "ALR-")
+    )
+    references = {"entities": tables.entities, "assets": tables.assets}
+    return validate.row_issues(typed, DATASETS["alerts"], references, stored)
+
+
+@query
+def ingest_csv_file(spark: SparkSession, folder: str) -> DataFrame:
+    return _uploaded(spark, folder, "csv").select("row", "field", "code", "severity")
+
+
+@query
+def ingest_json_lines_file(spark: SparkSession, folder: str) -> DataFrame:
+    return _uploaded(spark, folder, "jsonl").select("row", "field", "code", "severity")
+
+
 @query
 def ingest_alert_report(spark: SparkSession, folder: str) -> DataFrame:
     issues = _alert_issues(spark, folder)[1]
@@ -568,14 +615,31 @@ def assessment_summary(spark: SparkSession, folder: str) -> DataFrame:
     return assess(demo.load(spark, folder), CONFIG).summary
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    return df.select(
+        "entity_id", "name", "sector", "peer_group", "scale", "asset_count_estimate", "analyst_headcount",
+        _ts("data_period_start"), _ts("data_period_end"),
+    )
+
+
 @query
 def entity_list(spark: SparkSession, folder: str) -> DataFrame:
-    entities = demo.load(spark, folder).entities
-    return (
-        entities.select(
-            "entity_id", "name", "sector", "peer_group", "scale", "asset_count_estimate", "analyst_headcount",
-            _ts("data_period_start"), _ts("data_period_end"),
-        )
-        .orderBy("entity_id")
-        .limit(20)
-    )
+    return _listed(entities.page(demo.load(spark, folder).entities, limit=20))
+
+
+@query
+def entity_list_after(spark: SparkSession, folder: str) -> DataFrame:
+    return _listed(entities.page(demo.load(spark, folder).entities, limit=20, after="ENT-19"))
+
+
+@query
+def entity_one(spark: SparkSession, folder: str) -> DataFrame:
+    return _listed(entities.one(demo.load(spark, folder).entities, "ENT-07"))
+
+
+@query
+def eg001_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """Two entities only, given as a table."""
+    ids = spark.createDataFrame([("ENT-03",), ("ENT-11",)], "entity_id string")
+    found = execution_gap.unescalated_alerts(demo.load(spark, folder).scoped(ids), CONFIG.execution_gap)
+    return found.select("finding_key", "entity_id", "asset_id", "alert_id", "investigation_id", "alert_severity", _ts("observed_at"))

@@ -116,17 +116,17 @@ _CTE: dict[str, str] = {
           bool_or(action_type = 'CLOSE') AS closed_out FROM actions GROUP BY 1) USING (investigation_id)""",
     "kpi": """SELECT 'PMET-' || substr(q.entity_id, 5, 2) || strftime(q.period_start, '%Y%m') AS metric_id,
         q.entity_id, q.period_start, q.period_end,
-        round_even(coalesce(sum(i.duration_seconds) FILTER (i.status = 'CLOSED') / 3600.0 / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 0), 4) AS mttr_hours,
-        round_even(coalesce(count(*) FILTER (i.status = 'CLOSED')::DOUBLE / nullif(count(i.investigation_id), 0), 1), 4) AS closure_rate,
-        round_even(coalesce(count(*) FILTER (a.acknowledged_at IS NOT NULL AND date_diff('second', a.created_at, a.acknowledged_at) / 60.0
-            <= CASE a.severity WHEN 'LOW' THEN 240 WHEN 'MEDIUM' THEN 120 WHEN 'HIGH' THEN 45 ELSE 15 END)::DOUBLE / nullif(count(a.acknowledged_at), 0), 1), 4) AS sla_compliance,
-        round_even(coalesce(count(*) FILTER (i.has_esc)::DOUBLE / nullif(count(i.investigation_id), 0), 0), 4) AS escalation_rate,
-        round_even(coalesce(count(*) FILTER (i.status = 'CLOSED' AND i.full_flow)::DOUBLE / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 1), 4) AS investigation_completeness,
-        round_even(coalesce(count(a.recurrence_key)::DOUBLE / nullif(count(a.alert_id), 0), 0), 4) AS recurrence_rate,
-        round_even(coalesce(count(*) FILTER (a.is_true_positive AND i.has_rem)::DOUBLE / nullif(count(*) FILTER (a.is_true_positive), 0), 1), 4) AS remediation_rate,
-        round_even(coalesce(sum(least(i.evidence_count, CASE a.severity WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 4 WHEN 'HIGH' THEN 6 ELSE 8 END)
+        format('{:.4f}', (coalesce(sum(i.duration_seconds) FILTER (i.status = 'CLOSED') / 3600.0 / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 0))::DOUBLE)::DOUBLE AS mttr_hours,
+        format('{:.4f}', (coalesce(count(*) FILTER (i.status = 'CLOSED')::DOUBLE / nullif(count(i.investigation_id), 0), 1))::DOUBLE)::DOUBLE AS closure_rate,
+        format('{:.4f}', (coalesce(count(*) FILTER (a.acknowledged_at IS NOT NULL AND date_diff('second', a.created_at, a.acknowledged_at) / 60.0
+            <= CASE a.severity WHEN 'LOW' THEN 240 WHEN 'MEDIUM' THEN 120 WHEN 'HIGH' THEN 45 ELSE 15 END)::DOUBLE / nullif(count(a.acknowledged_at), 0), 1))::DOUBLE)::DOUBLE AS sla_compliance,
+        format('{:.4f}', (coalesce(count(*) FILTER (i.has_esc)::DOUBLE / nullif(count(i.investigation_id), 0), 0))::DOUBLE)::DOUBLE AS escalation_rate,
+        format('{:.4f}', (coalesce(count(*) FILTER (i.status = 'CLOSED' AND i.full_flow)::DOUBLE / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 1))::DOUBLE)::DOUBLE AS investigation_completeness,
+        format('{:.4f}', (coalesce(count(a.recurrence_key)::DOUBLE / nullif(count(a.alert_id), 0), 0))::DOUBLE)::DOUBLE AS recurrence_rate,
+        format('{:.4f}', (coalesce(count(*) FILTER (a.is_true_positive AND i.has_rem)::DOUBLE / nullif(count(*) FILTER (a.is_true_positive), 0), 1))::DOUBLE)::DOUBLE AS remediation_rate,
+        format('{:.4f}', (coalesce(sum(least(i.evidence_count, CASE a.severity WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 4 WHEN 'HIGH' THEN 6 ELSE 8 END)
             * CASE a.severity WHEN 'LOW' THEN 12 WHEN 'MEDIUM' THEN 6 WHEN 'HIGH' THEN 4 ELSE 3 END) FILTER (i.status = 'CLOSED')::DOUBLE / 24
-            / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 1), 4) AS evidence_completeness
+            / nullif(count(*) FILTER (i.status = 'CLOSED'), 0), 1))::DOUBLE)::DOUBLE AS evidence_completeness
         FROM quarters q LEFT JOIN alerts a ON a.entity_id = q.entity_id AND q.period_start <= a.created_at AND a.created_at < q.period_end
         LEFT JOIN inv_facts i ON i.alert_id = a.alert_id GROUP BY q.entity_id, q.period_start, q.period_end""",
     "remediated": """SELECT alert_id FROM remediations WHERE status = 'COMPLETED' AND alert_id IS NOT NULL
@@ -363,12 +363,13 @@ _feature_columns = ", ".join(f"round({f}, 6) AS {f}" for f in (*_FEATURES, "aler
 _QUERIES: dict[str, str] = {
     "kpi_rollup": f"SELECT entity_id, {_ym('period_start')} AS period_label, {_kpi_columns} FROM kpi",
     "period_features": f"SELECT entity_id, {_ym('period_start')} AS period_label, {_feature_columns} FROM features",
+    "eg001_scoped": f"SELECT finding_key, entity_id, asset_id, alert_id, investigation_id, severity AS alert_severity, {_ts('observed_at')} AS observed_at FROM eg1 WHERE entity_id IN ('ENT-03', 'ENT-11')",
     "eg001_unescalated": f"SELECT finding_key, entity_id, asset_id, alert_id, investigation_id, severity AS alert_severity, {_ts('observed_at')} AS observed_at FROM eg1",
     "eg002_uninvestigated": f"SELECT finding_key, entity_id, asset_id, alert_id, severity AS alert_severity, {_ts('acknowledged_at')} AS window_start, {_ts('data_period_end')} AS window_end FROM eg2",
     "eg003_unremediated": f"SELECT finding_key, entity_id, recurrence_key, n AS n_related_alerts, asset_id, severity AS alert_severity, {_ts('ws')} AS window_start, {_ts('we')} AS window_end FROM eg3",
     "eg003_members": "SELECT finding_key, alert_id FROM eg3 JOIN eg3_alerts USING (entity_id, recurrence_key)",
     "ns001_silent_assets": "SELECT finding_key, entity_id, asset_id, criticality AS asset_criticality, expected_telemetry FROM ns1",
-    "ns002_vanished_telemetry": f"SELECT finding_key, entity_id, asset_id, n AS baseline_observation_count, {_ts('last_seen')} AS last_evidence_at, round(silence, 3) AS silence_hours FROM ns2",
+    "ns002_vanished_telemetry": f"SELECT finding_key, entity_id, asset_id, n AS baseline_observation_count, {_ts('last_seen')} AS last_evidence_at, format('{{:.3f}}', silence::DOUBLE)::DOUBLE AS silence_hours FROM ns2",
     "ns002_members": "SELECT finding_key, telemetry_id FROM ns2 JOIN telemetry t ON t.asset_id = ns2.asset_id",
     "pb001_peer_deviation": "SELECT finding_key, entity_id, grp AS peer_group, metric_name, v AS entity_value, round(m, 6) AS peer_baseline, n AS peer_population_count, round(measure, 6) AS deviation_measure, basis AS deviation_basis, direction FROM pb",
     "pb001_peer_status": f"""SELECT 'INSUFFICIENT_PEERS' AS status, entity_id, {_ym('period_start')} AS period_label, sector AS peer_group,
@@ -382,7 +383,6 @@ _QUERIES: dict[str, str] = {
         WHERE period_start < data_period_end GROUP BY entity_id HAVING count(*) < 28""",
     "metric_snapshots": f"SELECT entity_id, metric_name, grp AS metric_group, {_ym('period_start')} AS period_label, v AS value FROM trend_points",
     "action_sequences": "SELECT investigation_id, seq AS sequence, n_actions AS action_count, dup AS has_duplicate_numbers FROM seqs",
-    "action_sequences_in_pieces": "SELECT investigation_id, seq AS sequence, n_actions AS action_count, dup AS has_duplicate_numbers FROM seqs",
     "investigation_records": f"SELECT investigation_id, entity_id, alert_id, status, severity AS alert_severity, {_ym('period_start')} AS period_label, letters, n_actions AS action_count FROM recs",
     "sequence_counts": f"SELECT entity_id, {_ym('period_start')} AS period_label, seq AS sequence, n AS matching, first_inv AS first_seen FROM fp_counts",
     "if_rep001_repetitive": "SELECT finding_key, entity_id, seq AS sequence, n AS matching_investigation_count, total AS window_investigation_count, round(n::DOUBLE / total, 6) AS repetition_rate, CASE WHEN n >= 6 AND n::DOUBLE / total >= 0.8::DOUBLE THEN 'HIGH' WHEN n::DOUBLE / total >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS confidence FROM rep",
@@ -397,6 +397,8 @@ _QUERIES: dict[str, str] = {
     "findings": "SELECT finding_key, analytic_id, finding_type, category, entity_id, period_label, severity AS alert_severity, confidence, factors AS confidence_factors, evidence_count FROM findings",
     "findings_of_category": "SELECT finding_key, analytic_id, entity_id, period_label, confidence FROM findings WHERE category = 'EXECUTION_GAP' AND entity_id = 'ENT-07'",
     "findings_page": "SELECT finding_key, analytic_id, finding_type, entity_id, period_label FROM findings ORDER BY finding_key LIMIT 50 OFFSET 100",
+    "findings_after": "SELECT finding_key, entity_id, period_label FROM findings WHERE analytic_id = 'EG-002' AND period_label = '2023-08' AND finding_key > 'EG-002:ALR-0000001000' ORDER BY finding_key LIMIT 50",
+    "finding_one": "SELECT finding_key, analytic_id, entity_id, evidence_count FROM findings WHERE finding_key = (SELECT min(finding_key) FROM findings WHERE analytic_id = 'EG-003')",
     "findings_by_category": "SELECT c AS category, count(finding_key) AS n FROM (VALUES ('EXECUTION_GAP'), ('MONITORING_GAP'), ('ANOMALY'), ('PEER_DEVIATION'), ('METRIC_RISK_DIVERGENCE'), ('WORKFLOW_PATTERN')) v(c) LEFT JOIN findings ON category = c GROUP BY c",
     "evidence_refs": "SELECT DISTINCT finding_key, analytic_id, source_type, source_id, role, period_label FROM refs",
     "evidence_unsupported": "SELECT finding_key, source_type, source_id FROM refs WHERE source_type = 'ALERT' AND source_id NOT IN (SELECT alert_id FROM alerts) OR source_type = 'ASSET' AND source_id NOT IN (SELECT asset_id FROM assets) OR source_type = 'INVESTIGATION' AND source_id NOT IN (SELECT investigation_id FROM investigations)",
@@ -411,8 +413,13 @@ _QUERIES: dict[str, str] = {
         ('priority', 'CRITICAL'), ('priority', 'HIGH'), ('priority', 'MEDIUM'), ('priority', 'LOW'), ('category', 'EXECUTION_GAP'), ('category', 'MONITORING_GAP'), ('category', 'ANOMALY'),
         ('category', 'PEER_DEVIATION'), ('category', 'METRIC_RISK_DIVERGENCE'), ('category', 'WORKFLOW_PATTERN'), ('total', 'ALL')) v(d, l)
         LEFT JOIN merged m ON (v.d = 'status' AND m.status = v.l) OR (v.d = 'priority' AND m.priority = v.l) OR (v.d = 'category' AND m.category = v.l) OR v.d = 'total' GROUP BY ALL""",
+    "queue_outcomes": """SELECT o AS outcome, count(finding_key) AS n FROM (VALUES ('INSERTED'), ('UPDATED'), ('UNCHANGED'), ('KEPT'), ('TOTAL')) v(o)
+        LEFT JOIN merged ON outcome = o OR o = 'TOTAL' GROUP BY o""",
+    "queue_one": "SELECT queue_id, finding_key, priority, status FROM merged WHERE queue_id = (SELECT min(queue_id) FROM merged WHERE priority = 'HIGH')",
     "queue_page": "SELECT queue_id, finding_key, priority, status FROM merged WHERE status = 'OPEN' ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, created_at DESC, queue_id LIMIT 50 OFFSET 25",
     "queue_of_entity": "SELECT queue_id, finding_key, priority, status FROM merged WHERE entity_id = 'ENT-03' AND category = 'WORKFLOW_PATTERN' AND priority = 'LOW'",
+    "entity_list_after": f"SELECT entity_id, name, sector, peer_group, scale, asset_count_estimate, analyst_headcount, {_ts('data_period_start')} AS data_period_start, {_ts('data_period_end')} AS data_period_end FROM entities WHERE entity_id > 'ENT-19' ORDER BY entity_id LIMIT 20",
+    "entity_one": f"SELECT entity_id, name, sector, peer_group, scale, asset_count_estimate, analyst_headcount, {_ts('data_period_start')} AS data_period_start, {_ts('data_period_end')} AS data_period_end FROM entities WHERE entity_id = 'ENT-07'",
     "entity_list": f"SELECT entity_id, name, sector, peer_group, scale, asset_count_estimate, analyst_headcount, {_ts('data_period_start')} AS data_period_start, {_ts('data_period_end')} AS data_period_end FROM entities ORDER BY entity_id LIMIT 20 OFFSET 0",
 }
 
@@ -461,6 +468,8 @@ _AUDIT = [
 _severity = "CASE WHEN code = 'invalid_field_type' THEN 'structural' ELSE 'semantic' END"
 _QUERIES |= {
     "ingest_alert_issues": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
+    "ingest_csv_file": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
+    "ingest_json_lines_file": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
     "ingest_alert_report": f"SELECT code, {_severity} AS severity, count(*) AS errors, count(DISTINCT row) AS rejected_rows FROM alert_issues GROUP BY code",
     "ingest_alert_accepted": """SELECT row, alert_id, severity, CASE st WHEN 'F' THEN 'MALWARE' ELSE 'PHISHING' END AS category,
         CASE st WHEN 'F' THEN 'CLOSED' ELSE 'IN_INVESTIGATION' END AS status, CASE WHEN p >= 100000 THEN TRUE WHEN p >= 50000 THEN FALSE END AS is_true_positive

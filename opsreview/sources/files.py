@@ -18,14 +18,16 @@ from opsreview.schemas import DATASETS, GROUND_TRUTH, Dataset
 from opsreview.session import write_through
 
 ROW = "_row"
-#: A JSON document cannot be split, so one task parses it; larger input comes as JSON Lines.
-MAX_DOCUMENT_BYTES = 25 * 1024 * 1024
 _FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl"}
 
 
 @dataclass(frozen=True)
 class RawBatch:
-    """Text rows of one dataset: the row number and the registry columns present."""
+    """Text rows of one dataset: the row number and the registry columns present.
+
+    Names that the registry does not know are in ``unknown`` for a CSV header, and in the column
+    ``field`` of ``unknown_names`` for JSON, where every record can bring new ones.
+    """
 
     dataset: str
     fmt: str | None = None
@@ -33,6 +35,7 @@ class RawBatch:
     row_count: int = 0
     present: frozenset[str] = frozenset()
     unknown: tuple[str, ...] = ()
+    unknown_names: DataFrame | None = None
     fatal: tuple[str, ...] = field(default=())
 
 
@@ -44,19 +47,20 @@ def format_of(path: str) -> str | None:
     return None
 
 
-def read_batch(spark: SparkSession, dataset_type: str, path: str, max_bytes: int = MAX_DOCUMENT_BYTES) -> RawBatch:
-    """Read one upload. ``fatal`` codes mean that its rows cannot be interpreted."""
+def read_batch(spark: SparkSession, dataset_type: str, path: str) -> RawBatch:
+    """Read one upload of any size. ``fatal`` codes mean that its rows cannot be interpreted.
+
+    CSV and JSON Lines are split over tasks. A JSON document, or a CSV file with line breaks inside
+    quotes, cannot be split, so one task parses each file.
+    """
     dataset = DATASETS.get(dataset_type)
     if dataset is None:
         return RawBatch(dataset_type, fatal=("unsupported_dataset_type",))
     fmt = format_of(path)
     if fmt is None:
         return RawBatch(dataset_type, fatal=("unsupported_format",))
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length"), F.max("length")).first()
-    if not size[0]:
+    if not spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]:
         return RawBatch(dataset_type, fmt, fatal=("empty_dataset",))
-    if fmt == "json" and size[1] > max_bytes:
-        raise ValueError(f"JSON documents may have {max_bytes} bytes; send larger data as JSON Lines")
     lines = spark.read.text(path)
     if not lines.where(~F.is_valid_utf8("value")).isEmpty():
         return RawBatch(dataset_type, fmt, fatal=("content_format_mismatch",))
@@ -96,19 +100,37 @@ def _read_csv(spark: SparkSession, dataset: Dataset, path: str, lines: DataFrame
         return RawBatch(dataset.name, "csv", fatal=("malformed_csv",))
     if first[0].lstrip()[:1] in ("{", "["):
         return RawBatch(dataset.name, "csv", fatal=("content_format_mismatch",))
-    options = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
-    header = spark.read.options(**options).csv(path).columns
-    # One column more than the header has: it is filled only by rows that are too long.
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_too_long"]])
+    # A record can only span lines if some line has an odd number of quotes; else files are split.
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    spans, every = lines.agg(F.bool_or(quotes % 2 == 1), F.sum(quotes)).first()
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": bool(spans)}
+    first_record = spark.read.options(header=False, **options).csv(path).head()
+    header = [name if name is not None else f"_c{i}" for i, name in enumerate(first_record)]
+    # Columns go by place, as names can repeat; of a repeated name the first column counts. One column
+    # more than the header has is filled only by rows that are too long.
+    places = [f"c{i}" for i in range(len(header) + 1)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
     names = {f.name for f in dataset.fields}
-    present = [c for c in header if c in names]
-    cells = spark.read.schema(schema).options(**options).csv(path)
-    rows = _numbered(cells.select(*[F.col(f"`{c}`") for c in present], F.col("_too_long").isNotNull().alias("_bad"), *_position()))
-    count, bad = rows.agg(F.count("*"), F.max("_bad")).first()
+    present: dict[str, int] = {}
+    for i, name in enumerate(header):
+        if name in names:
+            present.setdefault(name, i)
+    cells = spark.read.schema(schema).options(header=True, enforceSchema=True, **options).csv(path)
+    rows = _numbered(
+        cells.select(
+            *[F.col(f"c{i}").alias(name) for name, i in present.items()],
+            F.col(places[-1]).isNotNull().alias("_bad"),
+            F.contains(F.concat_ws("", *places), F.lit("\n")).alias("_spans"),
+            *_position(),
+        )
+    )
+    count, bad, last_spans = rows.agg(F.count("*"), F.max("_bad"), F.max_by("_spans", ROW)).first()
+    # A quote that never closes takes in the rest of the file.
+    open_quote = bool(last_spans) and every % 2 == 1
     return RawBatch(
-        dataset.name, "csv", rows.drop("_bad"), count, frozenset(present),
-        tuple(c for c in header if c not in names),
-        ("malformed_csv",) if bad else (),
+        dataset.name, "csv", rows.drop("_bad", "_spans"), count, frozenset(present),
+        tuple(dict.fromkeys(c for c in header if c not in names)),
+        fatal=("malformed_csv",) if bad or open_quote else (),
     )
 
 
@@ -143,13 +165,15 @@ def _read_json(spark: SparkSession, dataset: Dataset, path: str, fmt: str) -> Ra
     count, bad = rows.agg(F.count("*"), F.max("_bad")).first()
     if bad:
         return RawBatch(dataset.name, fmt, row_count=count, fatal=("invalid_json_structure",))
-    keys = [r[0] for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()]
+    seen = rows.agg(*[F.bool_or(F.map_contains_key("cells", F.lit(n))).alias(n) for n in names]).first()
+    present = [n for n in names if seen[n]]
+    keys = rows.select(F.explode(F.map_keys("cells")).alias("field"))
     return RawBatch(
         dataset.name, fmt,
-        rows.select(ROW, *[F.try_element_at("cells", F.lit(n)).alias(n) for n in names if n in keys]),
+        rows.select(ROW, *[F.try_element_at("cells", F.lit(n)).alias(n) for n in present]),
         count,
-        frozenset(n for n in names if n in keys),
-        tuple(sorted(k for k in keys if k not in names)),
+        frozenset(present),
+        unknown_names=keys.where(~F.col("field").isin(names)).distinct(),
     )
 
 

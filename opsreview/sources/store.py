@@ -54,14 +54,12 @@ class Store:
     def table(self, dataset_type: str) -> DataFrame:
         """The current rows of a dataset."""
         struct = DATASETS[dataset_type].struct
-        done = (
-            self.log()
-            .where((F.col("dataset_type") == dataset_type) & (F.col("status") == "COMPLETED"))
-            .orderBy("completed_at", "import_id")
-            .collect()
-        )
-        starts = [i for i, r in enumerate(done) if r["mode"] == "REPLACE"]
-        paths = [r["path"] for r in done[starts[-1] if starts else 0:]]
+        done = self.log().where((F.col("dataset_type") == dataset_type) & (F.col("status") == "COMPLETED"))
+        order = F.struct("completed_at", "import_id")
+        start = done.where("mode = 'REPLACE'").agg(F.max(order)).first()[0]
+        if start is not None:  # what came before the last replacement does not count any more
+            done = done.where(order >= F.struct(F.lit(start["completed_at"]), F.lit(start["import_id"])))
+        paths = [r["path"] for r in done.orderBy("completed_at", "import_id").select("path").collect()]
         if not paths:
             return self.spark.createDataFrame([], struct)
         return self.spark.read.schema(struct).parquet(*paths)

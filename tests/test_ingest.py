@@ -1,3 +1,4 @@
+import csv
 import json
 from datetime import datetime, timezone
 
@@ -117,9 +118,26 @@ def test_bytes_that_are_no_text(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(b"entity_id\n\xff\xfe\n")
     assert _codes(_check(spark, "entities", str(tmp_path / "x.csv"))) == [(None, None, "content_format_mismatch")]
     assert _codes(_check(spark, "planets", str(tmp_path / "x.csv"))) == [(None, None, "unsupported_dataset_type")]
-    (tmp_path / "y.json").write_text(json.dumps([ENTITY]))
-    with pytest.raises(ValueError, match="JSON Lines"):
-        read_batch(spark, "entities", str(tmp_path / "y.json"), max_bytes=10)
+
+
+def test_csv_records_over_several_lines(spark, tmp_path):
+    rows = [dict(ENTITY, name='a "quoted"\nname'), dict(ENTITY, entity_id="ENT-02", name="plain")]
+    with open(tmp_path / "e.csv", "w", newline="") as f:
+        out = csv.DictWriter(f, list(ENTITY), lineterminator="\n")
+        out.writeheader()
+        out.writerows(rows)
+    checked = _check(spark, "entities", str(tmp_path / "e.csv"))
+    assert _codes(checked) == [] and checked.row_count == 2
+    assert [r["name"] for r in checked.accepted.orderBy("entity_id").collect()] == ['a "quoted"\nname', "plain"]
+    (tmp_path / "open.csv").write_text((tmp_path / "e.csv").read_text() + '"ENT-03,never\nclosed,x\nENT-04,y\n')
+    assert _codes(_check(spark, "entities", str(tmp_path / "open.csv"))) == [(None, None, "malformed_csv")]
+
+
+def test_of_a_repeated_header_name_the_first_column_counts(spark, tmp_path):
+    text = open(_csv(tmp_path / "e.csv", [ENTITY])).read().splitlines()
+    (tmp_path / "twice.csv").write_text(f"{text[0]},entity_id\n{text[1]},ENT-99\n")
+    checked = _check(spark, "entities", str(tmp_path / "twice.csv"))
+    assert _codes(checked) == [] and [r["entity_id"] for r in checked.accepted.collect()] == [ENTITY["entity_id"]]
 
 
 def test_columns(spark, tmp_path):

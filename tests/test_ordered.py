@@ -3,6 +3,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opsreview.functions.ordered import exact_quantiles, others_median
 
@@ -48,3 +49,12 @@ def test_others_median_equals_leaving_each_out(spark, many_blocks):
         others = [x for k, x, j in rows if k == g and x is not None and j != i]
         assert got[i]["others"] == len(others)
         assert got[i]["m"] == (statistics.median(others) if others else None)
+
+
+def test_rounding_is_that_of_the_exact_binary_value(spark):
+    from opsreview.functions.expr import round_half_even
+
+    ratios = [(k, n) for n in range(1, 400) for k in range(n + 1)] + [(1, 160), (3, 160), (1, 32), (123_456, 7)]
+    rows = spark.createDataFrame([(float(k / n),) for k, n in ratios], "x double")
+    got = [r[0] for r in rows.select(round_half_even(F.col("x"), 4)).collect()]
+    assert got == [round(k / n, 4) for k, n in ratios]

@@ -33,12 +33,25 @@ def test_order_of_actions(spark):
     ]
     t = world(spark, investigation_actions=actions)
     late = t.investigation_actions.withColumn("occurred_at", F.when(F.col("action_id") != "ACT-3", F.col("occurred_at")))
-    for limit in (100, 2):
-        row = sq.action_sequences(t.investigation_actions, SequenceConfig(max_actions_per_group=limit)).first()
-        assert row["letters"] == letters_of(["ESCALATE", "OPEN", "VALIDATE", "CLOSE"]) and row["has_duplicate_numbers"]
-        # missing times come last among equal numbers
-        row = sq.action_sequences(late.withColumn("occurred_at", F.when(F.col("action_id") == "ACT-1", F.lit(START))), SequenceConfig(max_actions_per_group=limit)).first()
-        assert row["letters"] == letters_of(["VALIDATE", "ESCALATE", "OPEN", "CLOSE"])
+    row = sq.action_sequences(t.investigation_actions).first()
+    assert row["letters"] == letters_of(["ESCALATE", "OPEN", "VALIDATE", "CLOSE"]) and row["has_duplicate_numbers"]
+    # missing times come last among equal numbers
+    row = sq.action_sequences(late.withColumn("occurred_at", F.when(F.col("action_id") == "ACT-1", F.lit(START)))).first()
+    assert row["letters"] == letters_of(["VALIDATE", "ESCALATE", "OPEN", "CLOSE"])
+
+
+def test_one_investigation_with_half_of_all_actions(spark):
+    def rows(doubled):
+        own = [dict(action_id=f"A-{k:05}", investigation_id="INV-1", sequence_number=k - (k == doubled), action_type="VALIDATE" if k % 7 else "OPEN", occurred_at=START) for k in range(2000)]
+        return own + [dict(action_id=f"B-{k:05}", investigation_id=f"INV-{2 + k}", sequence_number=1, action_type="CLOSE", occurred_at=START) for k in range(2000)]
+
+    for doubled in (-1, 1234):
+        built = sq.action_sequences(world(spark, investigation_actions=rows(doubled)).investigation_actions)
+        row = built.where("investigation_id = 'INV-1'").first()
+        assert row["letters"] == letters_of(["VALIDATE" if k % 7 else "OPEN" for k in range(2000)])
+        assert row["action_count"] == 2000 and row["has_duplicate_numbers"] == (doubled > 0)
+    plan = built._jdf.queryExecution().toString()
+    assert "approx_top_k" not in plan and "isin" not in plan
 
 
 def test_unknown_action_stops(spark):
