@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsreview.llm.subwords import pieces
-from opsreview.llm.tables import held_out, stretches, text_of
+from opsreview.llm.tables import forget, held_out, stretches, text_of
 from opsreview.session import write_through
 
 # First code point of blocks of letters, and the script.
@@ -109,6 +109,7 @@ def fit(documents: DataFrame, settings: LanguageSettings | None = None) -> Langu
 
 def _counting(settings: LanguageSettings, languages: tuple[str, ...]):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         words = [Counter() for _ in languages]
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):

@@ -38,8 +38,8 @@ from opsreview.session import write_through
 class NearSettings:
     """``percent``: least Jaccard similarity of shingle sets in percent; ``miss``: chance that a pair at
     that similarity collides too seldom; ``long_list``: lists from this length on are skipped first;
-    ``tile_rows``/``tile_items``: size of a tile; ``broadcast_rows``: up to so many row hashes
-    (24 bytes each) go to every task."""
+    ``tile_rows``/``tile_items``: size of a tile; ``broadcast_rows`` and
+    ``broadcast_lists``: up to so many row hashes or long lists (24 bytes each) go to every task."""
 
     shingle: int = 5
     percent: int = 80
@@ -49,7 +49,8 @@ class NearSettings:
     tile_rows: int = 512
     tile_items: int = 1_000_000
     broadcast_rows: int = 400_000
-    cache_words: int = 400_000
+    broadcast_lists: int = 1_000_000
+    cache_words: int = 300_000
     seed: int = 3
 
 
@@ -159,6 +160,7 @@ def _posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
     tokens = spread.select("fp", F.xxhash64("at", "value").alias("token"))
     long = tokens.groupBy("token").agg(F.count("*").alias("length")).filter(F.col("length") >= settings.long_list)
     long = write_through(long, "long-lists")
+    long = F.broadcast(long) if long.count() <= settings.broadcast_lists else long
     ordered = tokens.join(long, "token", "left").groupBy("fp").agg(
         F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("length", F.lit(0)).alias("length"), "token"))), 1, prefix).alias("posts"),
         F.sum("length").alias("weight"),

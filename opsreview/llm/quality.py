@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsreview.llm.tables import held_out, stretches, text_of, thinned
+from opsreview.llm.tables import forget, held_out, stretches, text_of, thinned
 from opsreview.session import write_through
 
 WORDS, SHAPES, META = 1 << 16, 1 << 12, 1 << 12
@@ -133,6 +133,7 @@ class _View:
 
 def _co_training(settings: QualitySettings):
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         rows = sorted((x for b in batches for x in zip(b["turn"], b["label"], b["spare"], b["at"], b["share"], b["meta"], strict=True)), key=lambda x: (x[0], x[1], x[3]))
         label = np.array([x[1] for x in rows])
         spare = np.array([x[2] for x in rows], bool) & (label >= 0)

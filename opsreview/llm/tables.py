@@ -53,7 +53,7 @@ def stretches(texts: Sequence[str], characters: int = 2_000_000) -> Iterator[tup
 
 
 def remembered(kind: str, key: object, make):
-    """A cache that a Python worker keeps between tasks: the last one of its kind, if the key is the same.
+    """A cache that a Python worker keeps between tasks: one at a time, as long as kind and key are the same.
 
     Functions come to a worker anew with each task, so the cache lies in a module of its own. Losing
     it costs time only.
@@ -61,7 +61,13 @@ def remembered(kind: str, key: object, make):
     import sys
     import types
 
-    state = sys.modules.setdefault("opsreview_worker_state", types.ModuleType("opsreview_worker_state")).__dict__
-    if kind not in state or state[kind][0] != key:
-        state[kind] = (key, make())
-    return state[kind][1]
+    state = sys.modules.setdefault("opsreview_worker_state", types.ModuleType("opsreview_worker_state"))
+    if getattr(state, "name", None) != (kind, key):
+        state.cache = None
+        state.name, state.cache = (kind, key), make()
+    return state.cache
+
+
+def forget() -> None:
+    """Drop that cache before a task that needs the worker's memory itself."""
+    remembered("nothing", 0, lambda: None)

@@ -38,7 +38,7 @@ class TokenSettings:
     end_id: int = 2
     longest_code: int = 16
     block_ids: int = 1 << 17
-    cache_words: int = 500_000
+    cache_words: int = 200_000
 
 
 def _tokenizer_json(settings: TokenSettings) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsreview.llm.subwords import means, pieces
-from opsreview.llm.tables import held_out, stretches, text_of, thinned
+from opsreview.llm.tables import forget, held_out, stretches, text_of, thinned
 from opsreview.session import write_through
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…¿¡"
@@ -33,7 +33,7 @@ class ToxicitySettings:
     """``sample_rows`` bounds the labelled rows that training reads, half of them toxic if
     there are so many; ``cache_words`` bounds what a Python worker remembers."""
 
-    sample_rows: int = 16_000
+    sample_rows: int = 12_000
     buckets: int = 1 << 18
     width: int = 12
     shortest: int = 3
@@ -169,6 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings | No
 
 def _training(settings: ToxicitySettings, rate: float):
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         ids: dict[str, int] = {}
         clean_words, toxic_words, toxic_docs, spare_rows = [], [], [], []
         rows = sorted(x for batch in batches for x in zip(batch["turn"], batch["toxic"], batch["spare"], batch["words"], strict=True))
