@@ -14,6 +14,14 @@ def _count(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
+def _counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """Rows that meet each condition, all counted in one pass over the table."""
+    names = list(conditions)
+    counted = df.agg(*[F.count_if(condition).alias(f"n{i}") for i, condition in enumerate(conditions.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"n{i}").alias("violations")) for i, name in enumerate(names)])
+    return counted.select(F.inline(rows))
+
+
 def _repeated(df: DataFrame, name: str, *columns: str) -> DataFrame:
     """Rows beyond the first of each value."""
     groups = df.groupBy(*columns).agg((F.count("*") - 1).alias("extra"))
@@ -43,11 +51,11 @@ def key_checks(tables: Tables) -> list[DataFrame]:
 
 
 def order_checks(tables: Tables) -> list[DataFrame]:
-    checks = []
-    for name, df in tables.items().items():
-        for earlier, later in DATASETS[name].ordered:
-            checks.append(_count(df.where(F.col(later) < F.col(earlier)), f"{name}: {later} not before {earlier}"))
-    return checks
+    return [
+        _counts(df, {f"{name}: {later} not before {earlier}": F.col(later) < F.col(earlier) for earlier, later in DATASETS[name].ordered})
+        for name, df in tables.items().items()
+        if DATASETS[name].ordered
+    ]
 
 
 def action_checks(tables: Tables) -> list[DataFrame]:

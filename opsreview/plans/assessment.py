@@ -21,7 +21,7 @@ from opsreview.operators import (
     trend,
 )
 from opsreview.operators.rollups import latest_metrics
-from opsreview.session import write_through
+from opsreview.session import write_each, write_through
 from opsreview.sources.tables import Tables
 
 
@@ -93,15 +93,15 @@ def assess(
 ) -> Assessment:
     """Run the analytics over the tables, for all entities or the given ones.
 
-    The KPI table, the investigation records and the features are written once and
-    shared; so is the findings table, the product of the run.
+    The KPI table, the investigation records, the features and each detector's output are
+    written once and shared; so is the findings table, the product of the run.
     """
     scoped = tables.scoped(entity_ids)
     kpis = write_through(latest_metrics(scoped.performance_metrics), "kpis")
     scoped = scoped.replace(performance_metrics=kpis)
     records = sequences.investigation_records(scoped, config.sequences)
     features = forest.model_rows(scoped)
-    detected = detect_all(scoped, config, records, features)
+    detected = write_each(detect_all(scoped, config, records, features))
     return Assessment(
         scoped, config, records, features, detected, write_through(findings.unified(detected), "findings")
     )

@@ -36,7 +36,7 @@ from opsreview.operators import (
 from opsreview.operators.rollups import latest_metrics, period_features
 from opsreview.plans.assessment import assess
 from opsreview.schemas import DATASETS
-from opsreview.session import shared_folder, write_through
+from opsreview.session import run_folder, write_each, write_through
 from opsreview.sources import demo, files
 from opsreview.sources.tables import Tables
 
@@ -344,13 +344,13 @@ def findings_by_category(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def evidence_refs(spark: SparkSession, folder: str) -> DataFrame:
     tables, records, detected = _detected(spark, folder)
-    return evidence.all_refs(tables, detected, records, CONFIG.sequences).drop("reason")
+    return evidence.all_refs(tables, write_each(detected), records, CONFIG.sequences).drop("reason")
 
 
 @query
 def evidence_unsupported(spark: SparkSession, folder: str) -> DataFrame:
     tables, records, detected = _detected(spark, folder)
-    refs = evidence.all_refs(tables, detected, records, CONFIG.sequences)
+    refs = evidence.all_refs(tables, write_each(detected), records, CONFIG.sequences)
     return evidence.unsupported_refs(tables, refs).select("finding_key", "source_type", "source_id")
 
 
@@ -521,7 +521,7 @@ def ingest_alert_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 def _uploaded(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """Problems of the raw alerts after a round through an uploaded file in the shared folder."""
-    path = f"{shared_folder(spark)}/opsreview-{spark.sparkContext.applicationId}/upload-{uuid.uuid4().hex}/alerts.{suffix}"
+    path = f"{run_folder(spark)}/upload-{uuid.uuid4().hex}/alerts.{suffix}"
     ordered = raw_alerts(spark, folder).orderBy("_row").drop("_row")
     if suffix == "csv":
         ordered.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

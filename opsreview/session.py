@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/opsreview-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that were not written elsewhere are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_through(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -47,7 +60,12 @@ def write_through(df: DataFrame, label: str) -> DataFrame:
     tables of an application lie in one folder, to be dropped when it is done.
     """
     spark = df.sparkSession
-    run = f"{shared_folder(spark)}/opsreview-{spark.sparkContext.applicationId}"
-    path = f"{run}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_each(frames: Mapping[str, DataFrame], at_once: int = 4) -> dict[str, DataFrame]:
+    """Write several independent tables through, a few at a time, so that small jobs overlap."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(frames, pool.map(lambda item: write_through(item[1], item[0]), frames.items()), strict=True))

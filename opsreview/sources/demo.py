@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from opsreview.operators.rollups import kpi_rollup
@@ -57,19 +57,20 @@ class _Demo:
         return self.raw("customer")
 
     @cached_property
-    def horizon(self) -> DataFrame:
+    def horizon(self) -> Row:
+        """First and last month, read once: many tables need them."""
         return self.orders.select(
             _month_start(F.min("o_orderdate")).alias("first"),
             F.add_months(_month_start(F.max("o_orderdate")), 1).alias("last"),
-        )
+        ).first()
 
     @property
     def first(self) -> Column:
-        return self.horizon.select("first").scalar()
+        return F.lit(self.horizon["first"])
 
     @property
     def last(self) -> Column:
-        return self.horizon.select("last").scalar()
+        return F.lit(self.horizon["last"])
 
     @cached_property
     def entities(self) -> DataFrame:
