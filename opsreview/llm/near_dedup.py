@@ -37,7 +37,7 @@ from opsreview.session import write_through
 @dataclass(frozen=True)
 class NearSettings:
     """``percent``: least Jaccard similarity of shingle sets in percent; ``miss``: chance that a pair at
-    that similarity collides too seldom; ``long_list``: lists from this length on are skipped first;
+    that similarity collides too seldom; ``long_list``: lists from this length on are put in order of length, behind shorter ones;
     ``tile_rows``/``tile_items``: size of a tile; ``broadcast_rows`` and
     ``broadcast_lists``: up to so many row hashes or long lists (24 bytes each) go to every task."""
 
@@ -45,11 +45,11 @@ class NearSettings:
     percent: int = 80
     coordinates: int = 64
     miss: float = 1e-6
-    long_list: int = 24
+    long_list: int = 2
     tile_rows: int = 512
     tile_items: int = 1_000_000
     broadcast_rows: int = 400_000
-    broadcast_lists: int = 1_000_000
+    broadcast_lists: int = 3_000_000
     cache_words: int = 300_000
     seed: int = 3
 
