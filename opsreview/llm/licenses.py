@@ -94,13 +94,18 @@ def scanned(documents: DataFrame, settings: LicenseSettings | None = None) -> Da
     text = text_of()
     rows = documents.select("doc_id", text.alias("text"))
     whole = F.concat(F.lit(" "), _normal(F.col("text")), F.lit(" "))
-    any_anchor = F.lit(False)
-    for anchor in anchors(settings):
-        any_anchor = any_anchor | F.contains("normal", F.lit(f" {anchor} "))
-    rows = rows.withColumn("normal", whole).filter(any_anchor)
+
+    def any_anchor(normal: Column) -> Column:
+        found = F.lit(False)
+        for anchor in anchors(settings):
+            found = found | F.contains(normal, F.lit(f" {anchor} "))
+        return found
+
+    # As the element of an array the text is normalised once, not once for each anchor.
+    rows = rows.filter(F.exists(F.array(whole), any_anchor))
     passages = rows.select("doc_id", F.explode(_passages(F.col("text"))).alias("passage"))
     passages = passages.select("doc_id", _normal(F.col("passage")).alias("passage")).distinct()
-    cut = passages.withColumn("own", _bigrams(F.split("passage", " "))).filter(F.size("own") > 0)
+    cut = passages.withColumn("tokens", F.split("passage", " ")).filter(F.size("tokens") > 1).withColumn("own", _bigrams(F.col("tokens")))
     d = settings.dice
     scores = []
     for name, template in settings.templates:
@@ -109,7 +114,8 @@ def scanned(documents: DataFrame, settings: LicenseSettings | None = None) -> Da
         dice = 2 * F.size(F.array_intersect("own", F.array(*map(F.lit, own)))) / (F.size("own") + len(own))
         scores.append(F.when(F.size("own").between(low, high), F.struct((-F.round(dice, 6)).alias("less"), F.lit(name).alias("license"))))
     best = F.least(*scores) if len(scores) > 1 else scores[0]
-    met = cut.withColumn("best", best).filter(F.col("best.less") <= -d)
+    # Generated rows are filtered as they come; a filter on a plain column would score every passage anew for each use.
+    met = cut.select("doc_id", F.explode(F.array(best)).alias("best")).filter(F.col("best.less") <= -d)
     return met.groupBy("doc_id", F.col("best.license").alias("license")).agg((-F.min("best.less")).alias("dice"), F.count("*").alias("passages"))
 
 
