@@ -324,15 +324,18 @@ def findings_page(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def findings_after(spark: SparkSession, folder: str) -> DataFrame:
-    """The page behind a key, for the findings of one month."""
-    chosen = findings.select_findings(_findings(spark, folder), analytic_id="EG-002", period="2023-08")
-    return findings.page(chosen, limit=50, after="EG-002:ALR-0000001000").select("finding_key", "entity_id", "period_label")
+    """The page behind the first key of the newest month's workflow findings."""
+    found = write_through(_findings(spark, folder), "findings")
+    newest = found.where("analytic_id = 'IF-DEV-002'").agg(F.max("period_label")).first()[0]
+    chosen = findings.select_findings(found, analytic_id="IF-DEV-002", period=newest)
+    first = chosen.agg(F.min("finding_key")).first()[0]
+    return findings.page(chosen, limit=50, after=first).select("finding_key", "entity_id", "period_label")
 
 
 @query
 def finding_one(spark: SparkSession, folder: str) -> DataFrame:
     found = write_through(_findings(spark, folder), "findings")
-    key = found.where("analytic_id = 'EG-003'").agg(F.min("finding_key")).first()[0]
+    key = found.where("analytic_id = 'EG-001'").agg(F.min("finding_key")).first()[0]
     return findings.one(found, key or "").select("finding_key", "analytic_id", "entity_id", "evidence_count")
 
 

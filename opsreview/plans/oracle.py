@@ -397,8 +397,10 @@ _QUERIES: dict[str, str] = {
     "findings": "SELECT finding_key, analytic_id, finding_type, category, entity_id, period_label, severity AS alert_severity, confidence, factors AS confidence_factors, evidence_count FROM findings",
     "findings_of_category": "SELECT finding_key, analytic_id, entity_id, period_label, confidence FROM findings WHERE category = 'EXECUTION_GAP' AND entity_id = 'ENT-07'",
     "findings_page": "SELECT finding_key, analytic_id, finding_type, entity_id, period_label FROM findings ORDER BY finding_key LIMIT 50 OFFSET 100",
-    "findings_after": "SELECT finding_key, entity_id, period_label FROM findings WHERE analytic_id = 'EG-002' AND period_label = '2023-08' AND finding_key > 'EG-002:ALR-0000001000' ORDER BY finding_key LIMIT 50",
-    "finding_one": "SELECT finding_key, analytic_id, entity_id, evidence_count FROM findings WHERE finding_key = (SELECT min(finding_key) FROM findings WHERE analytic_id = 'EG-003')",
+    "findings_after": """SELECT finding_key, entity_id, period_label FROM (SELECT *, min(finding_key) OVER () AS first_key FROM findings
+        WHERE analytic_id = 'IF-DEV-002' AND period_label = (SELECT max(period_label) FROM findings WHERE analytic_id = 'IF-DEV-002'))
+        WHERE finding_key > first_key ORDER BY finding_key LIMIT 50""",
+    "finding_one": "SELECT finding_key, analytic_id, entity_id, evidence_count FROM findings WHERE finding_key = (SELECT min(finding_key) FROM findings WHERE analytic_id = 'EG-001')",
     "findings_by_category": "SELECT c AS category, count(finding_key) AS n FROM (VALUES ('EXECUTION_GAP'), ('MONITORING_GAP'), ('ANOMALY'), ('PEER_DEVIATION'), ('METRIC_RISK_DIVERGENCE'), ('WORKFLOW_PATTERN')) v(c) LEFT JOIN findings ON category = c GROUP BY c",
     "evidence_refs": "SELECT DISTINCT finding_key, analytic_id, source_type, source_id, role, period_label FROM refs",
     "evidence_unsupported": "SELECT finding_key, source_type, source_id FROM refs WHERE source_type = 'ALERT' AND source_id NOT IN (SELECT alert_id FROM alerts) OR source_type = 'ASSET' AND source_id NOT IN (SELECT asset_id FROM assets) OR source_type = 'INVESTIGATION' AND source_id NOT IN (SELECT investigation_id FROM investigations)",
