@@ -37,15 +37,13 @@ from opsreview.session import write_through
 @dataclass(frozen=True)
 class NearSettings:
     """``percent``: least Jaccard similarity of shingle sets in percent; ``miss``: chance that a pair at
-    that similarity collides too seldom; ``long_list``: lists from this length on are put in order of length, behind shorter ones;
-    ``tile_rows``/``tile_items``: size of a tile; ``broadcast_rows`` and
-    ``broadcast_lists``: up to so many row hashes or long lists (24 bytes each) go to every task."""
+    that similarity collides too seldom; ``tile_rows``/``tile_items``: size of a tile; ``broadcast_rows`` and
+    ``broadcast_lists``: up to so many rows of hashes (24 or 40 bytes each) go to every task."""
 
     shingle: int = 5
     percent: int = 80
     coordinates: int = 64
     miss: float = 1e-6
-    long_list: int = 2
     tile_rows: int = 512
     tile_items: int = 1_000_000
     broadcast_rows: int = 400_000
@@ -152,20 +150,25 @@ def _hashed(documents: DataFrame) -> DataFrame:
     return rows.withColumn("row_hash", F.xxhash64("doc_id", "known", "text"))
 
 
+def _small(written: DataFrame, bound: int) -> DataFrame:
+    """For a join: sent to every task while it has no more rows than the bound."""
+    return F.broadcast(written) if written.count() <= bound else written
+
+
 def _posts(classes: DataFrame, settings: NearSettings) -> DataFrame:
-    """``token, fp, weight``: each class under its first K - T + 1 coordinate values, rare ones first.
-    ``weight`` is how long the class's lists are altogether."""
+    """``token, fp, weight``: each class under those of its first K - T + 1 coordinate values, in order of
+    list length, that it shares with others; a list of one gives no pair. ``weight`` is how long the
+    class's lists are altogether."""
     prefix = settings.coordinates - least_collisions(settings) + 1
     spread = classes.repartition("fp").select("fp", F.posexplode("sig").alias("at", "value"))
     tokens = spread.select("fp", F.xxhash64("at", "value").alias("token"))
-    long = tokens.groupBy("token").agg(F.count("*").alias("length")).filter(F.col("length") >= settings.long_list)
-    long = write_through(long, "long-lists")
-    long = F.broadcast(long) if long.count() <= settings.broadcast_lists else long
-    ordered = tokens.join(long, "token", "left").groupBy("fp").agg(
+    shared = write_through(tokens.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"), "shared-lists")
+    ordered = tokens.join(_small(shared, settings.broadcast_lists), "token", "left").groupBy("fp").agg(
         F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("length", F.lit(0)).alias("length"), "token"))), 1, prefix).alias("posts"),
         F.sum("length").alias("weight"),
     )
-    return ordered.select("fp", F.coalesce("weight", F.lit(0)).alias("weight"), F.explode("posts.token").alias("token"))
+    posts = ordered.filter("weight is not null").select("fp", "weight", F.explode("posts").alias("post"))
+    return posts.filter("post.length > 1").select("fp", "weight", "post.token")
 
 
 def _stars(classes: DataFrame, settings: NearSettings) -> DataFrame:
@@ -185,8 +188,7 @@ def _stars(classes: DataFrame, settings: NearSettings) -> DataFrame:
 def _sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
     """``fp, items`` of the wanted classes, from one text of each."""
     one = write_through(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("row_hash").alias("row_hash")), "set-rows")
-    one = F.broadcast(one) if one.count() <= settings.broadcast_rows else one
-    texts = _hashed(documents).join(one, "row_hash").select("row_hash", "fp", "text")
+    texts = _hashed(documents).join(_small(one, settings.broadcast_rows), "row_hash").select("row_hash", "fp", "text")
     if not rows.groupBy("row_hash").count().filter("count > 1").isEmpty():  # rows that repeat id and text
         texts = texts.dropDuplicates(["row_hash"])
     return write_through(texts.mapInPandas(_set_making(settings), "fp binary, items binary"), "sets")
@@ -220,10 +222,12 @@ def _comparing(percent: int):
 
 def _compared(stars: DataFrame, sets: DataFrame, settings: NearSettings) -> DataFrame:
     """Every star pair on the full sets. A leader with many members is compared in several places."""
-    members = stars.join(sets, "fp").withColumn("size", F.length("items"))
+    stars = _small(stars, settings.broadcast_rows)
+    members = stars.join(sets, "fp")
     load = stars.join(sets.select("fp", (F.length("items") / 8).alias("size")), "fp").groupBy("leader").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     places = F.ceil(F.greatest(F.col("size") / settings.tile_items, F.col("n") / settings.tile_rows)).cast("int")
     load = write_through(load.select("leader", F.greatest(places, F.lit(1)).alias("places")), "star-loads")
+    load = _small(load, settings.broadcast_rows)
     placed = members.join(load, "leader").withColumn("place", F.pmod(F.xxhash64("fp"), F.col("places")))
     leaders = load.join(sets.withColumnRenamed("fp", "leader"), "leader").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
     columns = ["leader", "place", "leads", "fp", "crowd", "items"]

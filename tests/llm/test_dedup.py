@@ -100,7 +100,7 @@ def near_family(draw, start, n, size=150, most=40):
 def test_near_awkward_rows(spark, width, percent):
     draw = random.Random(4)
     rows = awkward() + near_family(draw, 1000, 120, most=12) + near_family(draw, 2000, 60, size=80, most=6)
-    settings = near_dedup.NearSettings(shingle=width, percent=percent, tile_rows=16, long_list=4)
+    settings = near_dedup.NearSettings(shingle=width, percent=percent, tile_rows=16)
     got = near_dedup.grouped(frame(spark, rows, True).repartition(5), settings).collect()
     assert sorted(map(tuple, got), key=key) == brute_near(rows, width, percent)
 
