@@ -203,3 +203,14 @@ def test_evaluation(spark, run):
         "CRITICAL_ALERT_WITHOUT_ESCALATION": "DETECTED", "TELEMETRY_DISAPPEARANCE": "MISSED",
         "NORMAL_BASELINE": "CONTROL_CLEAN", "SUSPICIOUSLY_FAST_INVESTIGATION": "DETECTED",
     }
+
+
+def test_outcomes_of_a_second_run(spark):
+    from opsreview.operators import entities, queue
+
+    rows = spark.createDataFrame([("INSERTED",), ("INSERTED",), ("KEPT",)], "outcome string")
+    assert {r["outcome"]: r["n"] for r in queue.outcomes(rows).collect()} == {"INSERTED": 2, "UPDATED": 0, "UNCHANGED": 0, "KEPT": 1, "TOTAL": 3}
+    assert {r["n"] for r in queue.outcomes(rows.limit(0)).collect()} == {0}
+    ids = spark.createDataFrame([(f"ENT-{k:02}",) for k in range(30)], "entity_id string")
+    assert [r[0] for r in entities.page(ids, 2, after="ENT-07").collect()] == ["ENT-08", "ENT-09"]
+    assert [r[0] for r in entities.one(ids, "ENT-03").collect()] == ["ENT-03"]
