@@ -38,7 +38,7 @@ class TokenSettings:
     end_id: int = 2
     longest_code: int = 16
     block_ids: int = 1 << 17
-    cache_words: int = 200_000
+    cache_words: int = 300_000
 
 
 def _tokenizer_json(settings: TokenSettings) -> str:
@@ -85,9 +85,10 @@ class WordCache(dict):
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
+            kept = [(w, self[w]) for w in words if w in self]  # common words are among those just met
             self.clear()
-            self.odd.clear()
-            new = list(words)
+            self.update(kept)
+            self.odd &= words
         self.odd.update(w for w in new if w != "\n" and self.is_odd(w))
         after_blank = [w for w in new if w[0] == " " and len(w) > 1]
         # Pieces that begin with a blank are tokenized in one go and cut before each id that begins with one.
