@@ -6,6 +6,7 @@
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from opsreview.plans.catalog import QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,5 +30,5 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_every_query_but_the_forest_has_sql():
-    without = set(queries()) - set(oracle_sql())
+    without = set(QUERIES) - set(oracle_sql())
     assert without == {"an001_isolation_forest", "assessment_findings", "assessment_summary"}
