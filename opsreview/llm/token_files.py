@@ -120,8 +120,16 @@ class WordCache(dict):
         return [next(rest) if parts is None else b"".join(map(self.__getitem__, parts)) for parts in cut]
 
 
-def tokenized(documents: DataFrame, settings: TokenSettings) -> DataFrame:
-    """``doc_id, known, n_tokens, ids``: little-endian 32-bit ids of each whole text and the end id; null counts as empty."""
+def id_type(json_text: str, end_id: int) -> str:
+    """Two bytes for each id if all of them fit, else four."""
+    from tokenizers import Tokenizer
+
+    top = max([end_id, *Tokenizer.from_str(json_text).get_vocab().values()])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def tokenized(documents: DataFrame, settings: TokenSettings, kind: str = "<u4") -> DataFrame:
+    """``doc_id, known, n_tokens, ids``: little-endian ids, of the numpy type ``kind``, of each whole text and the end id; null counts as empty."""
     json_text, end = _tokenizer_json(settings), np.array([settings.end_id], "<u4").tobytes()
     shared = documents.sparkSession.sparkContext.broadcast(json_text)  # the vocabulary file: a few MB
     most = settings.cache_words
@@ -131,8 +139,8 @@ def tokenized(documents: DataFrame, settings: TokenSettings) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             for start, stop in stretches(texts):
-                ids = [x + end for x in cache.encode(texts[start:stop])]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:stop].array, "known": batch["known"].iloc[start:stop].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in cache.encode(texts[start:stop])]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:stop].array, "known": batch["known"].iloc[start:stop].array, "n_tokens": list(map(len, ids)), "ids": [x.tobytes() for x in ids]})
 
     known = F.col("doc_id").isNotNull().alias("known")
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), known, text_of().alias("text"))
@@ -140,16 +148,19 @@ def tokenized(documents: DataFrame, settings: TokenSettings) -> DataFrame:
     return rows.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")))
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for start, stop in stretches(batch["ids"].tolist(), 8_000_000):
-            own = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[start:stop]), "<u4"))
-            if len(own) > len(total):
-                total = np.pad(total, (0, len(own) - len(total)))
-            total[: len(own)] += own
-    used = np.flatnonzero(total)
-    yield pd.DataFrame({"id": used, "n": total[used]})
+def _counting(kind: str):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for start, stop in stretches(batch["ids"].tolist(), 8_000_000):
+                own = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[start:stop]), kind))
+                if len(own) > len(total):
+                    total = np.pad(total, (0, len(own) - len(total)))
+                total[: len(own)] += own
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"id": used, "n": total[used]})
+
+    return count
 
 
 def code_lengths(counts: list[int], longest: int) -> list[int]:
@@ -277,14 +288,15 @@ def write(documents: DataFrame, path: str, settings: TokenSettings | None = None
     Rows with equal ids are all written, ordered by the hash of their token ids."""
     settings = settings or TokenSettings()
     spark = documents.sparkSession
-    ids = write_through(tokenized(documents, settings).withColumn("tie", F.xxhash64("ids")), "token-ids")
-    counts = ids.select("ids").mapInPandas(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    kind = id_type(_tokenizer_json(settings), settings.end_id)
+    ids = write_through(tokenized(documents, settings, kind).withColumn("tie", F.xxhash64("ids")), "token-ids")
+    counts = ids.select("ids").mapInPandas(_counting(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # As many rows as the vocabulary has ids.
     code = canonical([(r["id"], r["n"]) for r in counts.collect()], settings.longest_code)
     spark.createDataFrame(
         pd.DataFrame({"rank": np.arange(len(code.ids)), "id": code.ids, "bits": code.lengths}), "rank long, id long, bits long"
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
-    most = settings.block_ids
+    most, each = settings.block_ids, np.dtype(kind).itemsize
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, lengths = code.encoding()
@@ -292,10 +304,10 @@ def write(documents: DataFrame, path: str, settings: TokenSettings | None = None
         size = number = 0
 
         def closed() -> pd.DataFrame:
-            every = np.frombuffer(b"".join(x[3] for x in held), "<u4")
+            every = np.frombuffer(b"".join(x[3] for x in held), kind)
             bits, at = pack(every, codes, lengths)
             doc, known = np.array([x[1] for x in held], "<i8"), np.array([x[2] for x in held], "u1")
-            n = np.array([len(x[3]) // 4 for x in held], "<i8")
+            n = np.array([len(x[3]) // each for x in held], "<i8")
             return pd.DataFrame(
                 {"part": [held[0][0]], "block": [number], "doc_ids": [doc.tobytes()], "known": [known.tobytes()], "n_ids": [n.tobytes()], "checkpoints": [at.astype("<i8").tobytes()], "bits": [bits]}
             )
@@ -303,7 +315,7 @@ def write(documents: DataFrame, path: str, settings: TokenSettings | None = None
         for batch in batches:
             for row in zip(batch["part"], batch["doc_id"], batch["known"], batch["ids"], strict=True):
                 held.append(row)
-                size += len(row[3]) // 4
+                size += len(row[3]) // each
                 if size >= most:
                     yield closed()
                     held, size, number = [], 0, number + 1
