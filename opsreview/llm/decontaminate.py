@@ -7,7 +7,8 @@ alignment of document and item, equal item values stand for equal document value
 the same type and unequal ones for unequal ones. A document is contaminated if
 consistent windows cover enough of an item.
 
-Every window of every whole text is looked up. Only the distinct hashes of the
+Windows of too few words besides placeholders, and whole items of a few tokens, are looked up by their
+values instead. Every window of every whole text is looked up. Only the distinct hashes of the
 benchmark's windows go to all tasks, and only while their count is below a stated
 bound; beyond it the same join shuffles.
 """
@@ -35,7 +36,8 @@ UNITS = (
 @dataclass(frozen=True)
 class DecontaminationSettings:
     """``coverage``: share of an item's windows that must be found; ``least_tokens``: shorter items
-    say too little to be looked for; ``least_literals``: words a window must have besides placeholders;
+    say too little for a template and are looked for, by their values, with ``short_items`` only;
+    ``least_literals``: words a window must have besides placeholders, others are looked up by their values;
     ``broadcast_hashes``: up to so many distinct window hashes (8 bytes each) go to every task."""
 
     window: int = 8
@@ -43,6 +45,7 @@ class DecontaminationSettings:
     least_tokens: int = 5
     least_literals: int = 4
     broadcast_hashes: int = 2_000_000
+    short_items: bool = False
 
 
 def _spaced(text: Column) -> Column:
@@ -67,29 +70,75 @@ def _tokens(df: DataFrame) -> DataFrame:
     return spaced.withColumns({"values": _split(F.col("spaced")), "template": _split(_templated(F.col("spaced")))}).drop("spaced")
 
 
-def _windows(df: DataFrame, size: int) -> DataFrame:
-    """One row per window of ``size`` tokens: ``at`` (from 0) and ``hash``."""
-    starts = F.when(F.size("template") >= size, F.sequence(F.lit(1), F.size("template") - (size - 1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, F.lit(size))))
-    return df.select("*", F.posexplode(hashes).alias("at", "hash"))
+# Ways to look a window up: by its template, or by its values where the template says too little.
+TEMPLATE, EXACT = 0, 2
+_STREAM = {TEMPLATE: "template", EXACT: "values"}
+
+
+def _low_windows(df: DataFrame, size: int, settings: DecontaminationSettings) -> DataFrame:
+    """Adds ``low``, the starts (from 1) of the windows with too few literals: a window has too many
+    placeholders where it holds some placeholder and the one ``need - 1`` places on in their order."""
+    n = F.size("template") - (size - 1)
+    need = size - settings.least_literals + 1
+    if need <= 0 or size < settings.least_tokens:
+        return df.withColumn("low", F.sequence(F.lit(1), n))
+    df = df.withColumn("typed", F.filter(F.transform("template", lambda x, i: F.when(x.startswith("ǀ"), i + 1)), lambda x: x.isNotNull()))
+    ends = F.zip_with("typed", F.slice("typed", F.lit(need), F.greatest(F.size("typed"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    ends = F.filter(ends, lambda r: r["last"].isNotNull())
+    ranges = F.transform(ends, lambda r: F.struct(F.greatest(F.lit(1), r["last"] - (size - 1)).alias("low"), F.least(r["first"], n).alias("high")))
+    ranges = F.filter(ranges, lambda r: r["low"] <= r["high"])
+    return df.withColumn("low", F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["low"], r["high"]))))).drop("typed")
+
+
+def _windows(df: DataFrame, size: int, settings: DecontaminationSettings) -> DataFrame:
+    """One row per window of ``size`` tokens and way to look it up: ``at`` (from 0), ``way`` and ``hash``."""
+    rows = _low_windows(df.filter(F.size("template") >= size), size, settings)
+    starts = {EXACT: F.col("low")}
+    if size >= settings.least_tokens:
+        starts[TEMPLATE] = F.sequence(F.lit(1), F.size("template") - (size - 1))
+
+    def hashed(way: int) -> Column:
+        one = lambda i: F.struct((i - 1).alias("at"), F.lit(way).alias("way"), F.xxhash64(F.lit(way), F.slice(_STREAM[way], i, F.lit(size))).alias("hash"))
+        return F.transform(starts[way], one)
+
+    return rows.select("doc_id", "text_hash", "template", "values", F.inline(F.concat(*map(hashed, starts))))
 
 
 def _benchmark_windows(benchmark: DataFrame, settings: DecontaminationSettings) -> DataFrame:
-    """The items' windows. An item shorter than a window is one window of its own length."""
-    items = _tokens(benchmark.select("item_id", text_of().alias("text")).distinct()).filter(F.size("template") >= settings.least_tokens)
+    """The items' windows. An item shorter than a window is one window of its own length.
+
+    ``typed``: the template says enough to be searched; other windows are searched by their values.
+    ``typed_windows`` counts the former, ``item_windows`` all.
+    """
+    least = 1 if settings.short_items else settings.least_tokens
+    items = _tokens(benchmark.select("item_id", text_of().alias("text")).distinct()).filter(F.size("template") >= least)
     size = F.least(F.size("template"), F.lit(settings.window))
     items = items.select("item_id", "values", "template", size.alias("size"), (F.size("template") - size + 1).alias("item_windows"))
-    at = items.select("*", F.explode(F.sequence(F.lit(0), F.col("item_windows") - 1)).alias("item_at"))
-    cut = at.select(
+
+    def cut(column: str, at: Column) -> Column:
+        return F.slice(column, at + 1, F.col("size"))
+
+    def typed(at: Column) -> Column:
+        literals = F.size(F.filter(cut("template", at), lambda x: ~x.startswith("ǀ")))
+        return (literals >= settings.least_literals) & (F.col("size") >= settings.least_tokens)
+
+    places = F.sequence(F.lit(0), F.col("item_windows") - 1)
+    items = items.withColumn("typed_windows", F.size(F.filter(places, typed)))
+    at = items.select("*", F.explode(places).alias("item_at"))
+    at = at.withColumn("typed", typed(F.col("item_at")))
+    at = at.withColumn("way", F.when(F.col("typed"), TEMPLATE).otherwise(EXACT))
+    rows = at.select(
         "item_id",
         "item_windows",
+        "typed_windows",
         "item_at",
         "size",
-        F.slice("template", F.col("item_at") + 1, F.col("size")).alias("item_template"),
-        F.slice("values", F.col("item_at") + 1, F.col("size")).alias("item_values"),
+        "typed",
+        "way",
+        F.when(F.col("way") == EXACT, cut("values", F.col("item_at"))).otherwise(cut("template", F.col("item_at"))).alias("item_template"),
+        cut("values", F.col("item_at")).alias("item_values"),
     )
-    literals = F.size(F.filter("item_template", lambda x: ~x.startswith("ǀ")))
-    return cut.filter(literals >= settings.least_literals).withColumn("hash", F.xxhash64("item_template"))
+    return rows.withColumn("hash", F.xxhash64("way", "item_template"))
 
 
 def _found(documents: DataFrame, windows: DataFrame, settings: DecontaminationSettings) -> DataFrame:
@@ -99,9 +148,14 @@ def _found(documents: DataFrame, windows: DataFrame, settings: DecontaminationSe
     out = None
     for size in sorted(counts) or [settings.window]:
         hashes = wanted.filter(F.col("size") == size).select("hash")
-        hashes = F.broadcast(hashes) if counts.get(size, 0) <= settings.broadcast_hashes else hashes.hint("merge")
-        cut = [F.slice(c, F.col("at") + 1, F.lit(size)).alias(f"doc_{c}") for c in ("template", "values")]
-        rows = _windows(documents, size).join(hashes, "hash", "left_semi").select("doc_id", "text_hash", "hash", "at", *cut)
+        values = F.slice("values", F.col("at") + 1, F.lit(size))
+        template = F.when(F.col("way") == EXACT, values).otherwise(F.slice("template", F.col("at") + 1, F.lit(size)))
+        cut = ["doc_id", "text_hash", "hash", "way", "at", template.alias("doc_template"), values.alias("doc_values")]
+        rows = _windows(documents, size, settings)
+        if counts.get(size, 0) <= settings.broadcast_hashes:
+            rows = rows.join(F.broadcast(hashes), "hash", "left_semi").select(*cut)
+        else:  # cut first: whole texts must not travel with each of their windows
+            rows = rows.select(*cut).join(hashes.hint("merge"), "hash", "left_semi")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -109,11 +163,14 @@ def _found(documents: DataFrame, windows: DataFrame, settings: DecontaminationSe
 def matches(documents: DataFrame, benchmark: DataFrame, settings: DecontaminationSettings | None = None) -> DataFrame:
     """``doc_id, text_hash, item_id, matched_windows, item_windows, same_values`` of each contaminated
     document and item. Rows that repeat id and text count once. Null texts count as empty, null
-    item ids and null doc ids are kept as they are."""
+    item ids and null doc ids are kept as they are.
+
+    Windows that only their values can find count in a coverage over all windows; another coverage is over the
+    windows with searched templates. The larger one counts, and both counts of windows are its own."""
     settings = settings or DecontaminationSettings()
     windows = write_through(_benchmark_windows(benchmark, settings), "benchmark-windows")
     tokens = _tokens(documents.select("doc_id", text_of().alias("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), "values", "template")
-    met = _found(tokens, windows, settings).join(windows, "hash").filter(F.col("doc_template") == F.col("item_template"))
+    met = _found(tokens, windows, settings).join(windows, ["hash", "way"]).filter(F.col("doc_template") == F.col("item_template"))
     slots = F.filter(
         F.transform(
             F.sequence(F.lit(1), F.col("size")),
@@ -128,20 +185,28 @@ def matches(documents: DataFrame, benchmark: DataFrame, settings: Decontaminatio
         ),
         lambda x: x.isNotNull(),
     )
+    item = ["doc_id", "text_hash", "item_id", "item_windows", "typed_windows"]
     # An alignment has at most as many windows and slots as the item, so these sets are small.
-    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
+    aligned = met.groupBy(*item, (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set(F.struct("item_at", "typed")).alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
     )
     one_way = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["was"]))))
     other_way = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["now"]))))
     consistent = aligned.filter((one_way == F.size("slots")) & (other_way == F.size("slots")))
+    covered = consistent.groupBy(*item).agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+        F.bool_or(F.forall("slots", lambda x: x["was"] == x["now"])).alias("same_values"),
+    )
+
+    def way(matched: Column, of: str) -> Column:
+        n = F.size(matched).cast("long")
+        return F.struct(F.coalesce(F.try_divide(n, F.col(of)), F.lit(0.0)).alias("share"), n.alias("matched"), F.col(of).alias("of"))
+
+    best = F.greatest(way(F.col("places"), "item_windows"), way(F.filter("places", lambda x: x["typed"]), "typed_windows"))
     return (
-        consistent.groupBy("doc_id", "text_hash", "item_id", "item_windows")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched_windows"),
-            F.bool_or(F.forall("slots", lambda x: x["was"] == x["now"])).alias("same_values"),
-        )
-        .filter(F.col("matched_windows") >= F.lit(settings.coverage) * F.col("item_windows"))
+        covered.withColumn("best", best)
+        .filter(F.col("best.matched") >= F.lit(settings.coverage) * F.col("best.of"))
+        .select("doc_id", "text_hash", "item_id", F.col("best.matched").alias("matched_windows"), F.col("best.of").alias("item_windows"), "same_values")
     )
 
 

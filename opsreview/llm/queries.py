@@ -60,7 +60,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return decontaminate.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), decontaminate.DecontaminationSettings(short_items=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

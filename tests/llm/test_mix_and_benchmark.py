@@ -111,6 +111,24 @@ def test_templates_and_slots(spark):
     ]
 
 
+def judged_by(spark, items, texts):
+    """Flagged item and ``same_values`` of each text, short items included."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    out = decontaminate.judged(docs, bench, decontaminate.DecontaminationSettings(short_items=True)).collect()
+    return [(r["item_id"], r["same_values"]) for r in sorted(out, key=lambda r: r["doc_id"])]
+
+
+def test_items_of_numbers_and_short_items_are_found(spark):
+    items = [
+        "What comes next: 2, 4, 8, 16, 32, 64, 128, 256?", "Compute 12 + 7 * 3 - 48 / 6 + 15 and give the result.",
+        "Solve for x: 3 x + 7 y = 21, 5 x - 2 y = 4, 6 x + 9 y = 33.", "Define brittle fracture",
+    ]
+    texts = [f"some words before. {x} And others behind it." for x in items]
+    texts += ["What comes next: 3, 5, 9, 17, 31, 65, 127, 255?", "Define a fracture", "so define BRITTLE fracture!"]
+    assert judged_by(spark, items, texts) == [(0, True), (1, True), (2, True), (3, True), (None, None), (None, None), (3, True)]
+
+
 def test_planted_items_are_found_and_clean_rows_stay(spark):
     draw = random.Random(4)
     items = [(k, " ".join(words(draw, draw.randrange(15, 60), of=300)).capitalize() + ".") for k in range(30)]
