@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
-Numbers, units after numbers and names become typed placeholders, so an item whose
-numbers or names were swapped keeps its template. Windows of template tokens are
+Numbers and units after numbers become typed placeholders, and in a second template of each
+window capitalised words, too, so an item whose numbers or names were swapped keeps a template. Windows of template tokens are
 hash-joined; then the values behind the placeholders must be consistent: along one
 alignment of document and item, equal item values stand for equal document values of
 the same type and unequal ones for unequal ones. A document is contaminated if
@@ -25,7 +25,8 @@ from opsreview.session import write_through
 
 # Placeholders are letters, so that splitting keeps them; U+01C0 is not used in prose.
 NAME, NUMBER, UNIT = "ǀa", "ǀn", "ǀu"
-_AFTER = r"(?:\p{Ll}|ǀa)[,;:]? "  # inside a sentence
+# Wherever it stands, so that what precedes an item changes nothing.
+_CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}(?=\p{L}*\p{Ll})\p{L}+"
 UNITS = (
     "kg mg g lb lbs oz km cm mm m mi mile miles ft feet inch inches yd ml l liter liters litre litres "
     "s sec seconds min mins minutes h hour hours day days week weeks month months year years "
@@ -57,22 +58,22 @@ def _split(text: Column) -> Column:
 
 
 def _templated(spaced: Column) -> Column:
-    out = spaced
-    for _ in range(2):  # a match takes the letter before it, so neighbours need a second pass
-        out = F.regexp_replace(out, rf"({_AFTER})\p{{Lu}}\p{{Ll}}+", f"$1{NAME}")
-    out = F.regexp_replace(out, r"\p{Nd}+", NUMBER)
+    out = F.regexp_replace(spaced, r"\p{Nd}+", NUMBER)
     return F.regexp_replace(out, rf"(?i)({NUMBER}[ -]+)(?:{'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2")
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """Adds ``values`` and ``template``: token arrays of equal length."""
-    spaced = df.withColumn("spaced", _spaced(F.col("text")))
-    return spaced.withColumns({"values": _split(F.col("spaced")), "template": _split(_templated(F.col("spaced")))}).drop("spaced")
+    """Adds token arrays of equal length: ``values``, ``template`` (numbers and units typed) and ``named`` (names, too)."""
+    rows = df.withColumn("spaced", _spaced(F.col("text")))
+    rows = rows.withColumn("templated", _templated(F.col("spaced")))
+    named = F.regexp_replace("templated", _CAPITALISED, NAME)
+    return rows.withColumns({"values": _split(F.col("spaced")), "template": _split(F.col("templated")), "named": _split(named)}).drop("spaced", "templated")
 
 
-# Ways to look a window up: by its template, or by its values where the template says too little.
-TEMPLATE, EXACT = 0, 2
-_STREAM = {TEMPLATE: "template", EXACT: "values"}
+# Ways to look a window up: by its template with the names as they are in lower case, with capitalised words
+# typed as names, or by its values where the template says too little.
+TEMPLATE, NAMES, EXACT = 0, 1, 2
+_STREAM = {TEMPLATE: "template", NAMES: "named", EXACT: "values"}
 
 
 def _low_windows(df: DataFrame, size: int, settings: DecontaminationSettings) -> DataFrame:
@@ -95,47 +96,57 @@ def _windows(df: DataFrame, size: int, settings: DecontaminationSettings) -> Dat
     rows = _low_windows(df.filter(F.size("template") >= size), size, settings)
     starts = {EXACT: F.col("low")}
     if size >= settings.least_tokens:
-        starts[TEMPLATE] = F.sequence(F.lit(1), F.size("template") - (size - 1))
+        every = F.sequence(F.lit(1), F.size("template") - (size - 1))
+        starts[TEMPLATE] = every
+        starts[NAMES] = F.when(F.array_contains("named", NAME), every).otherwise(F.array().cast("array<int>"))
 
     def hashed(way: int) -> Column:
         one = lambda i: F.struct((i - 1).alias("at"), F.lit(way).alias("way"), F.xxhash64(F.lit(way), F.slice(_STREAM[way], i, F.lit(size))).alias("hash"))
         return F.transform(starts[way], one)
 
-    return rows.select("doc_id", "text_hash", "template", "values", F.inline(F.concat(*map(hashed, starts))))
+    return rows.select("doc_id", "text_hash", "template", "named", "values", F.inline(F.concat(*map(hashed, starts))))
+
+
+def _of_way(template: Column, named: Column, values: Column) -> Column:
+    return F.when(F.col("way") == EXACT, values).when(F.col("way") == NAMES, named).otherwise(template)
 
 
 def _benchmark_windows(benchmark: DataFrame, settings: DecontaminationSettings) -> DataFrame:
     """The items' windows. An item shorter than a window is one window of its own length.
 
     ``typed``: the template says enough to be searched; other windows are searched by their values.
-    ``typed_windows`` counts the former, ``item_windows`` all.
+    ``free``: it does with names typed as well. ``typed_windows`` and ``free_windows`` count those, ``item_windows`` all.
     """
     least = 1 if settings.short_items else settings.least_tokens
     items = _tokens(benchmark.select("item_id", text_of().alias("text")).distinct()).filter(F.size("template") >= least)
     size = F.least(F.size("template"), F.lit(settings.window))
-    items = items.select("item_id", "values", "template", size.alias("size"), (F.size("template") - size + 1).alias("item_windows"))
+    items = items.select("item_id", "values", "template", "named", size.alias("size"), (F.size("template") - size + 1).alias("item_windows"))
 
     def cut(column: str, at: Column) -> Column:
         return F.slice(column, at + 1, F.col("size"))
 
-    def typed(at: Column) -> Column:
-        literals = F.size(F.filter(cut("template", at), lambda x: ~x.startswith("ǀ")))
+    def typed(column: str, at: Column) -> Column:
+        literals = F.size(F.filter(cut(column, at), lambda x: ~x.startswith("ǀ")))
         return (literals >= settings.least_literals) & (F.col("size") >= settings.least_tokens)
 
     places = F.sequence(F.lit(0), F.col("item_windows") - 1)
-    items = items.withColumn("typed_windows", F.size(F.filter(places, typed)))
+    items = items.withColumns({f"{x}_windows": F.size(F.filter(places, lambda at: typed(c, at))) for x, c in (("typed", "template"), ("free", "named"))})
     at = items.select("*", F.explode(places).alias("item_at"))
-    at = at.withColumn("typed", typed(F.col("item_at")))
-    at = at.withColumn("way", F.when(F.col("typed"), TEMPLATE).otherwise(EXACT))
+    at = at.withColumns({"typed": typed("template", F.col("item_at")), "free": typed("named", F.col("item_at"))})
+    by_name = F.col("free") & F.array_contains(cut("named", F.col("item_at")), NAME)
+    ways = F.array_compact(F.array(F.when(F.col("typed"), TEMPLATE).otherwise(EXACT), F.when(by_name, NAMES)))
+    at = at.withColumn("way", F.explode(ways))
     rows = at.select(
         "item_id",
         "item_windows",
         "typed_windows",
+        "free_windows",
         "item_at",
         "size",
         "typed",
+        "free",
         "way",
-        F.when(F.col("way") == EXACT, cut("values", F.col("item_at"))).otherwise(cut("template", F.col("item_at"))).alias("item_template"),
+        _of_way(*[cut(c, F.col("item_at")) for c in ("template", "named", "values")]).alias("item_template"),
         cut("values", F.col("item_at")).alias("item_values"),
     )
     return rows.withColumn("hash", F.xxhash64("way", "item_template"))
@@ -148,8 +159,8 @@ def _found(documents: DataFrame, windows: DataFrame, settings: DecontaminationSe
     out = None
     for size in sorted(counts) or [settings.window]:
         hashes = wanted.filter(F.col("size") == size).select("hash")
-        values = F.slice("values", F.col("at") + 1, F.lit(size))
-        template = F.when(F.col("way") == EXACT, values).otherwise(F.slice("template", F.col("at") + 1, F.lit(size)))
+        template, named, values = (F.slice(c, F.col("at") + 1, F.lit(size)) for c in ("template", "named", "values"))
+        template = _of_way(template, named, values)
         cut = ["doc_id", "text_hash", "hash", "way", "at", template.alias("doc_template"), values.alias("doc_values")]
         rows = _windows(documents, size, settings)
         if counts.get(size, 0) <= settings.broadcast_hashes:
@@ -165,11 +176,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, settings: Decontaminatio
     document and item. Rows that repeat id and text count once. Null texts count as empty, null
     item ids and null doc ids are kept as they are.
 
-    Windows that only their values can find count in a coverage over all windows; another coverage is over the
-    windows with searched templates. The larger one counts, and both counts of windows are its own."""
+    Coverages are over all windows, over those with searched templates and over those whose templates are searched
+    with typed names as well. The largest counts, and both counts of windows are its own."""
     settings = settings or DecontaminationSettings()
     windows = write_through(_benchmark_windows(benchmark, settings), "benchmark-windows")
-    tokens = _tokens(documents.select("doc_id", text_of().alias("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), "values", "template")
+    tokens = _tokens(documents.select("doc_id", text_of().alias("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), "values", "template", "named")
     met = _found(tokens, windows, settings).join(windows, ["hash", "way"]).filter(F.col("doc_template") == F.col("item_template"))
     slots = F.filter(
         F.transform(
@@ -185,10 +196,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, settings: Decontaminatio
         ),
         lambda x: x.isNotNull(),
     )
-    item = ["doc_id", "text_hash", "item_id", "item_windows", "typed_windows"]
+    item = ["doc_id", "text_hash", "item_id", "item_windows", "typed_windows", "free_windows"]
     # An alignment has at most as many windows and slots as the item, so these sets are small.
     aligned = met.groupBy(*item, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct("item_at", "typed")).alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
+        F.collect_set(F.struct("item_at", "typed", "free")).alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
     )
     one_way = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["was"]))))
     other_way = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["now"]))))
@@ -202,7 +213,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, settings: Decontaminatio
         n = F.size(matched).cast("long")
         return F.struct(F.coalesce(F.try_divide(n, F.col(of)), F.lit(0.0)).alias("share"), n.alias("matched"), F.col(of).alias("of"))
 
-    best = F.greatest(way(F.col("places"), "item_windows"), way(F.filter("places", lambda x: x["typed"]), "typed_windows"))
+    typed, free = F.filter("places", lambda x: x["typed"]), F.filter("places", lambda x: x["free"])
+    best = F.greatest(way(F.col("places"), "item_windows"), way(typed, "typed_windows"), way(free, "free_windows"))
     return (
         covered.withColumn("best", best)
         .filter(F.col("best.matched") >= F.lit(settings.coverage) * F.col("best.of"))

@@ -129,6 +129,14 @@ def test_items_of_numbers_and_short_items_are_found(spark):
     assert judged_by(spark, items, texts) == [(0, True), (1, True), (2, True), (3, True), (None, None), (None, None), (3, True)]
 
 
+def test_names_do_not_depend_on_context_or_case(spark):
+    tom = "Tom has 5 apples. Anna gives Tom 3 more apples. Tom eats 2 apples. How many apples are left?"
+    items = [tom, "What is the capital of France?"]
+    other = tom.replace("Tom", "Karl").replace("Anna", "Eva").replace("5", "7").replace("3", "4").replace("2", "6")
+    texts = [other, f"so {other}", "Question: What is the capital of France?", "WHAT IS THE CAPITAL OF FRANCE", tom.lower(), "What is the colour of France?"]
+    assert judged_by(spark, items, texts) == [(0, False), (0, False), (1, True), (1, True), (0, True), (None, None)]
+
+
 def test_planted_items_are_found_and_clean_rows_stay(spark):
     draw = random.Random(4)
     items = [(k, " ".join(words(draw, draw.randrange(15, 60), of=300)).capitalize() + ".") for k in range(30)]
