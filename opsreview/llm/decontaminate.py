@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from opsreview.llm.tables import text_of
 from opsreview.session import write_through
 
-# Placeholders are letters, so that splitting keeps them; U+01C0 is not used in prose.
+# Placeholders are letters, so that splitting keeps them; U+01C0 to U+01C3 are not used in prose.
 NAME, NUMBER, UNIT = "ǀa", "ǀn", "ǀu"
 # Wherever it stands, so that what precedes an item changes nothing.
 _CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}(?=\p{L}*\p{Ll})\p{L}+"
@@ -33,6 +33,14 @@ UNITS = (
     "usd eur dollar dollars euro euros cent cents percent kmh mph kwh w kw v hz degrees"
 ).split()
 
+_TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+_MULTIPLES = "hundred|thousand|million|billion"
+_WORDS = (
+    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
+    f"{_TENS}|{_MULTIPLES}|dozen"
+)
+_DIGITS = r"ǃ?\p{Nd}+(?:[ǁǂ]\p{Nd}+)*ǃ?"
+
 
 @dataclass(frozen=True)
 class DecontaminationSettings:
@@ -50,7 +58,15 @@ class DecontaminationSettings:
 
 
 def _spaced(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\p{Nd}+)", " $1 ")
+    """Numerals, of digits or words, as single tokens: signs, points, fractions and percent signs become letters, thousands separators go."""
+    out = F.regexp_replace(text, r",(?=\p{Nd}{3}(?!\p{Nd}))(?<=\p{Nd},)", "")
+    out = F.regexp_replace(out, r"[.](?=\p{Nd})(?<=\p{Nd}[.])", "ǁ")
+    out = F.regexp_replace(out, r"/(?=\p{Nd})(?<=\p{Nd}/)", "ǂ")
+    out = F.regexp_replace(out, r" ?%(?<=\p{Nd} ?%)", "ǃ")
+    out = F.regexp_replace(out, r"[-\u2212](?=\p{Nd})(?<![^\s(=,\[].)", "ǃ")
+    out = F.regexp_replace(out, _DIGITS, " $0 ")
+    joined = rf"(?i)(?: and |[ -])(?:(?=(?:{_WORDS})\b)(?<=\b(?:{_TENS}|{_MULTIPLES})[ -]|(?:hundred|thousand) and )|(?=(?:{_MULTIPLES})\b)(?<=\b(?:{_WORDS})[ -]))"
+    return F.regexp_replace(F.when(F.col("text").rlike(r"\p{Nd}"), out).otherwise(text), joined, "ǂ")
 
 
 def _split(text: Column) -> Column:
@@ -58,7 +74,8 @@ def _split(text: Column) -> Column:
 
 
 def _templated(spaced: Column) -> Column:
-    out = F.regexp_replace(spaced, r"\p{Nd}+", NUMBER)
+    out = F.regexp_replace(spaced, _DIGITS, NUMBER)
+    out = F.regexp_replace(out, rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_WORDS})(?:ǂ(?:{_WORDS}))*(?![\p{{L}}\p{{N}}])", NUMBER)
     return F.regexp_replace(out, rf"(?i)({NUMBER}[ -]+)(?:{'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2")
 
 

@@ -137,6 +137,13 @@ def test_names_do_not_depend_on_context_or_case(spark):
     assert judged_by(spark, items, texts) == [(0, False), (0, False), (1, True), (1, True), (0, True), (None, None)]
 
 
+def test_numerals_are_single_tokens(spark):
+    item = "A farm sells 900 eggs for 45 dollars and later 120 eggs at 6 dollars so five hens and 1/2 the barn stay with -3 left."
+    other = item.replace("900", "1,900").replace("45", "47.50").replace("120", "1,120").replace("6 d", "6.25 d")
+    words = other.replace("five", "twenty-five").replace("1/2", "50%").replace("-3", "7")
+    assert judged_by(spark, [item], [other, words, item]) == [(0, False), (0, False), (0, True)]
+
+
 def test_planted_items_are_found_and_clean_rows_stay(spark):
     draw = random.Random(4)
     items = [(k, " ".join(words(draw, draw.randrange(15, 60), of=300)).capitalize() + ".") for k in range(30)]
