@@ -2,10 +2,9 @@
 
 Numbers and units after numbers become typed placeholders, and in a second template of each
 window capitalised words, too, so an item whose numbers or names were swapped keeps a template. Windows of template tokens are
-hash-joined; then the values behind the placeholders must be consistent: along one
-alignment of document and item, equal item values stand for equal document values of
-the same type and unequal ones for unequal ones. A document is contaminated if
-consistent windows cover enough of an item.
+hash-joined; where names are typed they must be consistent: along one alignment of document
+and item, equal item names stand for equal document names and unequal ones for unequal ones.
+Numbers are free. A document is contaminated if such windows cover enough of an item.
 
 Windows of too few words besides placeholders, and whole items of a few tokens, are looked up by their
 values instead. Every window of every whole text is looked up. Only the distinct hashes of the
@@ -214,16 +213,26 @@ def matches(documents: DataFrame, benchmark: DataFrame, settings: Decontaminatio
         lambda x: x.isNotNull(),
     )
     item = ["doc_id", "text_hash", "item_id", "item_windows", "typed_windows", "free_windows"]
+    place = F.struct("item_at", "typed", "free")
     # An alignment has at most as many windows and slots as the item, so these sets are small.
     aligned = met.groupBy(*item, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct("item_at", "typed", "free")).alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
+        F.collect_set(F.when(F.col("way") != NAMES, place)).alias("places"),
+        F.collect_set(F.when(F.col("way") == NAMES, place)).alias("by_name"),
+        F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
     )
-    one_way = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["was"]))))
-    other_way = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["now"]))))
-    consistent = aligned.filter((one_way == F.size("slots")) & (other_way == F.size("slots")))
-    covered = consistent.groupBy(*item).agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-        F.bool_or(F.forall("slots", lambda x: x["was"] == x["now"])).alias("same_values"),
+    # Names keep who is who; numbers may become equal or different by chance, so they are free.
+    names = F.filter("slots", lambda x: x["kind"] == NAME)
+    one_way, other_way = (F.size(F.array_distinct(F.transform(names, f))) for f in (lambda x: x["was"], lambda x: x["now"]))
+    aligned = aligned.withColumn("one_to_one", (one_way == F.size(names)) & (other_way == F.size(names)))
+    used = F.when(F.col("one_to_one"), F.concat("places", "by_name")).otherwise(F.col("places"))
+    covered = (
+        aligned.withColumn("places", used)
+        .filter(F.size("places") > 0)
+        .groupBy(*item)
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+            F.bool_or(F.forall("slots", lambda x: x["was"] == x["now"])).alias("same_values"),
+        )
     )
 
     def way(matched: Column, of: str) -> Column:

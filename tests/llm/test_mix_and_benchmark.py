@@ -144,6 +144,12 @@ def test_numerals_are_single_tokens(spark):
     assert judged_by(spark, [item], [other, words, item]) == [(0, False), (0, False), (0, True)]
 
 
+def test_numbers_may_coincide(spark):
+    item = "In the basket are 2 apples and 3 oranges and in the box are 3 lemons, so what is the sum?"
+    texts = [item.replace("2", "4").replace("3", "4"), item.replace("3 lemons", "8 lemons")]
+    assert judged_by(spark, [item], texts) == [(0, False), (0, False)]
+
+
 def test_planted_items_are_found_and_clean_rows_stay(spark):
     draw = random.Random(4)
     items = [(k, " ".join(words(draw, draw.randrange(15, 60), of=300)).capitalize() + ".") for k in range(30)]
