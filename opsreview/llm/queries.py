@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsreview.llm import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, quality, token_files, toxicity, urls
+from opsreview.llm import bpe, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, quality, token_files, toxicity, urls
 from opsreview.llm.tables import held_out, table
 
 
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), decontaminate.DecontaminationSettings(short_items=True))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
