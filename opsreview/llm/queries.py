@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsreview.llm import bpe, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, quality, token_files, toxicity, urls
+from opsreview.llm import align, bpe, decontaminate, exact_dedup, language, licenses, merkle, mixing, near_dedup, quality, token_files, toxicity, urls
 from opsreview.llm.tables import held_out, table
 
 
@@ -67,6 +67,16 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row held against a copy that lacks line breaks where 2 divides the CRC-32 of its id."""
+    documents = table(spark, folder, "documents")
+    return merkle.manifest(documents, merkle.without_line_breaks(F.col("text"), F.col("doc_id")))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.counted(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {
@@ -93,4 +105,5 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
     "op3_licenses": licenses.scanned_sql(),
     "op5_urls": urls.judged_sql(),
+    "op12_merkle_manifest": merkle.tampered_sql(),
 }
