@@ -1,11 +1,10 @@
 """Byte-level BPE in recursive DuckDB queries, one small database for each partition.
 
-Texts are cut into the matches of the split pattern. A task keeps the pieces it has met; pieces that
+Texts are cut into the matches of the split pattern. A Python worker keeps the pieces it has met; pieces that
 are new become rows of token positions, starting from single bytes. A recursive query joins
 neighbouring positions with the merge table and contracts the leftmost pair of the least rank of each
-piece, until no piece has a pair left. Token rows of the pieces, joined to the pieces of a text in
-order, are its ids. Decoding joins ids with the vocabulary and puts their bytes together by an ordered
-aggregation.
+piece, until no piece has a pair left. A text's ids are those of its pieces in order. Decoding joins ids
+with the vocabulary and puts their bytes together by an ordered aggregation.
 
 Long pieces are first cut where no entry of the vocabulary occurs across; no merge can cross there. What
 remains long contracts all pairs of the least rank in one step where that is the same as one after
@@ -15,28 +14,30 @@ the other: where no token made with the new one has a lesser rank.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsreview.llm.tables import text_of
+from opsreview.llm.tables import remembered, text_of
 
 
 @dataclass(frozen=True)
 class BpeSettings:
     """``ranks``: path of a rank file, read on the driver (null: the public one for many languages); ``pattern``:
     what a text is split by; ``characters``, ``ids``: how much is encoded or decoded at once; ``pieces``: how
-    many a task remembers; ``long_piece``: bytes from which a piece is cut; ``memory``: of a task's database."""
+    many a Python worker remembers; ``long_piece``: bytes from which a piece is cut; ``memory``: of a task's database."""
 
     ranks: str | None = None
     pattern: str | None = None
     characters: int = 4_000_000
     ids: int = 1_000_000
-    pieces: int = 400_000
+    pieces: int = 500_000
     long_piece: int = 64
     memory: str = "600MB"
 
@@ -44,15 +45,20 @@ class BpeSettings:
 @dataclass(frozen=True)
 class Merges:
     """Tokens by id, and the merge table: ids of the left and right part, the id of the whole (its rank), and
-    whether pairs of that rank must be contracted one at a time."""
+    whether pairs of that rank must be contracted one at a time. ``adapted``: see ``adapted_pattern``."""
 
     tokens: dict[bytes, int]
     pattern: str
+    adapted: tuple[str, str]
     left: np.ndarray
     right: np.ndarray
     rank: np.ndarray
     single: np.ndarray
 
+    @property
+    def key(self) -> int:
+        return zlib.crc32(b"".join(self.tokens), zlib.crc32(self.pattern.encode() + self.rank.tobytes()))
+
 
 def merges(settings: BpeSettings) -> Merges:
     path, pattern = settings.ranks, settings.pattern
@@ -71,7 +77,7 @@ def merges(settings: BpeSettings) -> Merges:
             if a is not None and b is not None:
                 rows.append((a, b, rank))
     left, right, rank = np.array(rows, np.int64).reshape(-1, 3).T
-    return Merges(tokens, pattern, left, right, rank, np.isin(rank, list(single)))
+    return Merges(tokens, pattern, adapted_pattern(pattern), left, right, rank, np.isin(rank, list(single)))
 
 
 #: The pieces' token rows ``w, pos, id``; each round contracts one pair of every piece that has one.
@@ -107,48 +113,54 @@ WITH RECURSIVE t(w, pos, id) USING KEY (w, pos) AS (
 SELECT w, pos, id FROM t WHERE id >= 0 ORDER BY w, pos"""
 
 
+def _characters() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+def _in_class(name: str) -> set[str]:
+    import tiktoken
+
+    single = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return set(bytes(single.encode_ordinary(_characters())).decode())
+
+
+def _ranges(characters: set[str]) -> str:
+    codes = np.array(sorted(map(ord, characters)), np.int64)
+    starts = codes[np.diff(codes, prepend=-2) > 1]
+    ends = codes[np.diff(codes, append=1 << 30) > 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+def adapted_pattern(pattern: str) -> tuple[str, str]:
+    """The pattern for ``regex`` with letters, digits and blanks as tiktoken knows them, and the characters on which the
+    two differ: their tables may be of different Unicode versions."""
+    import regex
+
+    differing: set[str] = set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        if name in pattern:
+            theirs, ours = _in_class(name), set(regex.findall(name, _characters()))
+            if theirs != ours:
+                differing |= theirs ^ ours
+                out = _ranges(ours - theirs)
+                pattern = pattern.replace(name, "[" + (f"[{name}--[{out}]]" if out else name) + _ranges(theirs - ours) + "]")
+    return pattern, f"[{_ranges(differing)}]" if differing else ""
+
+
 class Splitter:
-    """Matches of the pattern as tiktoken finds them. Its tables of letters, numbers and white space may
-    be of another Unicode version than those of ``regex``: texts with characters on which they differ
-    are split by a pattern that leaves these out or adds them."""
+    """Matches of the pattern as tiktoken finds them; only texts with characters of which the tables differ need the adapted one."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, table: Merges):
         import regex
 
-        self.plain, self.adapted = regex.compile(pattern), pattern
-        differing: set[str] = set()
-        for name in (r"\p{L}", r"\p{N}", r"\s"):
-            theirs, ours = self._class(name), set(regex.findall(name, self._all()))
-            if theirs != ours and name in pattern:
-                differing |= theirs ^ ours
-                out, more = self._set(ours - theirs), self._set(theirs - ours)
-                inside = "[" + (f"[{name}--[{out}]]" if out else name) + more + "]"
-                self.adapted = self.adapted.replace(name, inside)
-        self.differing = regex.compile(f"[{self._set(differing)}]") if differing else None
-        self.adapted = regex.compile(self.adapted, regex.V1)
-
-    @staticmethod
-    def _all() -> str:
-        return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-
-    @classmethod
-    def _class(cls, name: str) -> set[str]:
-        import tiktoken
-
-        single = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        return set(bytes(single.encode_ordinary(cls._all())).decode())
-
-    @staticmethod
-    def _set(characters: set[str]) -> str:
-        codes = np.array(sorted(map(ord, characters)), np.int64)
-        starts = codes[np.diff(codes, prepend=-2) > 1]
-        ends = codes[np.diff(codes, append=1 << 30) > 1]
-        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+        adapted, differing = table.adapted
+        self.plain, self.adapted = regex.compile(table.pattern), regex.compile(adapted, regex.V1)
+        self.differing = regex.compile(differing) if differing else None
 
     def pieces(self, text: str) -> list[str]:
-        if self.differing is None or text.isascii() or not self.differing.search(text):
+        if self.differing is None or text.isascii():
             return self.plain.findall(text)
-        return self.adapted.findall(text)
+        return (self.adapted if self.differing.search(text) else self.plain).findall(text)
 
 
 class Encoder:
@@ -158,16 +170,16 @@ class Encoder:
         import duckdb
 
         self.table, self.settings = table, settings
-        self.splitter: Splitter | None = None
+        self.splitter = Splitter(table)
         self.known: dict[str, int] = {}
-        self.longest = max(map(len, table.tokens), default=1)
+        #: Ids of the pieces met so far, and where each piece's begin.
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.automaton = None
         self.bytes = np.array([table.tokens.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": settings.memory, "temp_directory": ""})
         self._create("merges", pair=table.left << 32 | table.right, whole=table.rank.astype(np.int32), single=table.single)
         ids = np.array(list(table.tokens.values()), np.int32)
         self._create("vocabulary", id=ids, token=pa.array(list(table.tokens), pa.binary()))
-        self.db.execute("CREATE TABLE encoded (w INT, pos INT, id INT)")
 
     def close(self) -> None:
         self.db.close()
@@ -213,15 +225,10 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are new."""
-        if len(self.known) + len(pieces) > self.settings.pieces:
-            self.known = {}
-            self.db.execute("DELETE FROM encoded")
-            self.db.execute("CHECKPOINT")
-        first = len(self.known)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         whole: list[tuple[int, int]] = []
         words: dict[str, tuple[list[bytes], list[int], list[int]]] = {_SHORT: ([], [], []), _LONG: ([], [], [])}
-        for w, piece in enumerate(pieces, first):
-            self.known[piece] = w
+        for w, piece in enumerate(pieces):
             data = piece.encode()
             rank = self.table.tokens.get(data)
             if rank is not None:
@@ -236,38 +243,41 @@ class Encoder:
         for sql, (own, ws, at) in words.items():
             if own:
                 w, pos, ids = self._contracted(own, sql)
-                self._insert(np.array(ws, np.int32)[w], pos + np.array(at, np.int32)[w], ids)
-        if whole:
-            w, ids = np.array(whole, np.int32).T
-            self._insert(w, np.zeros(len(w), np.int32), ids)
-
-    def _insert(self, w: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> None:
-        self.db.register("given", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "id": ids.astype(np.int32)}))
-        self.db.execute("INSERT INTO encoded SELECT * FROM given")
-        self.db.unregister("given")
+                found.append((np.array(ws, np.int64)[w], pos + np.array(at, np.int64)[w], ids))
+        w, ids = np.array(whole, np.int64).reshape(-1, 2).T
+        found.append((w, np.zeros(len(w), np.int64), ids.astype(np.int32)))
+        w, pos, ids = map(np.concatenate, zip(*found, strict=True))
+        ids = ids[np.lexsort((pos, w))]
+        ends = self.starts[-1] + np.cumsum(np.bincount(w, minlength=len(pieces)))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, ends])
+
+    def _forget_all_but(self, pieces: list[str]) -> None:
+        """Keep what is known of these pieces only: common ones are among those just met."""
+        kept = [p for p in pieces if p in self.known]
+        old = np.array([self.known[p] for p in kept], np.int64)
+        lengths = np.diff(self.starts)[old]
+        self.ids = self.ids[_spread(self.starts[old], lengths)]
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.known = dict(zip(kept, range(len(kept)), strict=True))
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
-        self.splitter = self.splitter or Splitter(self.table.pattern)
         found = [self.splitter.pieces(t) for t in texts]
         counts = np.array(list(map(len, found)), np.int64)
-        coded = pa.array([p for own in found for p in own], pa.large_string()).dictionary_encode()
+        coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
         del found
         distinct = coded.dictionary.to_pylist()
-        if not distinct:
-            return pa.ListArray.from_arrays(np.zeros(len(texts) + 1, np.int32), pa.array([], pa.int32()))
         new = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(new) > self.settings.pieces:
+            self._forget_all_but(distinct)
         if new:
-            # The pieces of a text that comes when the memory is full are all encoded anew.
-            full = len(self.known) + len(new) > self.settings.pieces
-            self._learn(distinct if full else new)
-        numbers = np.array([self.known[p] for p in distinct], np.int32)[coded.indices.to_numpy()]
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
-        rows = self._rows(
-            "SELECT doc, id FROM fresh JOIN encoded USING (w) ORDER BY place, pos", place=np.arange(len(numbers), dtype=np.int32), doc=doc, w=numbers
-        )
-        ends = np.searchsorted(rows["doc"].to_numpy(), np.arange(len(texts) + 1))
-        return pa.ListArray.from_arrays(ends.astype(np.int32), rows["id"].combine_chunks())
+            self._learn(new)
+        pieces = np.array([self.known[p] for p in distinct], np.int64)[coded.indices.to_numpy()]
+        lengths = np.diff(self.starts)[pieces]
+        ids = self.ids[_spread(self.starts[pieces], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids, pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids."""
@@ -295,6 +305,12 @@ class Encoder:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(outer), data])
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places from each start on, as many as the length says."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 def _stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Rows that come to about ``most`` together; a larger row is a stretch of its own."""
     start, held = 0, 0
@@ -314,19 +330,19 @@ def encoded(documents: DataFrame, settings: BpeSettings | None = None) -> DataFr
     left out. Text that looks like a special token is ordinary text.
     """
     settings = settings or BpeSettings()
-    shared = documents.sparkSession.sparkContext.broadcast(merges(settings))  # as large as the rank file: a few MB
+    table = merges(settings)
+    shared, key = documents.sparkSession.sparkContext.broadcast(table), table.key  # as large as the rank file: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        encoder = Encoder(shared.value, settings)
+        encoder = remembered("bpe", (key, settings), lambda: Encoder(shared.value, settings))
         for batch in batches:
             sizes = pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)
             for start, stop in _stretches(sizes, settings.characters):
                 part = batch.slice(start, stop - start)
                 ids = encoder.encode(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
-        encoder.close()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -336,12 +352,13 @@ def decoded(tokens: DataFrame, settings: BpeSettings | None = None) -> DataFrame
     """``doc_id, ids, decoded``: the bytes that the ids stand for. A null or empty list gives no bytes; an id
     that the vocabulary lacks, or a null among the ids, is an error."""
     settings = settings or BpeSettings()
-    shared = tokens.sparkSession.sparkContext.broadcast(merges(settings))
+    table = merges(settings)
+    shared, key = tokens.sparkSession.sparkContext.broadcast(table), table.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        encoder = Encoder(shared.value, settings)
+        encoder = remembered("bpe", (key, settings), lambda: Encoder(shared.value, settings))
         for batch in batches:
             sizes = pc.list_value_length(batch["ids"]).to_numpy(zero_copy_only=False)
             for start, stop in _stretches(sizes, settings.ids):
@@ -351,7 +368,6 @@ def decoded(tokens: DataFrame, settings: BpeSettings | None = None) -> DataFrame
                 if ids.flatten().null_count:
                     raise ValueError("nulls among ids")
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], encoder.decode(ids).cast(pa.binary())], ["doc_id", "ids", "decoded"])
-        encoder.close()
 
     rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

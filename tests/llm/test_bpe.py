@@ -77,7 +77,7 @@ def test_characters_of_other_unicode_versions(encoder):
 def library_pieces(text):
     """The library's cuts, seen from a vocabulary of single bytes with one token for each distinct piece."""
     single = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    pieces = {p.encode() for p in bpe.Splitter(public_tokenizers.PATTERN).adapted.findall(text)}
+    pieces = {p.encode() for p in bpe.Splitter(TABLE).adapted.findall(text)}
     ranks = {bytes([b]): b for b in range(256)}
     ranks |= {p: 256 + k for k, p in enumerate(sorted(p for p in pieces if len(p) > 1))}
     whole = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
