@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opsreview import vocab as V
 from opsreview.functions.expr import lookup
+from opsreview.operators.keyfilter import KeyFilter, stored_among
 from opsreview.schemas import DATASETS, Dataset, Field
 from opsreview.session import write_through
 from opsreview.sources.files import ROW, RawBatch
@@ -154,15 +155,17 @@ def _repeats(typed: DataFrame, column: str) -> DataFrame:
     return rows.join(firsts, ROW, "left_anti").select(ROW)
 
 
-def _stored(typed: DataFrame, column: str, existing: DataFrame) -> DataFrame:
+def _stored(typed: DataFrame, column: str, existing: DataFrame, keys: KeyFilter | None = None) -> DataFrame:
     """Rows whose value is already stored."""
-    return typed.select(ROW, column).join(existing.select(column), column, "left_semi").select(ROW)
+    known = existing.select(column) if keys is None else stored_among(typed, column, existing, column, keys)
+    return typed.select(ROW, column).join(known, column, "left_semi").select(ROW)
 
 
-def _dangling(typed: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
+def _dangling(typed: DataFrame, column: str, known: DataFrame, key: str, keys: KeyFilter | None = None) -> DataFrame:
     """Rows that refer to something unknown; distinct values are looked up first."""
     values = typed.where(F.col(column).isNotNull()).select(column)
-    unknown = values.distinct().join(known.select(F.col(key).alias(column)), column, "left_anti")
+    found = known.select(F.col(key).alias(column)) if keys is None else stored_among(values, column, known, key, keys)
+    unknown = values.distinct().join(found, column, "left_anti")
     return typed.select(ROW, column).join(unknown, column, "left_semi").select(ROW)
 
 
@@ -176,22 +179,26 @@ def row_issues(
     references: Mapping[str, DataFrame] | None = None,
     existing: DataFrame | None = None,
     mode: str = "APPEND",
+    filters: Mapping[tuple[str, str], KeyFilter] | None = None,
 ) -> DataFrame:
     """All problems of typed rows: ``code, severity, row, field, message``.
 
     ``references`` holds the tables referred to; a table that is absent is not
-    checked. ``existing`` is the stored table, consulted in APPEND mode.
+    checked. ``existing`` is the stored table, consulted in APPEND mode. ``filters``
+    by dataset and column tell which values need not be looked up; they change no result.
     """
+    filters = filters or {}
     parts = [typed.select(F.explode("_issues").alias("i"), ROW).select("i.code", ROW, "i.field")]
     unique = [(dataset.key, "duplicate_identifier")] + [(c, "duplicate_unique_value") for c in dataset.unique]
     for column, code in unique:
         parts.append(_as_issues(_repeats(typed, column), code, column))
         if mode == "APPEND" and existing is not None:
-            parts.append(_as_issues(_stored(typed, column, existing), code, column))
+            parts.append(_as_issues(_stored(typed, column, existing, filters.get((dataset.name, column))), code, column))
     for f in dataset.fields:
         if f.references and references and f.references in references:
             target = DATASETS[f.references]
-            parts.append(_as_issues(_dangling(typed, f.name, references[f.references], target.key), "missing_reference", f.name))
+            keys = filters.get((target.name, target.key))
+            parts.append(_as_issues(_dangling(typed, f.name, references[f.references], target.key, keys), "missing_reference", f.name))
     issues = parts[0]
     for part in parts[1:]:
         issues = issues.unionByName(part)
@@ -230,6 +237,7 @@ def validate(
     existing: DataFrame | None = None,
     mode: str = "APPEND",
     assume_utc: bool = False,
+    filters: Mapping[tuple[str, str], KeyFilter] | None = None,
 ) -> Validation:
     """Check one batch. Structural problems stop before rows are looked at."""
     if mode not in V.IMPORT_MODES:
@@ -240,7 +248,7 @@ def validate(
         return Validation(batch.dataset, batch.fmt, structural, None, batch.row_count, 0, n_structural, n_structural)
     dataset = DATASETS[batch.dataset]
     typed = write_through(check_cells(batch.rows, dataset, assume_utc), "typed-rows")
-    issues = write_through(row_issues(typed, dataset, references, existing, mode), "issues")
+    issues = write_through(row_issues(typed, dataset, references, existing, mode, filters), "issues")
     counts = issues.agg(
         F.count("*").alias("all"),
         F.count(F.when(F.col("severity") == "structural", 1)).alias("structural"),
