@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from opsreview import vocab as V
 from opsreview.functions.expr import lookup, rank_in, short_hash, step_level
+from opsreview.sources.snapshots import Snapshots
 
 ITEM = (
     "queue_id", "finding_key", "analytic_id", "finding_type", "entity_id", "period_label", "title",
@@ -116,15 +117,15 @@ def outcomes(merged: DataFrame) -> DataFrame:
 
 def judge_moves(queue: DataFrame, requests: DataFrame) -> DataFrame:
     """What becomes of each move request ``(queue_id, new_status, reviewer_ref,
-    review_note, request_no)``: APPLIED, NOT_FOUND, INVALID_TRANSITION or NOT_FIRST.
+    review_note, request_no)``: APPLIED, NOT_FOUND, INVALID_TRANSITION, NOT_FIRST or AMBIGUOUS.
 
     A batch moves an item once: the request with the lowest number is judged, later
-    ones come back as NOT_FIRST for the next batch.
+    ones come back as NOT_FIRST for the next batch. A short id that several findings
+    share moves none of them and comes back as AMBIGUOUS.
     """
     first = requests.groupBy("queue_id").agg(F.min("request_no").alias("request_no")).withColumn("first", F.lit(True))
     allowed = F.concat_ws(">", "status", "new_status").isin(*[f"{a}>{b}" for a, b in V.ALLOWED_MOVES])
-    # Short ids may collide; one status per id keeps one answer per request.
-    known = queue.groupBy("queue_id").agg(F.min("status").alias("status"))
+    known = queue.groupBy("queue_id").agg(F.min("status").alias("status"), (F.min("finding_key") != F.max("finding_key")).alias("shared"))
     return (
         requests.join(first, ["queue_id", "request_no"], "left")
         .join(known, "queue_id", "left")
@@ -132,10 +133,11 @@ def judge_moves(queue: DataFrame, requests: DataFrame) -> DataFrame:
             "result",
             F.when(F.col("first").isNull(), "NOT_FIRST")
             .when(F.col("status").isNull(), "NOT_FOUND")
+            .when(F.col("shared"), "AMBIGUOUS")
             .when(allowed, "APPLIED")
             .otherwise("INVALID_TRANSITION"),
         )
-        .drop("first")
+        .drop("first", "shared")
     )
 
 
@@ -221,16 +223,20 @@ def summary(queue: DataFrame) -> DataFrame:
 
 
 # --- Stored versions ------------------------------------------------------------
+# Whole states by a version number of the caller's choice; ``sources.queue_store`` keeps a queue that changes in parts.
 
 
 def save(queue: DataFrame, folder: str, version: int) -> None:
-    """Write a queue state as ``<folder>/version=<n>``; refuses to overwrite one."""
+    """Write a queue state as ``<folder>/version=<n>``; refuses to overwrite one. It counts once its
+    pointer is published, after all of it is written."""
     queue.select(*SCHEMA.names).write.mode("errorifexists").parquet(f"{folder}/version={version}")
+    Snapshots(queue.sparkSession, folder).publish(version, {"path": f"version={version}"})
 
 
 def load(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """A stored state, by default the newest."""
-    stored = spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("version", T.IntegerType())])).parquet(folder)
-    if version is None:
-        version = stored.agg(F.max("version")).first()[0]
-    return stored.where(F.col("version") == version).drop("version")
+    """A stored state, by default the newest of those that were written whole."""
+    published = Snapshots(spark, folder)
+    version = published.newest() if version is None else version
+    if version not in published.numbers():
+        raise ValueError(f"there is no version {version}")
+    return spark.read.schema(SCHEMA).parquet(f"{folder}/{published.read(version)['path']}")

@@ -38,6 +38,8 @@ from opsreview.plans.assessment import assess
 from opsreview.schemas import DATASETS
 from opsreview.session import run_folder, write_each, write_through
 from opsreview.sources import demo, files
+from opsreview.sources.queue_store import QueueStore
+from opsreview.sources.store import Store
 from opsreview.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,14 +406,17 @@ def queue_merge(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _judged(old: DataFrame) -> DataFrame:
+def _requests(old: DataFrame) -> DataFrame:
     wanted = F.when(F.col("confidence") == "LOW", "DISMISSED").when(F.col("confidence") == "MODERATE", "IN_REVIEW").otherwise("OPEN")
     asked = old.select("queue_id", wanted.alias("new_status"))
     unknown = old.select(F.concat(F.lit("unknown-"), "finding_type").alias("queue_id"), F.lit("OPEN").alias("new_status")).distinct()
-    requests = asked.unionByName(unknown).select(
+    return asked.unionByName(unknown).select(
         "*", F.lit("second").alias("reviewer_ref"), F.lit("seen").alias("review_note"), F.lit(1).alias("request_no")
     )
-    return queue.judge_moves(old, requests)
+
+
+def _judged(old: DataFrame) -> DataFrame:
+    return queue.judge_moves(old, _requests(old))
 
 
 @query
@@ -425,6 +430,34 @@ def queue_after_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return queue.apply_moves(old, _judged(old), TODAY).select("queue_id", "status", "reviewer_ref", _ts("updated_at"))
 
 
+def _stored_queue(spark: SparkSession, folder: str) -> tuple[QueueStore, DataFrame]:
+    """A stored queue after yesterday's state and today's items, which come one analytic after the other."""
+    items = _items(spark, folder)
+    store = QueueStore(spark, f"{run_folder(spark)}/queue-{uuid.uuid4().hex}", buckets=8)
+    store.put(_yesterday(items))
+    for chosen in ("analytic_id IN ('EG-001', 'EG-002', 'EG-003')", "analytic_id NOT IN ('EG-001', 'EG-002', 'EG-003', 'PB-001')"):
+        store.merge(items.where(chosen), TODAY)
+    return store, items
+
+
+@query
+def queue_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return _stored_queue(spark, folder)[0].load().select(
+        "queue_id", "finding_key", "status", "finding_version", _ts("created_at"), _ts("updated_at"), "reviewer_ref"
+    )
+
+
+@query
+def queue_stored_moves(spark: SparkSession, folder: str) -> DataFrame:
+    """Moves applied to the stored queue; the version before them is still there."""
+    store, items = _stored_queue(spark, folder)
+    store.put(_yesterday(items))
+    requests = _requests(_yesterday(items))
+    store.move(requests, TODAY)
+    before = store.load(store.version() - 1).select("queue_id", F.col("status").alias("status_before"))
+    return store.load().join(before, "queue_id").select("queue_id", "status_before", "status", "reviewer_ref", _ts("updated_at"))
+
+
 @query
 def queue_summary(spark: SparkSession, folder: str) -> DataFrame:
     return queue.summary(_merged(spark, folder))
@@ -579,6 +612,45 @@ def ingest_telemetry_values(spark: SparkSession, folder: str) -> DataFrame:
     return typed.select(F.col("_row").alias("row"), "event_count", "activity_level", "expected")
 
 
+# --- Stored datasets ---------------------------------------------------------------------------
+
+
+def _filled_store(spark: SparkSession, folder: str) -> Store:
+    """A store after one load of three datasets at once, two more appends of alerts with joining of parts, and three
+    imports that must change nothing."""
+    base = f"{run_folder(spark)}/store-{uuid.uuid4().hex}"
+    tables = demo.load(spark, folder)
+    # A file of alerts for each status, as uploads would bring them.
+    uploads = {"entities": tables.entities, "assets": tables.assets}
+    files.export(uploads, f"{base}/uploads")
+    alerts = write_through(tables.alerts, "alerts")
+    for status in V.ALERT_STATUSES:
+        files.export({"alerts": alerts.where(F.col("status") == status)}, f"{base}/uploads/{status}")
+    files.export({"entities": tables.entities.where("entity_id < 'ENT-03'")}, f"{base}/uploads/few")
+    store = Store(spark, f"{base}/store", most_parts=2)
+    paths = {n: f"{base}/uploads/{n}.csv" for n in uploads} | {"alerts": f"{base}/uploads/CLOSED/alerts.csv"}
+    store.load_all(paths)
+    store.load("alerts", f"{base}/uploads/ACKNOWLEDGED/alerts.jsonl")
+    store.load("alerts", f"{base}/uploads/IN_INVESTIGATION/alerts.csv")
+    store.load("alerts", f"{base}/uploads/ACKNOWLEDGED/alerts.csv")  # REJECTED: stored already
+    store.load("entities", f"{base}/uploads/few/entities.csv", mode="REPLACE")  # ROLLED_BACK: others refer to the rest
+    store.load_all({"entities": paths["entities"], "alerts": paths["alerts"]})  # REJECTED, both
+    return store
+
+
+@query
+def store_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return _filled_store(spark, folder).table("alerts").select(
+        "alert_id", "entity_id", "asset_id", "severity", "status", _ts("created_at"), _ts("acknowledged_at"), _ts("closed_at"), "recurrence_key", "is_true_positive"
+    )
+
+
+@query
+def store_import_log(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("dataset_type", "mode", "status", "row_count", "accepted_count", "rejected_count", "error_count")
+    return _filled_store(spark, folder).log().select(*columns)
+
+
 # --- Audits and evaluation -----------------------------------------------------------------------
 
 

@@ -411,6 +411,11 @@ _QUERIES: dict[str, str] = {
         CASE WHEN j.new_status IN ('DISMISSED', 'IN_REVIEW') THEN 'second' WHEN o.status IN ('REVIEWED', 'DISMISSED', 'IN_REVIEW') THEN 'reviewer' END AS reviewer_ref,
         CASE WHEN j.queue_id IS NULL THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS updated_at
         FROM old_queue o LEFT JOIN (SELECT * FROM judged WHERE result = 'APPLIED') j ON o.queue_id = j.queue_id""",
+    "queue_stored": "SELECT queue_id, finding_key, status, finding_version, created_at, updated_at, reviewer_ref FROM merged",
+    "queue_stored_moves": """SELECT o.queue_id, o.status AS status_before, coalesce(j.new_status, o.status) AS status,
+        CASE WHEN j.new_status IN ('DISMISSED', 'IN_REVIEW') THEN 'second' WHEN o.status IN ('REVIEWED', 'DISMISSED', 'IN_REVIEW') THEN 'reviewer' END AS reviewer_ref,
+        CASE WHEN j.queue_id IS NULL THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS updated_at
+        FROM old_queue o LEFT JOIN (SELECT * FROM judged WHERE result = 'APPLIED') j ON o.queue_id = j.queue_id""",
     "queue_summary": """SELECT v.d AS dimension, v.l AS level, count(m.queue_id) AS n FROM (VALUES ('status', 'OPEN'), ('status', 'IN_REVIEW'), ('status', 'REVIEWED'), ('status', 'DISMISSED'),
         ('priority', 'CRITICAL'), ('priority', 'HIGH'), ('priority', 'MEDIUM'), ('priority', 'LOW'), ('category', 'EXECUTION_GAP'), ('category', 'MONITORING_GAP'), ('category', 'ANOMALY'),
         ('category', 'PEER_DEVIATION'), ('category', 'METRIC_RISK_DIVERGENCE'), ('category', 'WORKFLOW_PATTERN'), ('total', 'ALL')) v(d, l)
@@ -467,6 +472,17 @@ _AUDIT = [
     _number("telemetry: only of monitored assets", "SELECT count(*) FROM telemetry WHERE asset_id NOT IN (SELECT asset_id FROM assets WHERE monitoring_expected)"),
 ]
 
+_log = [("entities", "entities"), ("assets", "assets"), ("alerts", "alerts WHERE status = 'CLOSED'"), ("alerts", "alerts WHERE status = 'ACKNOWLEDGED'"), ("alerts", "alerts WHERE status = 'IN_INVESTIGATION'")]
+_QUERIES |= {
+    "store_round_trip": f"SELECT alert_id, entity_id, asset_id, severity, status, {_ts('created_at')} AS created_at, {_ts('acknowledged_at')} AS acknowledged_at, {_ts('closed_at')} AS closed_at, recurrence_key, is_true_positive FROM alerts",
+    "store_import_log": " UNION ALL ".join(
+        [f"SELECT '{name}' AS dataset_type, 'APPEND' AS mode, 'COMPLETED' AS status, count(*) AS row_count, count(*) AS accepted_count, 0 AS rejected_count, 0 AS error_count FROM {rows}" for name, rows in _log]
+        # Every row that is stored already is one duplicate.
+        + [f"SELECT '{name}', 'APPEND', 'REJECTED', count(*), 0, count(*), count(*) FROM {rows}" for name, rows in (_log[0], _log[2], _log[3])]
+        + ["SELECT 'entities', 'REPLACE', 'ROLLED_BACK', count(*), 0, count(*), 0 FROM entities WHERE entity_id < 'ENT-03'"]
+    ),
+}
+
 _severity = "CASE WHEN code = 'invalid_field_type' THEN 'structural' ELSE 'semantic' END"
 _QUERIES |= {
     "ingest_alert_issues": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
