@@ -31,11 +31,11 @@ from opsreview.llm.tables import remembered, text_of
 class BpeSettings:
     """``ranks``: path of a rank file, read on the driver (null: the public one for many languages); ``pattern``:
     what a text is split by; ``characters``, ``ids``: how much is encoded or decoded at once; ``pieces``: how
-    many a Python worker remembers; ``long_piece``: bytes from which a piece is cut; ``memory``: of a task's database."""
+    many a Python worker remembers; ``long_piece``: bytes above which a piece is cut, at most 200; ``memory``: of a task's database."""
 
     ranks: str | None = None
     pattern: str | None = None
-    characters: int = 4_000_000
+    characters: int = 3_000_000
     ids: int = 1_000_000
     pieces: int = 500_000
     long_piece: int = 64
@@ -80,18 +80,23 @@ def merges(settings: BpeSettings) -> Merges:
     return Merges(tokens, pattern, adapted_pattern(pattern), left, right, rank, np.isin(rank, list(single)))
 
 
-#: The pieces' token rows ``w, pos, id``; each round contracts one pair of every piece that has one.
+#: Token rows of pieces as ``k``, piece number and position in it, and ``id``. Each round joins a row with the next position and with
+#: the merge table, finds the leftmost pair of the least rank of each piece and contracts it; later positions move up.
 _SHORT = """
-WITH RECURSIVE t(w, pos, id, done) AS (
-  SELECT w, pos, id, false FROM fresh
+WITH RECURSIVE t(k, id, done) AS (
+  SELECT w::BIGINT << 8 | pos, id, false FROM fresh
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best THEN whole ELSE id END, best IS NULL FROM (
-    SELECT w, pos, id, whole, before, (min(whole::BIGINT << 32 | pos) OVER (PARTITION BY w) & 4294967295)::INT AS best FROM (
-      SELECT p.w, p.pos, p.id, p.before, m.whole
-      FROM (SELECT w, pos, id, lead(id) OVER o AS following, lag(pos) OVER o AS before FROM t WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)) p
-      LEFT JOIN merges m ON m.pair = p.id::BIGINT << 32 | p.following))
-  WHERE NOT coalesce(before = best, false))
-SELECT w, pos, id FROM t WHERE done ORDER BY w, pos"""
+  (WITH pairs AS MATERIALIZED (
+     SELECT a.k, a.id, m.whole
+     FROM (SELECT k, id FROM t WHERE NOT done) a
+     LEFT JOIN (SELECT k - 1 AS k, id FROM t WHERE NOT done) b ON b.k = a.k
+     LEFT JOIN merges m ON m.pair = a.id::BIGINT << 32 | b.id)
+   SELECT CASE WHEN k & 255 > best THEN k - 1 ELSE k END, CASE WHEN k & 255 = best THEN whole ELSE id END, best IS NULL
+   FROM (
+     SELECT p.*, b.best & 255 AS best FROM pairs p
+     LEFT JOIN (SELECT k >> 8 AS w, min(whole::BIGINT << 8 | (k & 255)) AS best FROM pairs WHERE whole IS NOT NULL GROUP BY ALL) b ON b.w = p.k >> 8)
+   WHERE NOT coalesce(k & 255 = best + 1, false)))
+SELECT (k >> 8)::INT AS w, (k & 255)::INT AS pos, id FROM t WHERE done ORDER BY k"""
 
 #: The same for long pieces: rows are replaced in place (-1: gone), pieces at rest are left alone, and
 #: of neighbouring pairs of the least rank every other one is contracted.
@@ -147,6 +152,14 @@ def adapted_pattern(pattern: str) -> tuple[str, str]:
     return pattern, f"[{_ranges(differing)}]" if differing else ""
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Splitter:
     """Matches of the pattern as tiktoken finds them; only texts with characters of which the tables differ need the adapted one."""
 
@@ -156,9 +169,10 @@ class Splitter:
         adapted, differing = table.adapted
         self.plain, self.adapted = regex.compile(table.pattern), regex.compile(adapted, regex.V1)
         self.differing = regex.compile(differing) if differing else None
+        self.beyond_latin = not (self.differing and self.differing.search("".join(map(chr, range(256)))))
 
     def pieces(self, text: str) -> list[str]:
-        if self.differing is None or text.isascii():
+        if self.differing is None or text.isascii() or (self.beyond_latin and _is_latin(text)):
             return self.plain.findall(text)
         return (self.adapted if self.differing.search(text) else self.plain).findall(text)
 
@@ -226,20 +240,20 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are new."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        whole: list[tuple[int, int]] = []
-        words: dict[str, tuple[list[bytes], list[int], list[int]]] = {_SHORT: ([], [], []), _LONG: ([], [], [])}
-        for w, piece in enumerate(pieces):
-            data = piece.encode()
-            rank = self.table.tokens.get(data)
-            if rank is not None:
-                whole.append((w, rank))
-                continue
-            cuts = [0, *(self.uncrossed(data) if len(data) > self.settings.long_piece else []), len(data)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                own, ws, at = words[_LONG if b - a > self.settings.long_piece else _SHORT]
-                own.append(data[a:b])
-                ws.append(w)
-                at.append(a)
+        data = [p.encode() for p in pieces]
+        ranks = list(map(self.table.tokens.get, data))
+        whole = [(w, rank) for w, rank in enumerate(ranks) if rank is not None]
+        longest = self.settings.long_piece
+        short = [w for w, rank in enumerate(ranks) if rank is None and len(data[w]) <= longest]
+        words: dict[str, tuple[list[bytes], list[int], list[int]]] = {_SHORT: ([data[w] for w in short], short, [0] * len(short)), _LONG: ([], [], [])}
+        for w, rank in enumerate(ranks):
+            if rank is None and len(data[w]) > longest:
+                cuts = [0, *self.uncrossed(data[w]), len(data[w])]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    own, ws, at = words[_LONG if b - a > longest else _SHORT]
+                    own.append(data[w][a:b])
+                    ws.append(w)
+                    at.append(a)
         for sql, (own, ws, at) in words.items():
             if own:
                 w, pos, ids = self._contracted(own, sql)
@@ -265,7 +279,7 @@ class Encoder:
         """The ids of each text."""
         found = [self.splitter.pieces(t) for t in texts]
         counts = np.array(list(map(len, found)), np.int64)
-        coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
+        coded = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
         del found
         distinct = coded.dictionary.to_pylist()
         new = [p for p in distinct if p not in self.known]
@@ -281,28 +295,20 @@ class Encoder:
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids."""
-        ends = ids.offsets.to_numpy().astype(np.int64)
-        lengths = np.diff(ends)
+        ends = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])
         values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-        rows = self._rows(
-            "SELECT doc, list(token ORDER BY place) AS tokens, count(token) AS n FROM fresh LEFT JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc",
+        row = self._rows(
+            "SELECT list(token ORDER BY place) AS tokens, count(token) AS n FROM fresh LEFT JOIN vocabulary USING (id)",
             place=np.arange(len(values), dtype=np.int32),
-            doc=doc,
             id=values,
         )
-        if rows["n"].to_numpy().sum() != len(values):
+        if row["n"][0].as_py() != len(values):
             raise ValueError("ids that the vocabulary does not have")
-        tokens = rows["tokens"].combine_chunks()
-        flat = tokens.flatten()
-        # The tokens of a text lie one after the other in the child's buffer.
-        at = flat.cast(pa.large_binary()).buffers()
-        inner = np.frombuffer(at[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        outer = np.zeros(len(ids) + 1, np.int64)
-        outer[rows["doc"].to_numpy() + 1] = np.diff(inner[np.concatenate([[0], np.cumsum(lengths[lengths > 0])])])
-        outer = np.cumsum(outer)
-        data = at[2].slice(int(inner[0])) if len(flat) else pa.py_buffer(b"")
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(outer), data])
+        tokens = row["tokens"].combine_chunks().flatten().cast(pa.large_binary())
+        # All bytes lie one after the other in the list's buffer; a text ends where its last token does.
+        _, offsets, data = tokens.buffers() if len(tokens) else (None, pa.py_buffer(np.zeros(1, np.int64)), pa.py_buffer(b""))
+        at = np.frombuffer(offsets, np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at[ends]), data])
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
