@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -540,14 +541,18 @@ def _typed(rows: DataFrame, dataset_type: str) -> DataFrame:
     return write_through(validate.check_cells(rows, DATASETS[dataset_type]), "typed-rows")
 
 
+def _stored_alerts(tables: Tables) -> DataFrame:
+    """Some alerts as if they were stored already."""
+    return tables.alerts.where("status = 'IN_INVESTIGATION'").withColumn(
+        "alert_id", F.regexp_replace("alert_id", "^ALR-0*(?=[0-9])", "ALR-")
+    )
+
+
 def _alert_issues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     tables = demo.load(spark, folder)
     typed = _typed(raw_alerts(spark, folder), "alerts")
     references = {"entities": tables.entities, "assets": tables.assets}
-    stored = tables.alerts.where("status = 'IN_INVESTIGATION'").withColumn(
-        "alert_id", F.regexp_replace("alert_id", "^ALR-0*(?=[0-9])", "ALR-")
-    )
-    return typed, validate.row_issues(typed, DATASETS["alerts"], references, stored)
+    return typed, validate.row_issues(typed, DATASETS["alerts"], references, _stored_alerts(tables))
 
 
 @query
@@ -566,11 +571,8 @@ def _uploaded(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     batch = files.read_batch(spark, "alerts", path)
     typed = write_through(validate.check_cells(batch.rows, DATASETS["alerts"]), "typed-rows")
     tables = demo.load(spark, folder)
-    stored = tables.alerts.where("status = 'IN_INVESTIGATION'").withColumn(
-        "alert_id", F.regexp_replace("alert_id", "^ALR-0*(?=[0-9])", "ALR-")
-    )
     references = {"entities": tables.entities, "assets": tables.assets}
-    return validate.row_issues(typed, DATASETS["alerts"], references, stored)
+    return validate.row_issues(typed, DATASETS["alerts"], references, _stored_alerts(tables))
 
 
 @query
@@ -583,6 +585,67 @@ def ingest_json_lines_file(spark: SparkSession, folder: str) -> DataFrame:
     return _uploaded(spark, folder, "jsonl").select("row", "field", "code", "severity")
 
 
+@query
+def ingest_spanning_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """An upload whose texts hold line breaks, quotes and commas, read by many tasks."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    key = F.concat(F.lit('key "'), F.col("o_custkey").cast("string"), F.lit('",\n\nof '), F.col("o_orderpriority"), F.lit("\n."))
+    keys = orders.select((F.col("o_orderkey") + 1).alias("_row"), F.when(F.col("o_totalprice") >= 200000.0, key).alias("recurrence_key"))
+    path = f"{run_folder(spark)}/upload-{uuid.uuid4().hex}/alerts.csv"
+    raw_alerts(spark, folder).join(keys, "_row").orderBy("_row").drop("_row").write.options(header=True, escape='"').csv(path)
+    typed = write_through(validate.check_cells(files.read_batch(spark, "alerts", path).rows, DATASETS["alerts"]), "typed-rows")
+    return typed.select(F.col("_row").alias("row"), "severity", "recurrence_key")
+
+
+def _documents(lines: DataFrame, opening: str, closing: str, path: str) -> None:
+    """Write rows of JSON as one document per partition."""
+
+    def written(batches):
+        first = True
+        for batch in batches:
+            text = "," + batch["value"]
+            if first and len(text):
+                text.iloc[0] = opening + text.iloc[0][1:]
+                first = False
+            yield text.to_frame()
+        yield pd.DataFrame({"value": [opening + closing if first else closing]})
+
+    lines.mapInPandas(written, "value string").write.option("lineSep", " ").text(path)
+
+
+@query
+def ingest_json_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Problems of the raw alerts uploaded as JSON documents of both forms."""
+    tables = demo.load(spark, folder)
+    references = {"entities": tables.entities, "assets": tables.assets}
+    ordered = raw_alerts(spark, folder).orderBy("_row").drop("_row")
+    lines = ordered.select(F.to_json(F.struct("*")).alias("value"))
+    found = None
+    for form, opening, closing in (("list", "[", "]"), ("records", '{"source": {"name": "}{"}, "records": [', '], "end": [{}]}')):
+        path = f"{run_folder(spark)}/upload-{uuid.uuid4().hex}/alerts.json"
+        _documents(lines, opening, closing, path)
+        typed = write_through(validate.check_cells(files.read_batch(spark, "alerts", path).rows, DATASETS["alerts"]), "typed-rows")
+        issues = validate.row_issues(typed, DATASETS["alerts"], references, _stored_alerts(tables)).select(F.lit(form).alias("form"), "row", "field", "code", "severity")
+        found = issues if found is None else found.unionByName(issues)
+    return found
+
+
+@query
+def ingest_structure(spark: SparkSession, folder: str) -> DataFrame:
+    """Problems of files as a whole: the raw alerts without some columns and with others, in three formats."""
+    wrong = raw_alerts(spark, folder).drop("_row", "severity", "category").withColumn("colour", F.lit("red"))
+    base = f"{run_folder(spark)}/upload-{uuid.uuid4().hex}"
+    wrong.write.options(header=True, escape='"').csv(f"{base}/alerts.csv")
+    wrong.write.json(f"{base}/alerts.jsonl")
+    _documents(wrong.select(F.to_json(F.struct("*")).alias("value")), "[", "]", f"{base}/alerts.json")
+    found = None
+    for suffix in ("csv", "jsonl", "json"):
+        issues = validate.validate(spark, files.read_batch(spark, "alerts", f"{base}/alerts.{suffix}")).issues
+        own = issues.select(F.lit(suffix).alias("format"), "row", "field", "code", "severity")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 @query
 def ingest_alert_report(spark: SparkSession, folder: str) -> DataFrame:
     issues = _alert_issues(spark, folder)[1]

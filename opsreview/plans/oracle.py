@@ -488,6 +488,11 @@ _QUERIES |= {
     "ingest_alert_issues": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
     "ingest_csv_file": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
     "ingest_json_lines_file": f"SELECT row, field, code, {_severity} AS severity FROM alert_issues",
+    "ingest_spanning_csv": """SELECT o_orderkey + 1 AS row, CASE o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '4-NOT SPECIFIED' THEN NULL WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+        CASE WHEN o_totalprice >= 200000 THEN 'key "' || o_custkey || '",' || chr(10) || chr(10) || 'of ' || o_orderpriority || chr(10) || '.' END AS recurrence_key FROM orders""",
+    "ingest_json_document": f"SELECT form, row, field, code, {_severity} AS severity FROM alert_issues, (VALUES ('list'), ('records')) v(form)",
+    "ingest_structure": """SELECT format, NULL::BIGINT AS row, field, code, 'structural' AS severity FROM (VALUES ('csv'), ('jsonl'), ('json')) v(format),
+        (VALUES ('severity', 'missing_required_column'), ('category', 'missing_required_column'), ('colour', 'unknown_column')) w(field, code) WHERE EXISTS (SELECT 1 FROM orders)""",
     "ingest_alert_report": f"SELECT code, {_severity} AS severity, count(*) AS errors, count(DISTINCT row) AS rejected_rows FROM alert_issues GROUP BY code",
     "ingest_alert_accepted": """SELECT row, alert_id, severity, CASE st WHEN 'F' THEN 'MALWARE' ELSE 'PHISHING' END AS category,
         CASE st WHEN 'F' THEN 'CLOSED' ELSE 'IN_INVESTIGATION' END AS status, CASE WHEN p >= 100000 THEN TRUE WHEN p >= 50000 THEN FALSE END AS is_true_positive

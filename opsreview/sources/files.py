@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from opsreview.schemas import DATASETS, GROUND_TRUTH, Dataset
 from opsreview.session import write_through
+from opsreview.sources.pieces import csv_records, json_elements, position
 
 ROW = "_row"
 _FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl"}
@@ -50,8 +51,9 @@ def format_of(path: str) -> str | None:
 def read_batch(spark: SparkSession, dataset_type: str, path: str) -> RawBatch:
     """Read one upload of any size. ``fatal`` codes mean that its rows cannot be interpreted.
 
-    CSV and JSON Lines are split over tasks. A JSON document, or a CSV file with line breaks inside
-    quotes, cannot be split, so one task parses each file.
+    Files are split over tasks, also a CSV file with line breaks inside quotes and a JSON document (see ``pieces``). One task parses a
+    whole file only where that does not find its records: carriage returns mixed into CSV lines, or a JSON document that is
+    not plainly a list of objects, which is refused anyway in most cases.
     """
     dataset = DATASETS.get(dataset_type)
     if dataset is None:
@@ -86,14 +88,6 @@ def _numbered(df: DataFrame) -> DataFrame:
     )
 
 
-def _position() -> list[Column]:
-    return [
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
-    ]
-
-
 def _read_csv(spark: SparkSession, dataset: Dataset, path: str, lines: DataFrame) -> RawBatch:
     first = lines.where(F.trim("value") != "").head()
     if first is None:
@@ -115,18 +109,18 @@ def _read_csv(spark: SparkSession, dataset: Dataset, path: str, lines: DataFrame
     for i, name in enumerate(header):
         if name in names:
             present.setdefault(name, i)
-    cells = spark.read.schema(schema).options(header=True, enforceSchema=True, **options).csv(path)
-    rows = _numbered(
-        cells.select(
-            *[F.col(f"c{i}").alias(name) for name, i in present.items()],
-            F.col(places[-1]).isNotNull().alias("_bad"),
-            F.contains(F.concat_ws("", *places), F.lit("\n")).alias("_spans"),
-            *_position(),
-        )
-    )
+    wanted = [*[F.col(f"c{i}").alias(name) for name, i in present.items()], F.col(places[-1]).isNotNull().alias("_bad")]
+    found = csv_records(spark, path) if spans else None
+    if found is not None:
+        records, open_quote = found
+        cells = records.select(ROW, F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"quote": '"', "escape": '"'}).alias("cells"))
+        rows = write_through(cells.select(ROW, "cells.*").select(ROW, *wanted), "landed").withColumn("_spans", F.lit(False))
+    else:
+        cells = spark.read.schema(schema).options(header=True, enforceSchema=True, **options).csv(path)
+        rows = _numbered(cells.select(*wanted, F.contains(F.concat_ws("", *places), F.lit("\n")).alias("_spans"), *position()))
     count, bad, last_spans = rows.agg(F.count("*"), F.max("_bad"), F.max_by("_spans", ROW)).first()
-    # A quote that never closes takes in the rest of the file.
-    open_quote = bool(last_spans) and every % 2 == 1
+    if found is None:  # a quote that never closes takes in the rest of the file
+        open_quote = bool(last_spans) and every % 2 == 1
     return RawBatch(
         dataset.name, "csv", rows.drop("_bad", "_spans"), count, frozenset(present),
         tuple(dict.fromkeys(c for c in header if c not in names)),
@@ -135,9 +129,16 @@ def _read_csv(spark: SparkSession, dataset: Dataset, path: str, lines: DataFrame
 
 
 def _read_json(spark: SparkSession, dataset: Dataset, path: str, fmt: str) -> RawBatch:
-    text = spark.read.text(path, wholetext=(fmt == "json")).where(F.trim("value") != "")
     value = F.try_parse_json("value")
-    if fmt == "json":
+    found, balanced = json_elements(spark, path) if fmt == "json" else (None, True)
+    if not balanced:
+        return RawBatch(dataset.name, fmt, fatal=("malformed_json",))
+    text = spark.read.text(path, wholetext=(fmt == "json")).where(F.trim("value") != "")
+    if found is not None:
+        elements = write_through(found.select(ROW, value.alias("element")), "json-elements")
+        if not elements.where(F.col("element").isNull()).isEmpty():
+            return RawBatch(dataset.name, fmt, fatal=("malformed_json",))
+    elif fmt == "json":
         records = text.select(value.alias("doc"), F.col("_metadata.file_path").alias("_file")).withColumn(
             "list",
             F.coalesce(
@@ -152,15 +153,16 @@ def _read_json(spark: SparkSession, dataset: Dataset, path: str, fmt: str) -> Ra
             return RawBatch(dataset.name, fmt, fatal=("invalid_json_structure",))
         elements = records.select("_file", F.lit(0).cast("bigint").alias("_start"), F.posexplode("list").alias("_at", "element"))
     else:
-        elements = text.select(value.alias("element"), *_position())
+        elements = text.select(value.alias("element"), *position())
         if not elements.where(F.col("element").isNull()).isEmpty():
             return RawBatch(dataset.name, fmt, fatal=("malformed_json",))
+    place = [F.col(ROW)] if found is not None else [F.col("_file"), F.col("_start"), F.col("_at").cast("bigint").alias("_at")]
     landed = elements.select(
-        "_file", "_start", F.col("_at").cast("bigint").alias("_at"),
+        *place,
         (~F.schema_of_variant("element").startswith("OBJECT")).alias("_bad"),
         F.expr("transform_values(try_cast(element as map<string, variant>), (k, v) -> try_cast(v as string))").alias("cells"),
     )
-    rows = _numbered(landed)
+    rows = write_through(landed, "landed") if found is not None else _numbered(landed)
     names = [f.name for f in dataset.fields]
     count, bad = rows.agg(F.count("*"), F.max("_bad")).first()
     if bad:
