@@ -277,6 +277,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, settings: DecontaminationS
     """The rows of ``documents`` without a benchmark item, all columns."""
     bad = matches(documents, benchmark, settings).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = write_through(bad, "contaminated")
-    return documents.join(
-        bad, documents["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce(documents["text"].cast("string"), F.lit(""))) == F.col("bad_hash")), "left_anti"
-    )
+    rows = documents.select(F.struct("*").alias("row"))  # own columns of any name stay apart
+    own_hash = F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (own_hash == F.col("bad_hash")), "left_anti").select("row.*")

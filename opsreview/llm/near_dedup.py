@@ -338,7 +338,10 @@ def grouped(documents: DataFrame, settings: NearSettings | None = None) -> DataF
     smallest id that is reachable; rows without an id can be members but do not give it, and a group
     that has no id at all has a null one and keeps all its rows.
     """
-    settings = settings or NearSettings()
+    return _grouped(documents, settings or NearSettings()).drop("row_hash")
+
+
+def _grouped(documents: DataFrame, settings: NearSettings) -> DataFrame:
     schema = "doc_id long, known boolean, row_hash long, n long, fp binary, sig array<int>"
     signed = write_through(_hashed(documents).mapInPandas(_signing(settings), schema), "signatures")
     classes = write_through(signed.filter("n > 0").groupBy("fp").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
@@ -357,7 +360,7 @@ def grouped(documents: DataFrame, settings: NearSettings | None = None) -> DataF
     joined = least.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
     by_class = write_through(least.join(joined, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "class-components")
     out = rows.join(by_class, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "row_hash", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
@@ -365,13 +368,13 @@ def grouped(documents: DataFrame, settings: NearSettings | None = None) -> DataF
 def deduplicated(documents: DataFrame, settings: NearSettings | None = None) -> DataFrame:
     """One row of each group, with all columns: that of the smallest id. Of rows that repeat an id one stays;
     rows without an id stay if their group has none."""
-    found = write_through(grouped(documents, settings).filter("kept").select(F.col("doc_id").alias("kept_id")), "near-kept")
-    unnamed = documents.filter(F.col("doc_id").isNull())
-    ids = found.filter("kept_id is not null").groupBy("kept_id").agg(F.count("*").alias("rows"))
-    ids = write_through(ids, "near-kept-ids")
-    stay = documents.join(ids, documents["doc_id"] == F.col("kept_id"), "left_semi")
-    if not ids.filter("rows > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    if found.filter("kept_id is null").isEmpty():
-        return stay
-    return stay.unionByName(unnamed)
+    kept = _grouped(documents, settings or NearSettings()).filter("kept").select("row_hash", "doc_id").distinct()
+    kept = write_through(kept, "near-kept")
+    rows = documents.select(F.struct("*").alias("row"))  # own columns of any name stay apart
+    known = F.col("row.doc_id").isNotNull()
+    own_hash = F.xxhash64(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)), known, F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    stay = rows.withColumn("row_hash", own_hash).join(kept.select("row_hash"), "row_hash", "left_semi")
+    named = stay.filter(known).withColumn("id", F.col("row.doc_id"))
+    if not documents.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        named = named.dropDuplicates(["id"])
+    return named.select("row.*").unionByName(stay.filter(~known).select("row.*"))

@@ -191,6 +191,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: QualitySettings | Non
     marks = [(F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + 1)), F.lit(4)) == 0).alias("spare"), F.xxhash64("doc_id").alias("turn")]
     labelled = rows.join(sample, "doc_id").select("label", *marks, "text", *_INPUT)
     pool = thinned(rows, "doc_id", settings.sample_rows, documents.count(), settings.seed + 2)
+    pool = pool.join(known.select("doc_id"), "doc_id", "left_anti")  # rows kept for calibration must not come back unlabelled
     pool = pool.select(F.lit(-1).alias("label"), *marks, "text", *_INPUT)
     features = labelled.unionByName(pool).mapInPandas(_featured, "label int, spare boolean, turn long, at binary, share binary, meta binary")
     features = write_through(features, "quality-sample")

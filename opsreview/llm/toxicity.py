@@ -204,14 +204,18 @@ def _training(settings: ToxicitySettings, rate: float):
 
 
 def _word_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget()
     for batch in batches:
-        yield pd.DataFrame({"toxic": batch["toxic"], "spare": batch["spare"], "turn": batch["turn"], "words": ["\n".join(sorted(words_of(t))) for t in batch["text"]]})
+        for start, end in stretches(batch["text"].tolist()):
+            own = batch.iloc[start:end]
+            yield pd.DataFrame({"toxic": own["toxic"], "spare": own["spare"], "turn": own["turn"], "words": ["\n".join(sorted(words_of(t))) for t in own["text"]]})
 
 
 def score(text: Column, model: ToxicityModel) -> Column:
     """Score of each whole text, 0 to 1; 0 for a null text or one without words."""
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         known: dict[str, float] = {}
         for batch in batches:
             found: list[float] = []
@@ -240,5 +244,5 @@ def scored(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings |
 def without_toxic(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings | None = None) -> DataFrame:
     """The rows that score below the threshold."""
     settings = settings or ToxicitySettings()
-    columns = documents.columns
-    return scored(documents, labels, settings).filter(F.col("toxicity") < settings.threshold).select(*columns)
+    rows = documents.select(F.struct("*").alias("row"), text_of().alias("text"))  # own columns of any name stay apart
+    return rows.filter(score(F.col("text"), fit(documents, labels, settings)) < settings.threshold).select("row.*")

@@ -139,3 +139,11 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101 + k) for k in range(50)] + [(300, 300), (400, 401)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 151), 100), 400: 400, 401: 400}
+
+
+def test_own_columns_of_clashing_names_stay(spark):
+    rows = [(k, " ".join(words(random.Random(k), 40)), "en", "a") for k in range(6)] + [(9, " ".join(words(random.Random(3), 40)), "en", "a"), (9, "x", "en", "a")]
+    docs = frame(spark, rows).selectExpr("*", "'mine' AS kept_id", "'mine' AS row", "'mine' AS id", "'mine' AS rows")
+    got = near_dedup.deduplicated(docs)
+    assert got.columns == docs.columns and {r["kept_id"] for r in got.collect()} == {"mine"}
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3, 4, 5, 9]

@@ -103,3 +103,12 @@ def test_quality_of_held_out_and_awkward_rows(spark):
 def test_quality_without_labels(spark):
     assert {r["score"] for r in quality.scored(frame(spark, awkward()), labelled(spark, [])).collect()} == {0.5}
     assert quality.scored(frame(spark, []), labelled(spark, [])).collect() == []
+
+
+def test_own_columns_of_clashing_names_stay(spark):
+    rows, labels = insulting(400)
+    docs = frame(spark, rows).selectExpr("*", "'mine' AS toxicity", "'mine' AS row")
+    got = toxicity.without_toxic(docs, labelled(spark, labels))
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert 0 < len(kept) < 400 and {r["toxicity"] for r in kept} == {"mine"}

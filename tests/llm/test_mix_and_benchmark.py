@@ -191,3 +191,11 @@ def test_pipeline_stages_one_by_one(spark, tmp_path):
     assert ids[2] == sorted(set(ids[1]) - {600}) and ids[3] == ids[4]
     assert all(x.columns == list(corpus_pipeline.DOCUMENT_COLUMNS) for x in kept[:4])
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_clean_keeps_own_columns_of_clashing_names(spark):
+    item = "What is the capital of the small country in the far north of the old continent?"
+    rows = [(1, f"before {item} after", "en", "a"), (2, "nothing of it", "en", "a"), (None, None, "en", "a")]
+    docs = frame(spark, rows).selectExpr("*", "'mine' AS bad_id", "'mine' AS bad_hash", "'mine' AS row")
+    got = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["bad_id"], r["bad_hash"]) for r in got.collect()) == [(0, "mine", "mine"), (2, "mine", "mine")]
