@@ -264,3 +264,15 @@ def key_hash(findings: DataFrame) -> DataFrame:
     )
 
 
+
+
+def multiset_hash(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row ``n_rows, sum_hash, xor_hash`` that is the same for the same rows in whatever order and partitions, repeated ones counted.
+
+    Each row is hashed to 60 bits of a SHA-256 over its columns, with a null told from an empty text; the hashes are
+    added and joined by exclusive or, so parts can be hashed apart and merged.
+    """
+    texts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    row_hash = F.conv(F.substring(F.sha2(F.concat(*texts), 256), 1, 15), 16, 10).cast("bigint")
+    hashed = rows.select(row_hash.alias("h"))
+    return hashed.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_hash"), F.bit_xor("h").alias("xor_hash"))

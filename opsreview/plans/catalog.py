@@ -42,6 +42,7 @@ from opsreview.sources import demo, files
 from opsreview.sources.queue_store import QueueStore
 from opsreview.sources.store import Store
 from opsreview.sources.tables import Tables
+from opsreview.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -360,6 +361,20 @@ def evidence_unsupported(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.unsupported_refs(tables, refs).select("finding_key", "source_type", "source_id")
 
 
+@query
+def findings_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """The same findings hashed as they come, and again from other partitions in two parts."""
+    columns = ("finding_key", "analytic_id", "entity_id", "period_label", "confidence", "evidence_count")
+    found = write_through(_findings(spark, folder).select(*columns), "findings")
+    dealt = found.repartition(7, "entity_id")
+    parts = [findings.multiset_hash(dealt.where(f"evidence_count {sign} 3"), *columns) for sign in ("<=", ">")]
+    merged = parts[0].unionByName(parts[1]).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.col("sum_hash").cast("decimal(38,0)")).cast("string").alias("sum_hash"), F.bit_xor("xor_hash").alias("xor_hash")
+    )
+    whole = findings.multiset_hash(found, *columns)
+    return whole.select(F.lit("whole").alias("way"), "*").unionByName(merged.select(F.lit("parts").alias("way"), "*"))
+
+
 # --- Review queue --------------------------------------------------------------------------
 
 
@@ -714,6 +729,21 @@ def store_import_log(spark: SparkSession, folder: str) -> DataFrame:
     return _filled_store(spark, folder).log().select(*columns)
 
 
+# --- Streams -----------------------------------------------------------------------------------
+
+
+@query
+def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Weeks of telemetry that are closed after all of it has arrived as a stream of files."""
+    base = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
+    struct = DATASETS["telemetry"].struct
+    demo.load(spark, folder).telemetry.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct]).write.parquet(f"{base}/in")
+    settings = telemetry.RollupSettings(window="7 days", late="10 days")
+    running = telemetry.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", settings)
+    running.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("entity_id", "asset_id", _ts("window_start"), "records", "event_count", _ts("last_seen"), "silent_records")
+
+
 # --- Audits and evaluation -----------------------------------------------------------------------
 
 

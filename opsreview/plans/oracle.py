@@ -402,6 +402,13 @@ _QUERIES: dict[str, str] = {
         WHERE finding_key > first_key ORDER BY finding_key LIMIT 50""",
     "finding_one": "SELECT finding_key, analytic_id, entity_id, evidence_count FROM findings WHERE finding_key = (SELECT min(finding_key) FROM findings WHERE analytic_id = 'EG-001')",
     "findings_by_category": "SELECT c AS category, count(finding_key) AS n FROM (VALUES ('EXECUTION_GAP'), ('MONITORING_GAP'), ('ANOMALY'), ('PEER_DEVIATION'), ('METRIC_RISK_DIVERGENCE'), ('WORKFLOW_PATTERN')) v(c) LEFT JOIN findings ON category = c GROUP BY c",
+    "findings_hash": """SELECT way, count(*) AS n_rows, sum(h)::VARCHAR AS sum_hash, bit_xor(h) AS xor_hash FROM (SELECT ('0x' || substr(sha256(
+        strlen(finding_key) || ':' || finding_key || strlen(analytic_id) || ':' || analytic_id || strlen(entity_id) || ':' || entity_id
+        || coalesce(strlen(period_label) || ':' || period_label, '-') || coalesce(strlen(confidence) || ':' || confidence, '-')
+        || coalesce(strlen(evidence_count::VARCHAR) || ':' || evidence_count, '-')), 1, 15))::BIGINT AS h FROM findings), (VALUES ('whole'), ('parts')) v(way) GROUP BY way""",
+    "telemetry_stream": f"""SELECT entity_id, asset_id, {_ts('w')} AS window_start, count(*) AS records, sum(event_count)::BIGINT AS event_count, {_ts('max(period_start)')} AS last_seen,
+        count(*) FILTER (event_count = 0) AS silent_records FROM (SELECT *, time_bucket(INTERVAL 7 DAY, period_start, TIMESTAMP '1970-01-01') AS w FROM telemetry)
+        WHERE w + INTERVAL 7 DAY <= (SELECT max(period_start) FROM telemetry) - INTERVAL 10 DAY GROUP BY entity_id, asset_id, w""",
     "evidence_refs": "SELECT DISTINCT finding_key, analytic_id, source_type, source_id, role, period_label FROM refs",
     "evidence_unsupported": "SELECT finding_key, source_type, source_id FROM refs WHERE source_type = 'ALERT' AND source_id NOT IN (SELECT alert_id FROM alerts) OR source_type = 'ASSET' AND source_id NOT IN (SELECT asset_id FROM assets) OR source_type = 'INVESTIGATION' AND source_id NOT IN (SELECT investigation_id FROM investigations)",
     "queue_items": "SELECT queue_id, finding_key, analytic_id, finding_type, entity_id, period_label, title, category, priority, confidence, evidence_count, finding_version FROM items",
