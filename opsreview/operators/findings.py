@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsreview import vocab as V
 from opsreview.functions.expr import period_label
+from opsreview.functions.pages import Pages
 from opsreview.operators.confidence import (
     always,
     annotate,
@@ -240,6 +241,11 @@ def page(findings: DataFrame, limit: int = 50, offset: int = 0, after: str | Non
     return findings.orderBy("finding_key").offset(offset).limit(limit)
 
 
+def pages(findings: DataFrame) -> Pages:
+    """The findings by key, to be paged at any depth with their total, or on from a key."""
+    return Pages(findings, ["finding_key"], "finding-pages")
+
+
 def one(findings: DataFrame, finding_key: str) -> DataFrame:
     return findings.where(F.col("finding_key") == finding_key)
 

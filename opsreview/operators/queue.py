@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from opsreview import vocab as V
 from opsreview.functions.expr import lookup, rank_in, short_hash, step_level
+from opsreview.functions.pages import Pages
 from opsreview.sources.snapshots import Snapshots
 
 ITEM = (
@@ -197,6 +198,11 @@ def page(queue: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return queue.orderBy(urgent.desc(), F.col("created_at").desc(), "queue_id", "finding_key").offset(offset).limit(limit)
 
 
+def pages(queue: DataFrame) -> Pages:
+    """The queue in its order, to be paged at any depth with its total, or on from an item."""
+    return Pages(queue.withColumn("urgency", rank_in(V.PRIORITIES, "priority")), ["-urgency", "-created_at", "queue_id", "finding_key"], "queue-pages")
+
+
 def one(queue: DataFrame, queue_id: str) -> DataFrame:
     return queue.where(F.col("queue_id") == queue_id)
 

@@ -497,6 +497,22 @@ def queue_page(spark: SparkSession, folder: str) -> DataFrame:
     return queue.page(chosen, limit=50, offset=25).select("queue_id", "finding_key", "priority", "status")
 
 
+@query
+def queue_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A deep page with the total, and the page that follows its last item."""
+    pages = queue.pages(_merged(spark, folder))
+    deep = write_through(pages.page(40, offset=pages.total // 2).select("*", F.lit("deep").alias("page")), "queue-page")
+    last = deep.orderBy("urgency", "created_at", F.col("queue_id").desc()).first()
+    following = pages.after(last.asDict(), 40).select("*", F.lit("next").alias("page")) if last else deep
+    return deep.unionByName(following).select("page", "queue_id", "finding_key", "priority", "status", "total")
+
+
+@query
+def findings_pages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = findings.pages(_findings(spark, folder).select("finding_key", "analytic_id", "entity_id"))
+    return pages.page(50, offset=max(0, pages.total - 75))
+
+
 @query
 def queue_of_entity(spark: SparkSession, folder: str) -> DataFrame:
     chosen = queue.select_items(_merged(spark, folder), priority="low", entity_id="ENT-03", category="WORKFLOW_PATTERN")

@@ -431,6 +431,11 @@ _QUERIES: dict[str, str] = {
         LEFT JOIN merged ON outcome = o OR o = 'TOTAL' GROUP BY o""",
     "queue_one": "SELECT queue_id, finding_key, priority, status FROM merged WHERE queue_id = (SELECT min(queue_id) FROM merged WHERE priority = 'HIGH')",
     "queue_page": "SELECT queue_id, finding_key, priority, status FROM merged WHERE status = 'OPEN' ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, created_at DESC, queue_id LIMIT 50 OFFSET 25",
+    "queue_pages": """SELECT CASE WHEN place < total // 2 + 40 THEN 'deep' ELSE 'next' END AS page, queue_id, finding_key, priority, status, total FROM (
+        SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, created_at DESC, queue_id, finding_key) - 1 AS place FROM merged)
+        WHERE place >= total // 2 AND place < total // 2 + 80""",
+    "findings_pages": """SELECT finding_key, analytic_id, entity_id, total FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY finding_key) - 1 AS place FROM findings)
+        WHERE place >= greatest(0, total - 75) AND place < greatest(0, total - 75) + 50""",
     "queue_of_entity": "SELECT queue_id, finding_key, priority, status FROM merged WHERE entity_id = 'ENT-03' AND category = 'WORKFLOW_PATTERN' AND priority = 'LOW'",
     "entity_list_after": f"SELECT entity_id, name, sector, peer_group, scale, asset_count_estimate, analyst_headcount, {_ts('data_period_start')} AS data_period_start, {_ts('data_period_end')} AS data_period_end FROM entities WHERE entity_id > 'ENT-19' ORDER BY entity_id LIMIT 20",
     "entity_one": f"SELECT entity_id, name, sector, peer_group, scale, asset_count_estimate, analyst_headcount, {_ts('data_period_start')} AS data_period_start, {_ts('data_period_end')} AS data_period_end FROM entities WHERE entity_id = 'ENT-07'",
