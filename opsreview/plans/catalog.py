@@ -361,6 +361,17 @@ def evidence_unsupported(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.unsupported_refs(tables, refs).select("finding_key", "source_type", "source_id")
 
 
+@query
+def evidence_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same check where alerts of EG-001, assets of EG-002 and investigations of IF-REP-001 are replaced by ones that do not exist."""
+    tables, records, detected = _detected(spark, folder)
+    refs = evidence.all_refs(tables, write_each(detected), records, CONFIG.sequences)
+    pair = F.concat_ws(" ", "analytic_id", "source_type")
+    gone = pair.isin("EG-001 ALERT", "EG-002 ASSET", "IF-REP-001 INVESTIGATION")
+    refs = refs.withColumn("source_id", F.when(gone, F.concat("source_id", F.lit("-gone"))).otherwise(F.col("source_id")))
+    return evidence.unsupported_refs(tables, refs).select("finding_key", "source_type", "source_id").distinct()
+
+
 @query
 def findings_hash(spark: SparkSession, folder: str) -> DataFrame:
     """The same findings hashed as they come, and again from other partitions in two parts."""

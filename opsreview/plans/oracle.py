@@ -402,6 +402,7 @@ _QUERIES: dict[str, str] = {
         WHERE finding_key > first_key ORDER BY finding_key LIMIT 50""",
     "finding_one": "SELECT finding_key, analytic_id, entity_id, evidence_count FROM findings WHERE finding_key = (SELECT min(finding_key) FROM findings WHERE analytic_id = 'EG-001')",
     "findings_by_category": "SELECT c AS category, count(finding_key) AS n FROM (VALUES ('EXECUTION_GAP'), ('MONITORING_GAP'), ('ANOMALY'), ('PEER_DEVIATION'), ('METRIC_RISK_DIVERGENCE'), ('WORKFLOW_PATTERN')) v(c) LEFT JOIN findings ON category = c GROUP BY c",
+    "evidence_planted": "SELECT DISTINCT finding_key, source_type, source_id || '-gone' AS source_id FROM refs WHERE analytic_id || ' ' || source_type IN ('EG-001 ALERT', 'EG-002 ASSET', 'IF-REP-001 INVESTIGATION')",
     "findings_hash": """SELECT way, count(*) AS n_rows, sum(h)::VARCHAR AS sum_hash, bit_xor(h) AS xor_hash FROM (SELECT ('0x' || substr(sha256(
         strlen(finding_key) || ':' || finding_key || strlen(analytic_id) || ':' || analytic_id || strlen(entity_id) || ':' || entity_id
         || coalesce(strlen(period_label) || ':' || period_label, '-') || coalesce(strlen(confidence) || ':' || confidence, '-')
