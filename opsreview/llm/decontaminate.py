@@ -7,9 +7,13 @@ and item, equal item names stand for equal document names and unequal ones for u
 Numbers are free. A document is contaminated if such windows cover enough of an item.
 
 Windows of too few words besides placeholders, and whole items of a few tokens, are looked up by their
-values instead. Every window of every whole text is looked up. Only the distinct hashes of the
-benchmark's windows go to all tasks, and only while their count is below a stated
-bound; beyond it the same join shuffles.
+values instead. Only the distinct hashes of the benchmark's windows go to all tasks, and only while
+their count is below a stated bound; beyond it the same join shuffles.
+
+Each searched window has an anchor that a text must hold to hold the window: four, two or one words of
+letters in a row that no placeholder changes, or numerals in a row where values are searched. One
+plain split of every whole text finds the texts with some anchor, and only these are made into
+templates, once for all window sizes, and looked up window by window.
 """
 
 from __future__ import annotations
@@ -120,13 +124,80 @@ def _windows(df: DataFrame, size: int, settings: DecontaminationSettings) -> Dat
         one = lambda i: F.struct((i - 1).alias("at"), F.lit(way).alias("way"), F.xxhash64(F.lit(way), F.slice(_STREAM[way], i, F.lit(size))).alias("hash"))
         return F.transform(starts[way], one)
 
-    return rows.select("doc_id", "text_hash", "template", "named", "values", F.inline(F.concat(*map(hashed, starts))))
+    return rows.select("doc_id", "text_hash", F.inline(F.concat(*map(hashed, starts))))
 
 
 def _of_way(template: Column, named: Column, values: Column) -> Column:
     return F.when(F.col("way") == EXACT, values).when(F.col("way") == NAMES, named).otherwise(template)
 
 
+# What anchors are made of, and the marks that stand in words which no anchor covers.
+_BETWEEN_LETTERS = r"[\P{L}ǀ-ǃ]+"
+_ONLY_LETTERS = r"^[\p{L}&&[^ǀ-ǃ]]+$"
+_MARKS = r"[\p{Nl}\p{No}ǀ-ǃ]"
+LETTERS, NUMERALS, MARK = 0, 1, 2
+
+
+def _numerals(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(text, r",(?=\p{Nd}{3}(?!\p{Nd}))(?<=\p{Nd},)", ""), F.lit(r"\p{Nd}+"), F.lit(0))
+
+
+def _paired(hashes: Column, step: int) -> Column:
+    """The hash of each entry and the one ``step`` places on; null where one of them is."""
+    n = F.greatest(F.size(hashes) - step, F.lit(0))
+    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), pair)
+
+
+def _grams(df: DataFrame, words: Column, kind: int, usable: str | None = None) -> DataFrame:
+    """Adds ``of1``, ``of2`` and ``of4``: hashes of one, two and four entries in a row, null where one of them is not ``usable``."""
+    one = lambda x: F.xxhash64(F.lit(kind), x)
+    df = df.withColumn("of1", F.transform(words, one if usable is None else lambda x: F.when(x.rlike(usable), one(x))))
+    return df.withColumn("of2", _paired(F.col("of1"), 1)).withColumn("of4", _paired(F.col("of2"), 2))
+
+
+def _anchored(windows: DataFrame) -> DataFrame:
+    """Adds each window's ``anchor``, its ``kind`` and how many words or numerals it has in a row (``in_row``)."""
+    literal = F.filter("item_template", lambda x: ~x.startswith("ǀ"))
+    parts = F.filter(F.flatten(F.transform(literal, lambda x: F.split(x, _BETWEEN_LETTERS))), lambda x: x != "")
+    longest = F.array_min(F.transform(parts, lambda x: F.struct((-F.length(x)).alias("less"), x.alias("word"))))["word"]
+    windows = windows.withColumn("word", longest)
+
+    def found(hash_: Column, kind: int, in_row: int) -> Column:
+        return F.when(hash_.isNotNull(), F.struct(hash_.alias("anchor"), F.lit(kind).alias("kind"), F.lit(in_row).alias("in_row")))
+
+    rows = _grams(windows, F.col("item_template"), LETTERS, _ONLY_LETTERS)
+    rows = rows.withColumns({f"letters{n}": found(F.array_min(f"of{n}"), LETTERS, n) for n in (2, 4)} | {"letters1": found(F.xxhash64(F.lit(LETTERS), "word"), LETTERS, 1)})
+    rows = rows.withColumn("letters1", F.when(F.col("word").isNotNull(), F.col("letters1")))
+    rows = _grams(rows, _numerals(F.array_join("item_values", " ")), NUMERALS)
+    exact = F.col("way") == EXACT
+    rows = rows.withColumns({f"numerals{n}": F.when(exact, found(F.array_min(f"of{n}"), NUMERALS, n)) for n in (1, 2, 4)})
+    mark = found(F.xxhash64(F.lit(MARK)), MARK, 1)
+    order = [f"{x}{n}" for n in (4, 2, 1) for x in ("letters", "numerals")]
+    return rows.withColumn("best", F.coalesce(*order, mark)).select(*[c for c in windows.columns if c != "word"], "best.*")
+
+
+def _with_anchors(documents: DataFrame, windows: DataFrame, settings: DecontaminationSettings) -> DataFrame:
+    """The rows of ``doc_id, text`` whose texts hold some window's anchor, with ``text_hash``."""
+    anchors = windows.select("kind", "in_row", "anchor").distinct()
+    counts = {(r["kind"], r["in_row"]): r["n"] for r in anchors.groupBy("kind", "in_row").agg(F.count("*").alias("n")).collect()}  # at most seven rows
+    texts = documents.select(F.xxhash64("text").alias("text_hash"), "text")
+    rows = texts.withColumn("grams", F.when(F.col("text").rlike(_MARKS), F.array(F.xxhash64(F.lit(MARK)))).otherwise(F.array().cast("array<bigint>")))
+    sources = {LETTERS: F.split(F.lower("text"), _BETWEEN_LETTERS), NUMERALS: _numerals(F.col("text"))}
+    for kind, words in sources.items():
+        used = [f"of{n}" for n in (1, 2, 4) if (kind, n) in counts]
+        if used:
+            rows = _grams(rows, words, kind)
+            rows = rows.withColumn("grams", F.concat("grams", *used))
+    rows = rows.select("text_hash", F.explode("grams").alias("anchor"))
+    anchors = anchors.select("anchor")
+    small = sum(counts.values()) <= settings.broadcast_hashes
+    rows = rows.join(F.broadcast(anchors) if small else anchors.hint("merge"), "anchor", "left_semi")
+    held = write_through(rows.select(F.col("text_hash").alias("held")).distinct(), "anchored-texts")
+    hashed = documents.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.join(held, F.col("text_hash") == F.col("held"), "left_semi")
+
+
 def _benchmark_windows(benchmark: DataFrame, settings: DecontaminationSettings) -> DataFrame:
     """The items' windows. An item shorter than a window is one window of its own length.
 
@@ -168,23 +239,27 @@ def _benchmark_windows(benchmark: DataFrame, settings: DecontaminationSettings)
     return rows.withColumn("hash", F.xxhash64("way", "item_template"))
 
 
-def _found(documents: DataFrame, windows: DataFrame, settings: DecontaminationSettings) -> DataFrame:
-    """Document windows whose hash is one of the benchmark's."""
+def _found(tokens: DataFrame, windows: DataFrame, settings: DecontaminationSettings) -> DataFrame:
+    """Document windows whose hash is one of the benchmark's. Windows are looked up without the texts they
+    stand in; those found, as many as a text has windows at most, meet their text's tokens again."""
     wanted = windows.select("size", "hash").distinct()
     counts = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}
     out = None
     for size in sorted(counts) or [settings.window]:
         hashes = wanted.filter(F.col("size") == size).select("hash")
-        template, named, values = (F.slice(c, F.col("at") + 1, F.lit(size)) for c in ("template", "named", "values"))
-        template = _of_way(template, named, values)
-        cut = ["doc_id", "text_hash", "hash", "way", "at", template.alias("doc_template"), values.alias("doc_values")]
-        rows = _windows(documents, size, settings)
-        if counts.get(size, 0) <= settings.broadcast_hashes:
-            rows = rows.join(F.broadcast(hashes), "hash", "left_semi").select(*cut)
-        else:  # cut first: whole texts must not travel with each of their windows
-            rows = rows.select(*cut).join(hashes.hint("merge"), "hash", "left_semi")
+        small = counts.get(size, 0) <= settings.broadcast_hashes
+        rows = _windows(tokens, size, settings).join(F.broadcast(hashes) if small else hashes.hint("merge"), "hash", "left_semi")
+        rows = rows.select("doc_id", "text_hash", F.struct("hash", "way", "at", F.lit(size).alias("size")).alias("place"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    out = out.groupBy(F.col("doc_id").alias("in_id"), F.col("text_hash").alias("in_hash")).agg(F.collect_set("place").alias("places"))
+    out = tokens.join(out, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("text_hash") == F.col("in_hash")))
+
+    def cut(x: Column) -> Column:
+        template, named, values = (F.slice(c, x["at"] + 1, x["size"]) for c in ("template", "named", "values"))
+        text = F.when(x["way"] == EXACT, values).when(x["way"] == NAMES, named).otherwise(template)
+        return F.struct(x["hash"].alias("hash"), x["way"].alias("way"), x["at"].alias("at"), text.alias("doc_template"), values.alias("doc_values"))
+
+    return out.select("doc_id", "text_hash", F.inline(F.transform("places", cut)))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, settings: DecontaminationSettings | None = None) -> DataFrame:
@@ -195,8 +270,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, settings: Decontaminatio
     Coverages are over all windows, over those with searched templates and over those whose templates are searched
     with typed names as well. The largest counts, and both counts of windows are its own."""
     settings = settings or DecontaminationSettings()
-    windows = write_through(_benchmark_windows(benchmark, settings), "benchmark-windows")
-    tokens = _tokens(documents.select("doc_id", text_of().alias("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), "values", "template", "named")
+    windows = write_through(_anchored(_benchmark_windows(benchmark, settings)), "benchmark-windows")
+    texts = _with_anchors(documents.select("doc_id", text_of().alias("text")), windows, settings)
+    tokens = write_through(_tokens(texts).select("doc_id", "text_hash", "values", "template", "named"), "anchored-tokens")
     met = _found(tokens, windows, settings).join(windows, ["hash", "way"]).filter(F.col("doc_template") == F.col("item_template"))
     slots = F.filter(
         F.transform(

@@ -199,3 +199,20 @@ def test_clean_keeps_own_columns_of_clashing_names(spark):
     docs = frame(spark, rows).selectExpr("*", "'mine' AS bad_id", "'mine' AS bad_hash", "'mine' AS row")
     got = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["bad_id"], r["bad_hash"]) for r in got.collect()) == [(0, "mine", "mine"), (2, "mine", "mine")]
+
+
+def test_anchors_lose_nothing(spark, monkeypatch):
+    """Random items and texts of words, names, numerals, units and marks: looking all texts up finds no more."""
+    draw = random.Random(11)
+    pool = "red hat sun 12 1,900 3.5 five twenty-five two hundred and six kg miles Anna Bob m² ½ ΑΣ ǃk x y 7% -3 1/2 Ⅳ b2b İstanbul".split(" ")
+    text = lambda n: " ".join(draw.choices(pool, k=n))
+    items = [text(draw.choice([1, 2, 3, 5, 8, 9, 14])) for _ in range(60)] + ["½ ² Ⅳ ½ ²", "2 4 8 16 32 64 128 256", "ǃ"]
+    again = {"Anna": "Carol", "Bob": "Dave", "12": "77", "1,900": "1900", "kg": "miles", "five": "six"}
+    other = lambda t: " ".join(again.get(w, w) for w in t.split(" "))
+    texts = [f"{text(6)}; {draw.choice([str, str.upper, str.lower, other])(draw.choice(items))} {text(6)}" for _ in range(150)] + [text(40) for _ in range(50)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    settings = decontaminate.DecontaminationSettings(short_items=True, coverage=0.01)
+    got = sorted(map(tuple, decontaminate.matches(docs, bench, settings).collect()))
+    monkeypatch.setattr(decontaminate, "_with_anchors", lambda d, *_: d.selectExpr("*", "xxhash64(text) AS text_hash"))
+    assert got == sorted(map(tuple, decontaminate.matches(docs, bench, settings).collect())) and len(got) > 100
