@@ -124,7 +124,8 @@ def _windows(df: DataFrame, size: int, settings: DecontaminationSettings) -> Dat
         one = lambda i: F.struct((i - 1).alias("at"), F.lit(way).alias("way"), F.xxhash64(F.lit(way), F.slice(_STREAM[way], i, F.lit(size))).alias("hash"))
         return F.transform(starts[way], one)
 
-    return rows.select("doc_id", "text_hash", F.inline(F.concat(*map(hashed, starts))))
+    # Outer: Spark would evaluate the array of an inner one twice, to keep rows without windows out.
+    return rows.select("doc_id", "text_hash", F.inline_outer(F.concat(*map(hashed, starts))))
 
 
 def _of_way(template: Column, named: Column, values: Column) -> Column:
@@ -133,7 +134,8 @@ def _of_way(template: Column, named: Column, values: Column) -> Column:
 
 # What anchors are made of, and the marks that stand in words which no anchor covers.
 _BETWEEN_LETTERS = r"[\P{L}ǀ-ǃ]+"
-_ONLY_LETTERS = r"^[\p{L}&&[^ǀ-ǃ]]+$"
+_ONLY_LETTERS = rf"^(?:[\p{{L}}&&[^ǀ-ǃ]]+|{NAME})$"
+_IS_NAME = r"^\p{Lu}(?=\p{L}*\p{Ll})\p{L}+$"
 _MARKS = r"[\p{Nl}\p{No}ǀ-ǃ]"
 LETTERS, NUMERALS, MARK = 0, 1, 2
 
@@ -142,6 +144,10 @@ def _numerals(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, r",(?=\p{Nd}{3}(?!\p{Nd}))(?<=\p{Nd},)", ""), F.lit(r"\p{Nd}+"), F.lit(0))
 
 
+def _one(kind: int, word: Column) -> Column:
+    return F.xxhash64(F.lit(kind), word)
+
+
 def _paired(hashes: Column, step: int) -> Column:
     """The hash of each entry and the one ``step`` places on; null where one of them is."""
     n = F.greatest(F.size(hashes) - step, F.lit(0))
@@ -149,48 +155,59 @@ def _paired(hashes: Column, step: int) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), pair)
 
 
-def _grams(df: DataFrame, words: Column, kind: int, usable: str | None = None) -> DataFrame:
-    """Adds ``of1``, ``of2`` and ``of4``: hashes of one, two and four entries in a row, null where one of them is not ``usable``."""
-    one = lambda x: F.xxhash64(F.lit(kind), x)
-    df = df.withColumn("of1", F.transform(words, one if usable is None else lambda x: F.when(x.rlike(usable), one(x))))
-    return df.withColumn("of2", _paired(F.col("of1"), 1)).withColumn("of4", _paired(F.col("of2"), 2))
+def _grams(df: DataFrame, ones: Column, name: str = "of") -> DataFrame:
+    """Adds ``of1``, the hashes of single entries, and ``of2`` and ``of4``, those of two and four in a row."""
+    df = df.withColumn(f"{name}1", ones)
+    return df.withColumn(f"{name}2", _paired(F.col(f"{name}1"), 1)).withColumn(f"{name}4", _paired(F.col(f"{name}2"), 2))
 
 
 def _anchored(windows: DataFrame) -> DataFrame:
-    """Adds each window's ``anchor``, its ``kind`` and how many words or numerals it has in a row (``in_row``)."""
+    """Adds each window's ``anchor``, its ``kind`` and how many words or numerals it has in a row (``in_row``).
+    Typed names are words of such a row, as each of them is one word of letters in any text."""
     literal = F.filter("item_template", lambda x: ~x.startswith("ǀ"))
     parts = F.filter(F.flatten(F.transform(literal, lambda x: F.split(x, _BETWEEN_LETTERS))), lambda x: x != "")
     longest = F.array_min(F.transform(parts, lambda x: F.struct((-F.length(x)).alias("less"), x.alias("word"))))["word"]
-    windows = windows.withColumn("word", longest)
 
     def found(hash_: Column, kind: int, in_row: int) -> Column:
         return F.when(hash_.isNotNull(), F.struct(hash_.alias("anchor"), F.lit(kind).alias("kind"), F.lit(in_row).alias("in_row")))
 
-    rows = _grams(windows, F.col("item_template"), LETTERS, _ONLY_LETTERS)
-    rows = rows.withColumns({f"letters{n}": found(F.array_min(f"of{n}"), LETTERS, n) for n in (2, 4)} | {"letters1": found(F.xxhash64(F.lit(LETTERS), "word"), LETTERS, 1)})
-    rows = rows.withColumn("letters1", F.when(F.col("word").isNotNull(), F.col("letters1")))
-    rows = _grams(rows, _numerals(F.array_join("item_values", " ")), NUMERALS)
-    exact = F.col("way") == EXACT
-    rows = rows.withColumns({f"numerals{n}": F.when(exact, found(F.array_min(f"of{n}"), NUMERALS, n)) for n in (1, 2, 4)})
-    mark = found(F.xxhash64(F.lit(MARK)), MARK, 1)
+    def fewest_names(n: int) -> Column:
+        names = lambda i: F.size(F.filter(F.slice("item_template", i + 1, F.lit(n)), lambda x: x == NAME))
+        return F.array_min(F.transform(f"of{n}", lambda h, i: F.when(h.isNotNull() & (names(i) < n), F.struct(names(i).alias("names"), h.alias("hash")))))["hash"]
+
+    rows = _grams(windows, F.transform("item_template", lambda x: F.when(x.rlike(_ONLY_LETTERS), _one(LETTERS, x))))
+    alone = F.when(longest.isNotNull(), _one(LETTERS, longest))
+    rows = rows.withColumns({f"letters{n}": found(fewest_names(n) if n > 1 else alone, LETTERS, n) for n in (1, 2, 4)})
+    rows = _grams(rows, F.transform(_numerals(F.array_join("item_values", " ")), lambda x: _one(NUMERALS, x)))
+    rows = rows.withColumns({f"numerals{n}": F.when(F.col("way") == EXACT, found(F.array_min(f"of{n}"), NUMERALS, n)) for n in (1, 2, 4)})
     order = [f"{x}{n}" for n in (4, 2, 1) for x in ("letters", "numerals")]
-    return rows.withColumn("best", F.coalesce(*order, mark)).select(*[c for c in windows.columns if c != "word"], "best.*")
+    best = F.coalesce(*order, found(_one(MARK, F.lit("")), MARK, 1))
+    return rows.withColumn("best", best).select(*windows.columns, "best.*")
 
 
 def _with_anchors(documents: DataFrame, windows: DataFrame, settings: DecontaminationSettings) -> DataFrame:
-    """The rows of ``doc_id, text`` whose texts hold some window's anchor, with ``text_hash``."""
+    """The rows of ``doc_id, text`` whose texts hold some window's anchor, with ``text_hash``. Texts with a letter whose
+    lower case depends on what follows, or is two characters, are always among them."""
     anchors = windows.select("kind", "in_row", "anchor").distinct()
     counts = {(r["kind"], r["in_row"]): r["n"] for r in anchors.groupBy("kind", "in_row").agg(F.count("*").alias("n")).collect()}  # at most seven rows
-    texts = documents.select(F.xxhash64("text").alias("text_hash"), "text")
-    rows = texts.withColumn("grams", F.when(F.col("text").rlike(_MARKS), F.array(F.xxhash64(F.lit(MARK)))).otherwise(F.array().cast("array<bigint>")))
-    sources = {LETTERS: F.split(F.lower("text"), _BETWEEN_LETTERS), NUMERALS: _numerals(F.col("text"))}
-    for kind, words in sources.items():
-        used = [f"of{n}" for n in (1, 2, 4) if (kind, n) in counts]
-        if used:
-            rows = _grams(rows, words, kind)
-            rows = rows.withColumn("grams", F.concat("grams", *used))
-    rows = rows.select("text_hash", F.explode("grams").alias("anchor"))
-    anchors = anchors.select("anchor")
+    text, none = F.col("text"), F.array().cast("array<bigint>")
+    always = text.contains("İ") | (text.contains("Σ") & text.rlike(r"\p{L}Σ(?!\p{L})"))
+    always = always | text.rlike(_MARKS) if (MARK, 1) in counts else always
+    rows = documents.select(F.xxhash64("text").alias("text_hash"), "text", F.when(always, F.array(_one(MARK, F.lit("")))).otherwise(none).alias("grams"))
+    of_letters, of_numerals = ([n for n in (1, 2, 4) if (kind, n) in counts] for kind in (LETTERS, NUMERALS))
+    if of_letters:
+        lower = rows.withColumn("words", F.split("text", _BETWEEN_LETTERS)).withColumn("lower", F.transform("words", F.lower))
+        named = lambda x, y: F.when((x != y) & x.rlike(_IS_NAME), F.lit(NAME)).otherwise(y)
+        rows = _grams(lower, F.transform("lower", lambda x: _one(LETTERS, x)))
+        rows = _grams(rows, F.transform(F.zip_with("words", "lower", named), lambda x: _one(LETTERS, x)), "name")
+        # Of rows with typed names only those that hold one are new.
+        new = [F.filter(F.zip_with(f"of{n}", f"name{n}", lambda a, b: F.when(a != b, b)), lambda x: x.isNotNull()) for n in of_letters if n > 1]
+        rows = rows.select("text_hash", "text", F.concat("grams", *[f"of{n}" for n in of_letters], *new).alias("grams"))
+    if of_numerals:
+        rows = _grams(rows, F.transform(_numerals(text), lambda x: _one(NUMERALS, x)))
+        rows = rows.withColumn("grams", F.concat("grams", *[f"of{n}" for n in of_numerals]))
+    rows = rows.select("text_hash", F.explode_outer("grams").alias("anchor"))  # outer: as in _windows
+    anchors = anchors.select("anchor").union(anchors.sparkSession.range(1).select(_one(MARK, F.lit("")))).distinct()
     small = sum(counts.values()) <= settings.broadcast_hashes
     rows = rows.join(F.broadcast(anchors) if small else anchors.hint("merge"), "anchor", "left_semi")
     held = write_through(rows.select(F.col("text_hash").alias("held")).distinct(), "anchored-texts")
