@@ -63,14 +63,22 @@ def read_batch(spark: SparkSession, dataset_type: str, path: str) -> RawBatch:
         return RawBatch(dataset_type, fatal=("unsupported_format",))
     if not spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]:
         return RawBatch(dataset_type, fmt, fatal=("empty_dataset",))
-    lines = spark.read.text(path)
-    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+    if not stretches(spark, path, fmt).where(~F.is_valid_utf8("value")).isEmpty():
         return RawBatch(dataset_type, fmt, fatal=("content_format_mismatch",))
     if fmt == "csv":
-        return _read_csv(spark, dataset, path, lines)
+        return _read_csv(spark, dataset, path, spark.read.text(path))
     return _read_json(spark, dataset, path, fmt)
 
 
+def stretches(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """The text of an upload in rows that need not be lines: a JSON document, which may be one line, is cut behind braces.
+
+    A brace or line feed is a byte of its own in UTF-8, so a cut leaves valid text valid and other text not.
+    """
+    reader = spark.read.option("lineSep", "}") if fmt == "json" else spark.read
+    return reader.text(path)
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """Replace the file position by ``_row``: 1, 2, ... in file order.
 

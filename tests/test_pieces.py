@@ -139,3 +139,13 @@ def test_json_uploads_are_numbered_over_files(spark, tmp_path, small_splits):
     assert [r["entity_id"] for r in got] == [f"ENT-{k}{i}" for k in range(2) for i in range(9)] and [r[files.ROW] for r in got] == list(range(1, 19))
     (folder / "1.json").write_text('[{"a": 01}]')
     assert read_batch(spark, "entities", str(folder)).fatal == ("malformed_json",)
+
+
+def test_a_document_of_one_line_is_no_single_row(spark, tmp_path):
+    path = tmp_path / "alerts.json"
+    path.write_text("[" + ",".join('{"alert_id": "ALR-%d", "colour": "rød"}' % i for i in range(2000)) + "]")
+    longest = files.stretches(spark, str(path), "json").agg(F.max(F.length("value"))).first()[0]
+    assert longest < 60
+    assert files.read_batch(spark, "alerts", str(path)).row_count == 2000
+    path.write_bytes(path.read_bytes().replace("ø".encode(), b"\xc3", 1))
+    assert files.read_batch(spark, "alerts", str(path)).fatal == ("content_format_mismatch",)
