@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +23,12 @@ from opsreview.functions.expr import (
 )
 from opsreview.functions.ordered import BLOCK, earlier_blocks, in_blocks, within_block
 from opsreview.operators.rollups import in_first_period, reporting_periods
+from opsreview.session import write_through
 from opsreview.sources.tables import Tables
 
+#: Investigations with more actions are put together by many tasks.
+LONG = 100_000
+
 
 def _ordered_letters(group: str = "steps") -> F.Column:
     return F.array_join(F.transform(F.array_sort(group), lambda s: s["letter"]), "")
@@ -29,22 +38,71 @@ def action_sequences(actions: DataFrame) -> DataFrame:
     """Per investigation: ``letters`` (one per action, in order), ``action_count``,
     ``has_duplicate_numbers``.
 
-    Order is by sequence number, then time (missing times last), then action id. The
-    actions are range-partitioned by investigation and that order, put together
-    piece by piece, and the pieces joined: no task sorts a whole investigation,
-    however long it is. An investigation has at most one piece per block.
+    Order is by sequence number, then time (missing times last), then action id.
+    Investigations of up to ``LONG`` actions are sorted in the partitions of their ids and
+    read off in that order. Longer ones are put together from pieces of blocks, so no task
+    sorts a whole one, however long it is.
     """
     steps = actions.select(
         "investigation_id",
-        F.struct(
-            F.col("sequence_number").alias("seq"),
-            F.col("occurred_at").isNull().alias("untimed"),
-            F.col("occurred_at").alias("at"),
-            F.col("action_id").alias("id"),
-            action_letter("action_type").alias("letter"),
-        ).alias("step"),
+        F.col("sequence_number").cast("bigint").alias("seq"),
+        F.col("occurred_at").isNull().alias("untimed"),
+        F.col("occurred_at").alias("at"),
+        F.col("action_id").alias("id"),
+        action_letter("action_type").alias("letter"),
+    )
+    sizes = actions.groupBy("investigation_id").agg(F.count("*").alias("n"))
+    long = write_through(sizes.where(F.col("n") > LONG).select(F.col("investigation_id").alias("long_id")), "long-investigations")
+    if long.isEmpty():
+        return _in_order(steps)
+    is_long = F.col("investigation_id").eqNullSafe(F.col("long_id"))
+    return _in_order(steps.join(long, is_long, "left_anti")).unionByName(_from_pieces(steps.join(long, is_long, "left_semi")))
+
+
+def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per investigation from ordered steps; the last one of a batch waits for the next batch."""
+    waiting: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is None:
+            table, waiting = waiting, None
+        else:
+            table = pa.Table.from_batches([batch])
+            table, waiting = (pa.concat_tables([waiting, table]) if waiting is not None else table), None
+        if table is None or not table.num_rows:
+            continue
+        table = table.combine_chunks()
+        ids, numbers = (table[c].combine_chunks().dictionary_encode("encode") for c in ("investigation_id", "seq"))
+        fresh, again = (np.diff(c.indices.to_numpy()) != 0 for c in (ids, numbers))
+        first = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+        if batch is not None:
+            waiting = table.slice(int(first[-1]))
+            first, size = first[:-1], int(first[-1])
+        else:
+            size = table.num_rows
+        if not len(first):
+            continue
+        ends = np.append(first[1:], size)
+        repeated = np.concatenate([[0], np.cumsum(~fresh & ~again)])  # up to a row, within its investigation
+        letters = "".join(table["letter"].slice(0, size).to_pylist()).encode("ascii")
+        offsets = np.append(first, size).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({
+            "investigation_id": table["investigation_id"].combine_chunks().take(pa.array(first)),
+            "letters": pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters)),
+            "action_count": pa.array((ends - first).astype(np.int64)),
+            "has_duplicate_numbers": pa.array(repeated[ends - 1] > repeated[first]),
+        })
+
+
+def _in_order(steps: DataFrame) -> DataFrame:
+    ordered = steps.repartition("investigation_id").sortWithinPartitions("investigation_id", "seq", "untimed", "at", "id", "letter")
+    return ordered.select("investigation_id", "seq", "letter").mapInArrow(
+        _read_off, "investigation_id string, letters string, action_count bigint, has_duplicate_numbers boolean"
     )
-    flat = steps.select("investigation_id", "step", "step.seq", "step.untimed", "step.at", "step.id")
+
+
+def _from_pieces(steps: DataFrame) -> DataFrame:
+    """The same from range-partitioned blocks. An investigation has at most one piece per block."""
+    flat = steps.withColumn("step", F.struct("seq", "untimed", "at", "id", "letter"))
     blocks = in_blocks(flat, ["investigation_id"], ["seq", "untimed", "at", "id"], "action-pieces")
     # Equal numbers lie next to each other, so a piece sees its own repeats; the first
     # and last number show repeats that two pieces share.

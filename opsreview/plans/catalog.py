@@ -80,7 +80,10 @@ def _joined(array: str, sep: str = "|") -> Column:
 def _with_stored_kpis(spark: SparkSession, folder: str) -> Tables:
     """The test tables with the derived KPI table written once, for queries that read
     it several times."""
-    tables = demo.load(spark, folder)
+    return _kpis_stored(demo.load(spark, folder))
+
+
+def _kpis_stored(tables: Tables) -> Tables:
     return tables.replace(performance_metrics=write_through(latest_metrics(tables.performance_metrics), "kpis"))
 
 
@@ -285,7 +288,7 @@ def an001_isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _detected(spark: SparkSession, folder: str) -> tuple[Tables, DataFrame, dict[str, DataFrame]]:
     """Everything but the forest, whose random splits have no SQL counterpart."""
-    tables = _with_stored_kpis(spark, folder)
+    tables = _kpis_stored(demo.load(spark, folder, stored=True))
     records = sequences.investigation_records(tables, CONFIG.sequences)
     return tables, records, {
         "execution_gap": execution_gap.detect(tables, CONFIG.execution_gap),
@@ -800,14 +803,14 @@ def scenario_evaluation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def assessment_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return assess(demo.load(spark, folder), CONFIG).findings.select(
+    return assess(demo.load(spark, folder, stored=True), CONFIG).findings.select(
         "finding_key", "analytic_id", "finding_type", "category", "entity_id", "period_label", "confidence", "evidence_count"
     )
 
 
 @query
 def assessment_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return assess(demo.load(spark, folder), CONFIG).summary
+    return assess(demo.load(spark, folder, stored=True), CONFIG).summary
 
 
 def _listed(df: DataFrame) -> DataFrame:

@@ -37,9 +37,13 @@ def _seconds(col: Column) -> Column:
 class _Demo:
     """The views of one folder. Each is built on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, stored: bool) -> None:
         self.spark = spark
         self.folder = folder
+        self.stored = stored
+
+    def _shared(self, df: DataFrame, label: str) -> DataFrame:
+        return write_through(df, label) if self.stored else df
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -116,7 +120,7 @@ class _Demo:
     @cached_property
     def _orders_as_alerts(self) -> DataFrame:
         priority, status, price = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
-        return self.orders.join(
+        alerts = self.orders.join(
             self.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
         ).select(
             "o_orderkey",
@@ -137,6 +141,7 @@ class _Demo:
             F.when(price >= 200000.0, F.concat(F.lit("RK-"), F.col("o_custkey").cast("string"))).alias("recurrence_key"),
             F.when(status == "F", price >= 100000.0).alias("is_true_positive"),
         )
+        return self._shared(alerts, "order-alerts")
 
     def alerts(self) -> DataFrame:
         return self._orders_as_alerts.drop("o_orderkey", "o_totalprice")
@@ -169,7 +174,7 @@ class _Demo:
         duration = F.when(
             F.col("status") != "IN_INVESTIGATION", F.lit(300) + F.floor(F.col("o_totalprice") / 25.0)
         )
-        return (
+        investigations = (
             self.lines.where("investigated")
             .join(self._orders_as_alerts, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
@@ -185,6 +190,7 @@ class _Demo:
                 F.col("n_lines").alias("evidence_count"),
             )
         )
+        return self._shared(investigations, "investigations")
 
     def actions(self) -> DataFrame:
         """Line items of investigated orders, and one closing action where the order is done."""
@@ -212,7 +218,7 @@ class _Demo:
             F.lit("CLOSE").alias("action_type"),
             F.col("last_ship").alias("occurred_at"),
         )
-        return worked.unionByName(finished).select(
+        return self._shared(worked.unionByName(finished), "actions").select(
             "*", F.lit(None).cast("bigint").alias("duration_seconds"), F.lit("SUCCESS").alias("outcome")
         )
 
@@ -290,6 +296,7 @@ class _Demo:
         )
 
 
-def load(spark: SparkSession, folder: str) -> Tables:
-    """The nine tables over the raw tables in ``folder``."""
-    return _Demo(spark, folder).tables
+def load(spark: SparkSession, folder: str, stored: bool = False) -> Tables:
+    """The nine tables over the raw tables in ``folder``. With ``stored``, alerts, investigations and actions are
+    written once, for whole runs, which read each of them several times."""
+    return _Demo(spark, folder, stored).tables

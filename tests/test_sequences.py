@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from opsreview import vocab as V
 from opsreview.config import SequenceConfig
 from opsreview.functions.expr import edit_distance_ratio, letters_of, similarity
 from opsreview.operators import sequences as sq
@@ -54,6 +55,36 @@ def test_one_investigation_with_half_of_all_actions(spark):
     assert "approx_top_k" not in plan and "isin" not in plan
 
 
+def test_short_investigations_are_read_off_and_long_ones_put_together(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = sorted(V.ACTION_TYPES)
+    rows = [
+        dict(action_id=f"A-{i:04}", investigation_id=None if rng.random() < 0.1 else f"INV-{rng.randrange(12)}", action_type=rng.choice(kinds),
+             sequence_number=rng.choice([None, *range(40)]), occurred_at=rng.choice([None, START, START + DAY]))
+        for i in range(300)
+    ]
+    actions = world(spark, investigation_actions=rows).investigation_actions
+
+    def built():
+        return {r["investigation_id"]: tuple(r) for r in sq.action_sequences(actions).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(sq, "_from_pieces", lambda steps: pytest.fail("nothing is long"))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        short = built()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r[2] for r in short.values()) == 300 and len(short) == len({r["investigation_id"] for r in rows})
+    for i, row in short.items():
+        own = [r for r in rows if r["investigation_id"] == i]
+        own.sort(key=lambda r: (-1 if r["sequence_number"] is None else r["sequence_number"], r["occurred_at"] is None, r["occurred_at"] or START, r["action_id"]))
+        numbers = [r["sequence_number"] for r in own]
+        assert row[1:] == (letters_of([r["action_type"] for r in own]), len(own), len(set(numbers)) < len(numbers))
+    monkeypatch.setattr(sq, "LONG", 22)
+    assert built() == short
+    monkeypatch.setattr(sq, "LONG", 0)
+    assert built() == short
+
+
 def test_unknown_action_stops(spark):
     t = world(spark, investigation_actions=[dict(action_type="COFFEE")])
     with pytest.raises(Exception, match="COFFEE"):
