@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,13 +34,13 @@ CHECKPOINT = 256
 class TokenSettings:
     """``tokenizer``: path of a ``tokenizers`` file, read on the driver (null: the public byte-level one);
     ``longest_code``: bits of the longest code; ``block_ids``: a block is closed after so many ids;
-    ``cache_words``: what a Python worker remembers."""
+    ``cache_words``: what a Python worker remembers, at some 30 bytes each."""
 
     tokenizer: str | None = None
     end_id: int = 2
     longest_code: int = 16
     block_ids: int = 1 << 17
-    cache_words: int = 300_000
+    cache_words: int = 1_000_000
 
 
 def _tokenizer_json(settings: TokenSettings) -> str:
@@ -51,13 +53,27 @@ def _tokenizer_json(settings: TokenSettings) -> str:
         return f.read()
 
 
-class WordCache(dict):
-    """Ids of text pieces as little-endian bytes.
+#: The pattern cuts a run of these off a word of letters as one piece.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all entries of stretches one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+class WordCache:
+    """Ids of text pieces, as one array of ids with a list of the pieces in Arrow form, which takes few bytes a piece.
 
     A byte-level tokenizer never joins across a single blank or line break between two other
     characters, so texts are cut there and each piece is tokenized once. ``wordwise`` says whether the
     tokenizer is of that kind. Texts are tokenized whole that have white space beside a blank or line
-    break, or a special token: they have a piece among ``odd``.
+    break, or a special token: they have a piece that is ``odd``.
+
+    A piece stands for itself behind a blank, behind a zero byte if there is no blank before it. Of Latin letters
+    and then ASCII punctuation, it is two pieces of the tokenizer's pattern: the letters go to the tokenizer's
+    model, where that is ``plain``, without its pattern.
     """
 
     def __init__(self, json_text: str, most: int):
@@ -66,58 +82,147 @@ class WordCache(dict):
 
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(json_text)
         spec = json.loads(json_text)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.wordwise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
-        special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.is_odd = re.compile("|".join([r"^ ?\s+$", r"^ ?[^\S ]", r"\s$", *special])).search
-        self.odd: set[str] = set()
+        self.plain = self.wordwise and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.plain = self.plain and not any(x.strip()[:1].isalpha() for x in special)  # such are found inside words
+        self.is_odd = re.compile("|".join([r"^ ?\s+$", r"^ ?[^\S ]", r"\s$", *map(re.escape, special)])).search
         self.most = most
         vocabulary = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.starts_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts_word[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # printable characters stand for bytes, others follow from U+0100
+        self.byte_letters = {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))} | {0: 0}  # the mark stays
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.odd = np.zeros(0, bool)
+
+    def __len__(self) -> int:
+        return len(self.words)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            kept = [(w, self[w]) for w in words if w in self]  # common words are among those just met
-            self.clear()
-            self.update(kept)
-            self.odd &= words
-        self.odd.update(w for w in new if w != "\n" and self.is_odd(w))
-        after_blank = [w for w in new if w[0] == " " and len(w) > 1]
-        # Pieces that begin with a blank are tokenized in one go and cut before each id that begins with one.
+    def _of_letters(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of each of ``stems``, which are Latin letters: behind a blank, or behind a zero byte if there is no blank."""
+        tokenize = self.tokenizer.model.tokenize
+        flat: list[int] = []
+        ends = []
+        for s in stems:
+            spelled = s if s.isascii() else s.encode().decode("latin-1").translate(self.byte_letters)
+            flat += [t.id for t in tokenize("Ġ" + spelled if spelled[0] != "\x00" else spelled[1:])]
+            ends.append(4 * len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        return {s: data[a:b] for s, a, b in zip(stems, [0, *ends], ends, strict=False)}
+
+    def _of_units(self, units: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        after_blank = [w for w in units if w[0] == " " and len(w) > 1]
+        # Units that begin with a blank are tokenized in one go and cut before each id that begins with one.
         for i in range(0, len(after_blank), 2_000):
             part = after_blank[i : i + 2_000]
             ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.starts[ids])
+            cut = np.flatnonzero(self.starts_word[ids])
             if len(cut) == len(part):
                 data, ends = ids.tobytes(), [*(cut[1:] * 4).tolist(), len(ids) * 4]
-                self.update((w, data[a:b]) for w, a, b in zip(part, (cut * 4).tolist(), ends, strict=True))
+                found.update((w, data[a:b]) for w, a, b in zip(part, (cut * 4).tolist(), ends, strict=True))
+            else:
+                found.update(zip(part, self.whole(part), strict=True))
+        others = [w for w in units if w not in found]
+        found.update(zip(others, self.whole(others), strict=True))
+        return found
+
+    def _ids_of(self, pieces: list[str]) -> tuple[list[bytes], list[bool]]:
+        cut: list[tuple[str, str] | str] = []
+        for p in pieces:
+            stem = p.rstrip(_PUNCTUATION) if self.plain else ""
+            letters = stem[1:] if stem[:1] == "\x00" else stem
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                cut.append((stem, p[len(stem) :]))
             else:
-                self.update(zip(part, self.whole(part), strict=True))
-        others = [w for w in new if w not in self]
-        self.update(zip(others, self.whole(others), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.wordwise and "\n\n" not in t and "\n " not in t for t in texts]
-        cut = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if p and "\x00" not in t else None for t, p in zip(texts, plain, strict=True)]
-        words: set[str] = set()
-        for parts in cut:
-            if parts:
-                words.update(parts)
-        words.discard("")
-        self.learn(words)
-        self[""] = b""
-        if self.odd:
-            cut = [None if parts is None or not self.odd.isdisjoint(parts) else parts for parts in cut]
-        rest = iter(self.whole([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
-        return [next(rest) if parts is None else b"".join(map(self.__getitem__, parts)) for parts in cut]
+                cut.append(p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p)
+        stems = self._of_letters([*dict.fromkeys(x[0] for x in cut if type(x) is tuple)])
+        units = [*{x for x in cut if type(x) is str and x}]
+        # A suffix that is odd with nothing before it can be so in any text, too.
+        tails = [*{x[1] for x in cut if type(x) is tuple and x[1]}]
+        others = dict(zip(tails, self.whole(tails), strict=True)) | self._of_units(units) | {"": b""}
+        odd = {w for w in [*units, *tails] if w != "\n" and self.is_odd(w)}
+        out = [others[x] if type(x) is str else stems[x[0]] + others[x[1]] if x[1] else stems[x[0]] for x in cut]
+        return out, [(x if type(x) is str else x[1]) in odd for x in cut] if odd else [False] * len(cut)
+
+    def numbers(self, pieces: pa.StringArray) -> np.ndarray:
+        """Numbers of distinct pieces; new ones are tokenized."""
+        met = pc.index_in(pieces, value_set=self.words)
+        new = pieces.filter(pc.is_null(met))
+        if not len(new):
+            return met.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self) and len(self) + len(new) > self.most:  # common pieces are among those just met
+            kept = pc.drop_null(met).to_numpy(zero_copy_only=False)
+            self.words = self.words.take(pa.array(kept))
+            at = _ranges(self.starts[kept], self.lengths[kept])
+            self.ids, self.lengths, self.odd = self.ids[at], self.lengths[kept], self.odd[kept]
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            met = pc.index_in(pieces, value_set=self.words)
+        found, odd = self._ids_of(new.to_numpy(zero_copy_only=False).tolist())
+        numbers = pc.fill_null(met, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers[numbers < 0] = len(self.words) + np.arange(len(new))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.words = pa.concat_arrays([self.words, new])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths, self.odd = np.concatenate([self.lengths, lengths]), np.concatenate([self.odd, np.array(odd, bool)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        return numbers
+
+    def encode(self, texts: list[str] | pa.StringArray, most: int = 1 << 20) -> list[bytes]:
+        """Ids of each text; ``most`` pieces are put together at once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        n = len(texts)
+        if not n:
+            return []
+        whole = np.ones(n, bool)
+        out: list[bytes] = [b""] * n
+        if self.wordwise:
+            whole = pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False).copy()
+            marked = pc.binary_join_element_wise("\x00", pc.replace_substring(texts, "\n", " \n \x00"), "")
+            cut = pc.split_pattern(marked, " ")
+            starts = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+            coded = cut.flatten().dictionary_encode()
+            at = self.numbers(coded.dictionary)
+            codes = coded.indices.to_numpy()
+            # An empty piece inside a text comes from white space beside a line break.
+            bare = pc.index(coded.dictionary, "\x00").as_py()
+            odd = self.odd[at]
+            strange = odd[codes]
+            if bare >= 0:
+                inside = codes == bare
+                inside[starts[:-1]] = False
+                inside[starts[1:] - 1] = False
+                strange |= inside
+            whole |= np.add.reduceat(strange, starts[:-1]) > 0
+            for a, b in self._parts(starts, most):
+                own = at[codes[starts[a] : starts[b]]]
+                lengths = self.lengths[own]
+                data = self.ids[_ranges(self.starts[own], lengths)].tobytes()
+                ends = (4 * np.concatenate([[0], np.cumsum(lengths)])[starts[a : b + 1] - starts[a]]).tolist()
+                out[a:b] = [data[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+        rest = np.flatnonzero(whole).tolist()
+        for i, ids in zip(rest, self.whole(texts.take(pa.array(rest, pa.int64())).to_pylist()), strict=True):
+            out[i] = ids
+        return out
+
+    @staticmethod
+    def _parts(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+        a, n = 0, len(starts) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + most, "right")) - 1)
+            yield a, b
+            a = b
 
 
 def id_type(json_text: str, end_id: int) -> str:
@@ -128,23 +233,35 @@ def id_type(json_text: str, end_id: int) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
+def _stretches(texts: pa.StringArray, size: int) -> Iterator[tuple[int, int]]:
+    """Cut a batch where about so many bytes have come together. A longer text is a stretch of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop
+        start = stop
+
+
 def tokenized(documents: DataFrame, settings: TokenSettings, kind: str = "<u4") -> DataFrame:
     """``doc_id, known, n_tokens, ids``: little-endian ids, of the numpy type ``kind``, of each whole text and the end id; null counts as empty."""
     json_text, end = _tokenizer_json(settings), np.array([settings.end_id], "<u4").tobytes()
     shared = documents.sparkSession.sparkContext.broadcast(json_text)  # the vocabulary file: a few MB
     most = settings.cache_words
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = remembered("tokens", (zlib.crc32(shared.value.encode()), most), lambda: WordCache(shared.value, most))
         for batch in batches:
-            texts = batch["text"].tolist()
-            for start, stop in stretches(texts):
-                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in cache.encode(texts[start:stop])]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:stop].array, "known": batch["known"].iloc[start:stop].array, "n_tokens": list(map(len, ids)), "ids": [x.tobytes() for x in ids]})
+            for start, stop in _stretches(batch["text"], 16_000_000):
+                own = batch.slice(start, stop - start)
+                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in cache.encode(own["text"])]
+                columns = {"doc_id": own["doc_id"], "known": own["known"], "n_tokens": pa.array(list(map(len, ids)), pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns)
 
     known = F.col("doc_id").isNotNull().alias("known")
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), known, text_of().alias("text"))
-    rows = rows.mapInPandas(encode, "doc_id long, known boolean, n_tokens long, ids binary")
+    rows = rows.mapInArrow(encode, "doc_id long, known boolean, n_tokens long, ids binary")
     return rows.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")))
 
 

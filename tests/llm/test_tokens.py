@@ -73,3 +73,25 @@ def test_pack_and_unpack(values, longest):
     data, at = token_files.pack(values, *code.encoding())
     if len(values):
         assert token_files.unpack(data, at, len(values), *code.decoding()).tolist() == values.tolist()
+
+
+def test_letters_and_punctuation_go_to_the_model_as_the_pattern_cuts_them():
+    draw = random.Random(4)
+    letters = ["The", "over", "Èonai", "ſtraße", "ŋ", "née", "Москва", "東京", "ﬁn", "ǅ", "ªº", "a" * 300]
+    tails = ["", ",", "...", "'", "'s", "'ll", "$$$", "&&&!", "!?", "##", "’", "9", "_", "``", "<|endoftext|>"]
+    texts = ["".join(draw.choice([" ", "\n", ""]) + draw.choice(letters) + draw.choice(tails) for _ in range(draw.randrange(1, 30))) for _ in range(400)]
+    texts += ["\n", "a\n", "\n\n", "\na", "a\n\n", "a\n b", " \na", "\x00", "\x00 a", "a\x00\nb"]
+    for most in (5, 1000):
+        cache = token_files.WordCache(JSON, most)
+        assert cache.plain
+        for part in (texts[:7], texts, texts[::-1]):
+            for text, found in zip(part, cache.encode(part, 40), strict=True):
+                assert np.frombuffer(found, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_of_letters_do_not_pass_the_pattern(monkeypatch):
+    cache = token_files.WordCache(JSON, 1000)
+    seen = []
+    monkeypatch.setattr(cache, "whole", lambda texts: seen.extend(texts) or [b"" for _ in texts])
+    cache.encode(["one, two! Èonai three\nfour"])
+    assert set(seen) <= {",", "!", "\n"}
