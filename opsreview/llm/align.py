@@ -9,7 +9,7 @@ out, as a group of m and n tokens has m * n of them; its two factors are what ``
 
 Neither tokenizer joins a character to a blank or line feed that follows it (which is read from their
 files; where it does not hold, texts are taken whole). So texts are cut there, each distinct unit is
-tokenized and multiplied once for as long as a task remembers it, and a text is its units in order.
+tokenized and multiplied once for as long as a worker remembers it, and a text is its units in order.
 
 Counts of linked ids over all documents: a task numbers the id pairs of its chunk of documents, and keeps for each document
 the numbers of its pairs. Only the chunks' lists of pairs are shuffled to be counted; the counts come back to the
@@ -19,6 +19,7 @@ chunk, whose documents are cogrouped with them.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsreview.llm.tables import text_of
+from opsreview.llm.tables import remembered, text_of
 from opsreview.session import write_through
 
 
@@ -39,7 +40,7 @@ from opsreview.session import write_through
 class AlignSettings:
     """``a``: path of a ``tokenizers`` file of the byte-level kind, ``b``: of a ``sentencepiece`` model that adds a blank (null:
     the public ones), both read on the driver; ``characters``: how much is aligned at once; ``chunk``: characters
-    of the documents whose pairs are numbered together; ``units``: how many a task remembers."""
+    of the documents whose pairs are numbered together; ``units``: how many a Python worker remembers."""
 
     a: str | None = None
     b: str | None = None
@@ -180,8 +181,8 @@ class Pair:
             return self._together(units[:half]) + self._together(units[half:])
         ends = np.cumsum([len(u.encode()) for u in units])
         a, b = found
-        a_cut, b_cut = (np.searchsorted(np.cumsum(lengths[ids]), ends, "right") for ids, lengths in ((a, self.a_length), (b, self.b_length)))
-        return list(zip(np.split(a, a_cut[:-1]), np.split(b, b_cut[:-1]), strict=True))
+        a_cut, b_cut = ([0, *np.searchsorted(np.cumsum(lengths[ids]), ends, "right").tolist()] for ids, lengths in ((a, self.a_length), (b, self.b_length)))
+        return [(a[s:e], b[t:f]) for s, e, t, f in zip(a_cut, a_cut[1:], b_cut, b_cut[1:], strict=False)]
 
     def learn(self, units: list[str], whole: bool = False) -> None:
         """Tokenize and align units. ``whole``: each is a blank and a whole text."""
@@ -420,7 +421,7 @@ def _rows(documents: DataFrame, settings: AlignSettings, with_groups: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        pair = Pair(*shared.value, settings.units)
+        pair = remembered("pair", (zlib.crc32(shared.value[0].encode()), zlib.crc32(shared.value[1]), settings.units), lambda: Pair(*shared.value, settings.units))
         task = TaskContext.get().partitionId() << 32
         chunk = Chunk(task)
         for batch in batches:

@@ -177,3 +177,23 @@ def test_random_texts_in_one_memory():
         text = "".join(draw.choice(["the", " ", "\n", "ing", "  ", "é", "世", ",", "1", "▁", "\t", "x"]) for _ in range(draw.randrange(1, 60)))
         p = parts(text)
         assert one(pair, text) == ((p[0], p[1], written(p[3])) if p else None), repr(text)
+
+
+def test_a_worker_makes_its_pair_once(spark, monkeypatch):
+    """Two tasks of one worker, the second of which meets units of the first."""
+    shared, made = align.remembered, []
+    monkeypatch.setattr(align, "Pair", lambda *a: made.append(a) or PAIR)
+    for _ in range(2):
+        shared("pair", "test", lambda: align.Pair(*FILES, 1000))
+    assert len(made) == 1
+    rows = [(k, text, "en", "a") for k, text in enumerate(["one two, three", "two, three\nfour", "", "née  Èonai! one"] * 6)]
+    got = {r["doc_id"]: r for r in align.counted(frame(spark, rows).coalesce(1)).collect()}
+    again = {r["doc_id"]: r for r in align.counted(frame(spark, rows).repartition(5)).collect()}
+    assert got == again and got[0]["n_a"] == len(A.encode(" one two, three", add_special_tokens=False).ids)
+
+
+def test_units_of_one_text_are_not_split_one_by_one(monkeypatch):
+    pair = align.Pair(*FILES, 1000)
+    monkeypatch.setattr(np, "split", None)
+    pair.texts(["one two, three four"])
+    assert pair.sizes[:, 0].sum() == len(A.encode(" one two, three four", add_special_tokens=False).ids)
