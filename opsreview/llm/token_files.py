@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsreview.llm.tables import partitions, remembered, stretches, text_of
+from opsreview.llm.tables import partitions, releasing, remembered, stretches, text_of
 from opsreview.session import shared_folder, write_through
 
 CHECKPOINT = 256
@@ -40,7 +40,7 @@ class TokenSettings:
     end_id: int = 2
     longest_code: int = 16
     block_ids: int = 1 << 17
-    cache_words: int = 1_000_000
+    cache_words: int = 900_000
 
 
 def _tokenizer_json(settings: TokenSettings) -> str:
@@ -163,20 +163,25 @@ class WordCache:
         if not len(new):
             return met.to_numpy(zero_copy_only=False).astype(np.int64)
         if len(self) and len(self) + len(new) > self.most:  # common pieces are among those just met
-            kept = pc.drop_null(met).to_numpy(zero_copy_only=False)
+            kept = np.sort(pc.drop_null(met).to_numpy(zero_copy_only=False))
             self.words = self.words.take(pa.array(kept))
             at = _ranges(self.starts[kept], self.lengths[kept])
             self.ids, self.lengths, self.odd = self.ids[at], self.lengths[kept], self.odd[kept]
             self.starts = np.cumsum(self.lengths) - self.lengths
             met = pc.index_in(pieces, value_set=self.words)
-        found, odd = self._ids_of(new.to_numpy(zero_copy_only=False).tolist())
         numbers = pc.fill_null(met, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        numbers[numbers < 0] = len(self.words) + np.arange(len(new))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        order = pc.sort_indices(new)  # a word and the same with a suffix come together
+        numbers[np.flatnonzero(numbers < 0)[order.to_numpy()]] = len(self.words) + np.arange(len(new))
+        new = new.take(order)
+        lengths, ids, odd = [self.lengths], [self.ids], [self.odd]
+        for i in range(0, len(new), 50_000):  # Python objects weigh many times the pieces
+            found, own_odd = self._ids_of(new.slice(i, 50_000).to_numpy(zero_copy_only=False).tolist())
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+            ids.append(np.frombuffer(b"".join(found), "<u4"))
+            odd.append(np.array(own_odd, bool))
         self.words = pa.concat_arrays([self.words, new])
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths, self.odd = np.concatenate([self.lengths, lengths]), np.concatenate([self.odd, np.array(odd, bool)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self.lengths, self.ids, self.odd = np.concatenate(lengths), np.concatenate(ids), np.concatenate(odd)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         return numbers
 
     def encode(self, texts: list[str] | pa.StringArray, most: int = 1 << 20) -> list[bytes]:
@@ -250,10 +255,11 @@ def tokenized(documents: DataFrame, settings: TokenSettings, kind: str = "<u4")
     shared = documents.sparkSession.sparkContext.broadcast(json_text)  # the vocabulary file: a few MB
     most = settings.cache_words
 
+    @releasing
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = remembered("tokens", (zlib.crc32(shared.value.encode()), most), lambda: WordCache(shared.value, most))
         for batch in batches:
-            for start, stop in _stretches(batch["text"], 16_000_000):
+            for start, stop in _stretches(batch["text"], 8_000_000):
                 own = batch.slice(start, stop - start)
                 ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in cache.encode(own["text"])]
                 columns = {"doc_id": own["doc_id"], "known": own["known"], "n_tokens": pa.array(list(map(len, ids)), pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
@@ -266,6 +272,7 @@ def tokenized(documents: DataFrame, settings: TokenSettings, kind: str = "<u4")
 
 
 def _counting(kind: str):
+    @releasing
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
@@ -415,6 +422,7 @@ def write(documents: DataFrame, path: str, settings: TokenSettings | None = None
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
     most, each = settings.block_ids, np.dtype(kind).itemsize
 
+    @releasing
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, lengths = code.encoding()
         held: list[tuple[int, int, bool, bytes]] = []
@@ -449,6 +457,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/code").orderBy("rank").collect()  # the code table: a row per id
     code = Code(np.array([r["id"] for r in rows], np.int64), np.array([r["bits"] for r in rows], np.int64))
 
+    @releasing
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, lengths, width = code.decoding()
         for batch in batches:
