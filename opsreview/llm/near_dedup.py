@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsreview.llm.components import components
-from opsreview.llm.tables import remembered, stretches, text_of
+from opsreview.llm.tables import releasing, remembered, stretches, text_of
 from opsreview.session import write_through
 
 
@@ -106,6 +106,7 @@ def _signing(settings: NearSettings):
     factors = draws.integers(1, 1 << 63, settings.coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
     offsets = draws.integers(0, 1 << 63, settings.coordinates, np.uint64)
 
+    @releasing
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -126,6 +127,7 @@ def _signing(settings: NearSettings):
 
 
 def _set_making(settings: NearSettings):
+    @releasing
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -195,6 +197,7 @@ def _sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame, settings: Ne
 
 
 def _comparing(percent: int):
+    @releasing
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by leader and place, each leader before its members."""
         lead, items = None, np.zeros(0, np.uint64)
@@ -279,6 +282,7 @@ def _links_of_tile(rows: list, percent: int, slab: int = 4096) -> list[tuple[byt
 
 
 def _tiling(percent: int):
+    @releasing
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
         for batch in batches:

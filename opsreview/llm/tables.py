@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,3 +72,28 @@ def remembered(kind: str, key: object, make):
 def forget() -> None:
     """Drop that cache before a task that needs the worker's memory itself."""
     remembered("nothing", 0, lambda: None)
+
+
+def release() -> None:
+    """Give memory that is free inside this process back to the system: an idle Python worker holds it beside the executor otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
+def releasing(function):
+    """For a function from batches to batches: what its worker does not need is given back when its task is over."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run

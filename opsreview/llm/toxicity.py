@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsreview.llm.subwords import means, pieces
-from opsreview.llm.tables import forget, held_out, stretches, text_of, thinned
+from opsreview.llm.tables import forget, held_out, release, releasing, stretches, text_of, thinned
 from opsreview.session import write_through
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…¿¡"
@@ -168,6 +168,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings | No
 
 
 def _training(settings: ToxicitySettings, rate: float):
+    @releasing
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
         ids: dict[str, int] = {}
@@ -203,6 +204,7 @@ def _training(settings: ToxicitySettings, rate: float):
     return train
 
 
+@releasing
 def _word_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     forget()
     for batch in batches:
@@ -231,6 +233,8 @@ def score(text: Column, model: ToxicityModel) -> Column:
                 worst = [max(map(known.__getitem__, s), default=-math.inf) for s in sets]
                 found += [model.document_score(None if w == -math.inf else w) for w in worst]
             yield pd.Series(found, dtype="float64")
+        known.clear()
+        release()
 
     return scored(text)
 

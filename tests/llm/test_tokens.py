@@ -95,3 +95,13 @@ def test_words_of_letters_do_not_pass_the_pattern(monkeypatch):
     monkeypatch.setattr(cache, "whole", lambda texts: seen.extend(texts) or [b"" for _ in texts])
     cache.encode(["one, two! Èonai three\nfour"])
     assert set(seen) <= {",", "!", "\n"}
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    from opsreview.llm import near_dedup, tables, toxicity
+
+    given = []
+    monkeypatch.setattr(tables, "release", lambda: given.append(1))
+    for function in (near_dedup._signing(near_dedup.NearSettings()), near_dedup._comparing(80), near_dedup._tiling(80), toxicity._word_lists):
+        list(function(iter([])))
+    assert len(given) == 4
