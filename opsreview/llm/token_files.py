@@ -34,7 +34,7 @@ CHECKPOINT = 256
 class TokenSettings:
     """``tokenizer``: path of a ``tokenizers`` file, read on the driver (null: the public byte-level one);
     ``longest_code``: bits of the longest code; ``block_ids``: a block is closed after so many ids;
-    ``cache_words``: what a Python worker remembers, at some 30 bytes each."""
+    ``cache_words``: what a Python worker remembers, at about 50 bytes each."""
 
     tokenizer: str | None = None
     end_id: int = 2
