@@ -79,54 +79,78 @@ class Validation:
 
 
 def _text(col: str) -> Column:
-    trimmed = F.trim(F.col(col), F.lit(_WHITESPACE))
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(F.trim(F.col(col), F.lit(_WHITESPACE)), F.lit(""))
 
 
-def _convert(field: Field, text: Column, assume_utc: bool) -> tuple[Column, list[tuple[Column, str]]]:
-    """The typed value (NULL when it does not convert) and what may be wrong with it."""
-    if field.kind == "string":
-        return text, []
-    if field.kind == "enum":
-        value = F.when(F.upper(text).isin(*field.values), F.upper(text))
-        return value, [(text.isNotNull() & value.isNull(), "invalid_enum_value")]
-    if field.kind == "timestamp":
-        date, time, seconds, fraction, zone = (F.nullif(F.regexp_extract(text, _TIME, i), F.lit("")) for i in range(1, 6))
+def _times(texts: Column) -> Column:
+    """For each time stamp of an array of texts: ``at``, its instant, taken as UTC without a zone, and whether it is ``zoned``."""
+
+    def instant(parts: Column) -> Column:
+        date, time, seconds, fraction, zone = (F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i in range(5))
         offset = F.regexp_replace(F.regexp_replace(F.upper(zone), r"^([+-]\d\d)$", "$1:00"), r"^([+-]\d\d)(\d\d)$", "$1:$2")
         spelled = F.concat(
             date, F.lit("T"), F.coalesce(time, F.lit("00:00")), F.coalesce(seconds, F.lit(":00")),
             F.coalesce(F.replace(fraction, F.lit(","), F.lit(".")), F.lit("")), F.coalesce(offset, F.lit("Z")),
         )
-        instant = spelled.try_cast("timestamp")
-        problems = [(text.isNotNull() & instant.isNull(), "invalid_timestamp")]
-        if assume_utc:
-            return instant, problems
-        problems.append((instant.isNotNull() & zone.isNull(), "naive_timestamp"))
-        return F.when(zone.isNotNull(), instant), problems
+        return F.struct(spelled.try_cast("timestamp").alias("at"), zone.isNotNull().alias("zoned"))
+
+    parts = F.transform(texts, lambda t: F.when(t.rlike(_TIME), F.split(F.regexp_replace(t, _TIME, "$1|$2|$3|$4|$5|"), r"\|")))
+    return F.transform(parts, instant)
+
+
+def _value(field: Field, assume_utc: bool) -> Column:
+    """The typed value, NULL when the text does not convert. That of a time stamp is in ``_at_<name>`` and ``_zoned_<name>``."""
+    text = F.col(field.name)
+    if field.kind == "string":
+        return text
+    if field.kind == "enum":
+        word = F.upper(text)
+        return F.when(word.isin(*field.values), word)
+    if field.kind == "timestamp":
+        instant = F.col(f"_at_{field.name}")
+        return instant if assume_utc else F.when(F.col(f"_zoned_{field.name}"), instant)
     if field.kind == "boolean":
         word = F.lower(text)
-        value = F.when(word.isin(*V.TRUE_WORDS), F.lit(True)).when(word.isin(*V.FALSE_WORDS), F.lit(False))
-    else:
-        number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-        if field.kind == "float":
-            value = F.when(F.abs(number) < F.lit(float("inf")), number)
-        else:
-            plain = F.regexp_replace(text, "_", "").try_cast("bigint")
-            value = F.when(text.rlike(_INTEGER), plain).when(F.rint(number) == number, number.try_cast("bigint"))
-    return value, [(text.isNotNull() & value.isNull(), "invalid_field_type")]
+        return F.when(word.isin(*V.TRUE_WORDS), F.lit(True)).when(word.isin(*V.FALSE_WORDS), F.lit(False))
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    if field.kind == "float":
+        return F.when(F.abs(number) < F.lit(float("inf")), number)
+    plain = F.regexp_replace(text, "_", "").try_cast("bigint")
+    return F.when(text.rlike(_INTEGER), plain).when(F.rint(number) == number, number.try_cast("bigint"))
+
+
+def _problems(field: Field, assume_utc: bool) -> list[tuple[Column, str]]:
+    """What may be wrong with the conversion of a text."""
+    text, value = F.col(field.name), F.col(f"_value_{field.name}")
+    if field.kind == "string":
+        return []
+    if field.kind == "timestamp":
+        instant = F.col(f"_at_{field.name}")
+        problems = [(text.isNotNull() & instant.isNull(), "invalid_timestamp")]
+        return problems if assume_utc else [*problems, (instant.isNotNull() & value.isNull(), "naive_timestamp")]
+    return [(text.isNotNull() & value.isNull(), "invalid_enum_value" if field.kind == "enum" else "invalid_field_type")]
 
 
 def check_cells(rows: DataFrame, dataset: Dataset, assume_utc: bool = False) -> DataFrame:
-    """``_row``, the typed columns, and ``_issues``: the problems seen within each row."""
+    """``_row``, the typed columns, and ``_issues``: the problems seen within each row.
+
+    Texts, time stamps, values and problems are steps of their own: several problems look at the same value,
+    and what is a column already is not worked out again for each of them.
+    """
     texts = rows.select(
         ROW, *[(_text(f.name) if f.name in rows.columns else F.lit(None).cast("string")).alias(f.name) for f in dataset.fields]
     )
-    values: dict[str, Column] = {}
+    times = [f.name for f in dataset.fields if f.kind == "timestamp"]
+    cells = texts.withColumn("_times", _times(F.array(*[F.col(n) for n in times]).cast("array<string>")))
+    cells = cells.select(
+        "*", *[F.get("_times", F.lit(i))[part].alias(f"_{part}_{n}") for i, n in enumerate(times) for part in ("at", "zoned")]
+    ).drop("_times")
+    cells = cells.select("*", *[_value(f, assume_utc).alias(f"_value_{f.name}") for f in dataset.fields])
+    values = {f.name: F.col(f"_value_{f.name}") for f in dataset.fields}
     found: list[tuple[Column, str, str]] = []
     for f in dataset.fields:
         text = F.col(f.name)
-        values[f.name], problems = _convert(f, text, assume_utc)
-        found += [(condition, code, f.name) for condition, code in problems]
+        found += [(condition, code, f.name) for condition, code in _problems(f, assume_utc)]
         if not f.optional:
             found.append((text.isNull(), "missing_required_value", f.name))
         if f.id_pattern:
@@ -138,10 +162,14 @@ def check_cells(rows: DataFrame, dataset: Dataset, assume_utc: bool = False) ->
             found.append((values[f.name] > F.lit(f.maximum), "value_out_of_range", f.name))
     for earlier, later in dataset.ordered:
         found.append((values[later] < values[earlier], "temporal_order", later))
-    marks = [F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(name).alias("field"))) for condition, code, name in found]
-    return texts.select(
-        ROW, *[values[f.name].alias(f.name) for f in dataset.fields], F.array_compact(F.array(*marks)).alias("_issues")
+    marks = F.concat_ws(" ", *[F.when(condition, F.lit(f"{code}:{name}")) for condition, code, name in found])
+    marked = cells.select(ROW, *[values[f.name].alias(f.name) for f in dataset.fields], marks.alias("_marks"))
+    issues = F.transform(
+        F.split("_marks", " "),
+        lambda mark: F.struct(F.split_part(mark, F.lit(":"), F.lit(1)).alias("code"), F.split_part(mark, F.lit(":"), F.lit(2)).alias("field")),
     )
+    none = F.array().cast("array<struct<code: string, field: string>>")
+    return marked.select(ROW, *[f.name for f in dataset.fields], F.when(F.col("_marks") == "", none).otherwise(issues).alias("_issues"))
 
 
 def _repeats(typed: DataFrame, column: str) -> DataFrame:

@@ -81,6 +81,28 @@ def test_naive_times_can_be_allowed(spark, tmp_path):
     assert _check(spark, "entities", path, assume_utc=True).is_valid
 
 
+def test_a_time_stamp_is_parsed_once_however_many_problems_look_at_it(spark):
+    names = [f.name for f in DATASETS["alerts"].fields]
+    rows = spark.createDataFrame([tuple([1, *("x" for _ in names)])], f"_row bigint, {', '.join(f'{n} string' for n in names)}")
+    plan = validate.check_cells(rows, DATASETS["alerts"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9]{4}-[0-9]{2}") == 2  # does it fit, and which are its parts
+
+
+def test_odd_time_stamps(spark):
+    good = datetime(2024, 1, 1, 10, 0)
+    spelled = [
+        ("2024-01-01T10:00:00Z", good, None), ("2024-01-01 12:00+0200", good, None), ("2024-01-01T05:00:00,000-05", good, None),
+        ("2024-01-01T10:00z", good, None), ("2024-01-01T10:00", None, "naive_timestamp"), ("2024-01-01T10:00:00Z|", None, "invalid_timestamp"),
+        ("2024|10:00||||Z", None, "invalid_timestamp"), ("2024-01-01T10:00:00Z\u2028", good, None), ("|||||", None, "invalid_timestamp"), (None, None, None),
+    ]
+    rows = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(spelled)], "_row bigint, acknowledged_at string")
+    found = validate.check_cells(rows, DATASETS["alerts"]).selectExpr(
+        "_row", "date_format(acknowledged_at, 'yyyy-MM-dd HH:mm') AS at", "filter(_issues, i -> i.field = 'acknowledged_at') AS issues"
+    ).orderBy("_row").collect()
+    assert [r["at"] for r in found] == [at and f"{at:%Y-%m-%d %H:%M}" for _, at, _ in spelled]
+    assert [[i["code"] for i in r["issues"]] for r in found] == [[code] if code else [] for _, _, code in spelled]
+
+
 def test_range_and_boolean(spark, tmp_path):
     kpi = dict(metric_id="PMET-1", entity_id="ENT-01", period_start="2024-01-01T00:00:00Z", period_end="2024-01-01T00:00:00Z", mttr_hours="0",
                closure_rate="1.0", sla_compliance="1.01", escalation_rate="-0.1", investigation_completeness="inf", recurrence_rate=".5",
