@@ -28,12 +28,27 @@ from opsreview.sources.tables import Tables
 
 #: Investigations with more actions are put together by many tasks.
 LONG = 100_000
+#: Buckets of ids by which actions are counted first.
+BUCKETS = 1 << 16
 
 
 def _ordered_letters(group: str = "steps") -> F.Column:
     return F.array_join(F.transform(F.array_sort(group), lambda s: s["letter"]), "")
 
 
+def _long_ids(ids: DataFrame) -> DataFrame:
+    """Ids of more than ``LONG`` actions, as ``long_id``. Actions are counted by a few buckets of ids first, which is little to
+    shuffle; only the ids of buckets with more actions than that are counted one by one."""
+    bucket = F.pmod(F.xxhash64("investigation_id"), F.lit(BUCKETS)).cast("int")
+    full = write_through(ids.groupBy(bucket.alias("full")).agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("full"), "full-buckets")
+    if not full.isEmpty():
+        ids = ids.join(F.broadcast(full), bucket == F.col("full"), "left_semi")
+        ids = ids.groupBy("investigation_id").agg(F.count("*").alias("n")).where(F.col("n") > LONG)
+    else:
+        ids = ids.limit(0)
+    return write_through(ids.select(F.col("investigation_id").alias("long_id")), "long-investigations")
+
+
 def action_sequences(actions: DataFrame) -> DataFrame:
     """Per investigation: ``letters`` (one per action, in order), ``action_count``,
     ``has_duplicate_numbers``.
@@ -51,12 +66,14 @@ def action_sequences(actions: DataFrame) -> DataFrame:
         F.col("action_id").alias("id"),
         action_letter("action_type").alias("letter"),
     )
-    sizes = actions.groupBy("investigation_id").agg(F.count("*").alias("n"))
-    long = write_through(sizes.where(F.col("n") > LONG).select(F.col("investigation_id").alias("long_id")), "long-investigations")
+    long = _long_ids(actions.select("investigation_id"))
     if long.isEmpty():
         return _in_order(steps)
-    is_long = F.col("investigation_id").eqNullSafe(F.col("long_id"))
-    return _in_order(steps.join(long, is_long, "left_anti")).unionByName(_from_pieces(steps.join(long, is_long, "left_semi")))
+    return _in_order(_of(steps, long, "long_id", "left_anti")).unionByName(_from_pieces(_of(steps, long, "long_id", "left_semi")))
+
+
+def _of(rows: DataFrame, ids: DataFrame, id_column: str, how: str) -> DataFrame:
+    return rows.join(ids, F.col("investigation_id").eqNullSafe(F.col(id_column)), how)
 
 
 def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,18 +102,37 @@ def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = np.concatenate([[0], np.cumsum(~fresh & ~again)])  # up to a row, within its investigation
         letters = "".join(table["letter"].slice(0, size).to_pylist()).encode("ascii")
         offsets = np.append(first, size).astype(np.int32)
+        moments, kinds = table["moment"].to_numpy(), np.frombuffer(letters, np.uint8)
+        unclear = np.zeros(size, np.int64)  # up to a row: it differs from the one before at the same moment
+        np.cumsum(~fresh[: size - 1] & (moments[1:size] == moments[: size - 1]) & (kinds[1:] != kinds[:-1]), out=unclear[1:])
         yield pa.RecordBatch.from_pydict({
             "investigation_id": table["investigation_id"].combine_chunks().take(pa.array(first)),
             "letters": pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters)),
             "action_count": pa.array((ends - first).astype(np.int64)),
             "has_duplicate_numbers": pa.array(repeated[ends - 1] > repeated[first]),
+            "tied": pa.array(unclear[ends - 1] > unclear[first]),
         })
 
 
 def _in_order(steps: DataFrame) -> DataFrame:
-    ordered = steps.repartition("investigation_id").sortWithinPartitions("investigation_id", "seq", "untimed", "at", "id", "letter")
-    return ordered.select("investigation_id", "seq", "letter").mapInArrow(
-        _read_off, "investigation_id string, letters string, action_count bigint, has_duplicate_numbers boolean"
+    """Action ids are long and decide only where number and time are the same, so they stay behind at first;
+    investigations in which different actions meet there are read off again by id."""
+    read = write_through(_sorted(steps.drop("id")), "action-letters")
+    tied = read.where("tied").select(F.col("investigation_id").alias("tied_id"))
+    if tied.isEmpty():
+        return read.drop("tied")
+    again = _sorted(_of(steps, tied, "tied_id", "left_semi"))
+    return read.where("not tied").unionByName(again).drop("tied")
+
+
+def _sorted(steps: DataFrame) -> DataFrame:
+    """Rows are sorted by a hash first: numbers are compared faster than ids that begin alike."""
+    order = ["investigation_id", "seq", "untimed", "at", *[c for c in ("id",) if c in steps.columns], "letter"]
+    dealt = steps.repartition("investigation_id").withColumn("place", F.xxhash64("investigation_id"))
+    ordered = dealt.sortWithinPartitions("place", *order)
+    moment = F.xxhash64("seq", "untimed", "at").alias("moment")
+    return ordered.select("investigation_id", "seq", moment, "letter").mapInArrow(
+        _read_off, "investigation_id string, letters string, action_count bigint, has_duplicate_numbers boolean, tied boolean"
     )
 
 

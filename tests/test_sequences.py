@@ -85,6 +85,34 @@ def test_short_investigations_are_read_off_and_long_ones_put_together(spark, mon
     assert built() == short
 
 
+def test_action_ids_are_moved_only_where_others_meet_at_one_moment(spark, monkeypatch):
+    sorted_columns, real = [], sq._sorted
+    monkeypatch.setattr(sq, "_sorted", lambda steps: sorted_columns.append(steps.columns) or real(steps))
+
+    def built(*kinds):
+        rows = [dict(action_id=f"A-{9 - i}", investigation_id="INV-1", sequence_number=1, action_type=k, occurred_at=START) for i, k in enumerate(kinds)]
+        rows += [dict(action_id=f"B-{i}", investigation_id="INV-2", sequence_number=1, action_type=k, occurred_at=START + i * DAY) for i, k in enumerate(("OPEN", "CLOSE"))]
+        sorted_columns.clear()
+        return {r["investigation_id"]: r["letters"] for r in sq.action_sequences(world(spark, investigation_actions=rows).investigation_actions).collect()}
+
+    plain = letters_of(["OPEN", "CLOSE"])
+    assert built("CLOSE", "CLOSE") == {"INV-1": letters_of(["CLOSE", "CLOSE"]), "INV-2": plain}
+    assert len(sorted_columns) == 1 and "id" not in sorted_columns[0]
+    for kinds in (("CLOSE", "OPEN"), ("OPEN", "CLOSE")):
+        assert built(*kinds) == {"INV-1": letters_of(kinds[::-1]), "INV-2": plain}
+        assert len(sorted_columns) == 2 and "id" in sorted_columns[1]
+
+
+def test_long_investigations_are_found_in_full_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sq, "LONG", 3)
+    monkeypatch.setattr(sq, "BUCKETS", 2)
+    ids = [(f"INV-{i}",) for i in range(20)] + [("INV-3",)] * 3 + [(None,)] * 4
+    found = sq._long_ids(spark.createDataFrame(ids, "investigation_id string"))
+    assert {r[0] for r in found.collect()} == {"INV-3", None}
+    monkeypatch.setattr(sq, "LONG", 100)
+    assert sq._long_ids(spark.createDataFrame(ids, "investigation_id string")).isEmpty()
+
+
 def test_unknown_action_stops(spark):
     t = world(spark, investigation_actions=[dict(action_type="COFFEE")])
     with pytest.raises(Exception, match="COFFEE"):
