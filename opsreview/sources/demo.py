@@ -193,33 +193,36 @@ class _Demo:
         return self._shared(investigations, "investigations")
 
     def actions(self) -> DataFrame:
-        """Line items of investigated orders, and one closing action where the order is done."""
+        """Line items of investigated orders, and one closing action where the order is done. What is written are
+        the lines' own columns for the long action ids, which few readers want and which are made for those."""
         investigated = self.lines.where("investigated")
         flag, line_status = F.col("l_returnflag"), F.col("l_linestatus")
         worked = self.lineitem.join(investigated.select("l_orderkey"), "l_orderkey", "left_semi").select(
-            F.concat(
-                F.lit("ACT-"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"),
-                F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
-                F.lpad(F.col("l_partkey").cast("string"), 9, "0"),
-                F.lpad(F.col("l_suppkey").cast("string"), 7, "0"),
-                F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 12, "0"),
-            ).alias("action_id"),
-            _padded("INV-", "l_orderkey", 10).alias("investigation_id"),
+            "l_orderkey", _padded("INV-", "l_orderkey", 10).alias("investigation_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
             F.col("l_linenumber").cast("bigint").alias("sequence_number"),
             F.when(flag == "R", "EVENT_SEARCH").when(flag == "N", "ASSET_LOOKUP")
             .when(line_status == "F", "VALIDATE").otherwise("CONTEXT_REVIEW").alias("action_type"),
             F.col("l_shipdate").alias("occurred_at"),
+            F.lit(False).alias("closing"),
         )
         done = self.orders.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
         finished = investigated.join(done, "l_orderkey", "left_semi").select(
-            F.concat(F.lit("ACT-"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lit("99")).alias("action_id"),
-            _padded("INV-", "l_orderkey", 10).alias("investigation_id"),
+            "l_orderkey", _padded("INV-", "l_orderkey", 10).alias("investigation_id"),
             (F.col("last_line") + 1).cast("bigint").alias("sequence_number"),
             F.lit("CLOSE").alias("action_type"),
             F.col("last_ship").alias("occurred_at"),
+            F.lit(True).alias("closing"),
         )
-        return self._shared(worked.unionByName(finished), "actions").select(
-            "*", F.lit(None).cast("bigint").alias("duration_seconds"), F.lit("SUCCESS").alias("outcome")
+        of_line = F.concat(
+            F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
+            F.lpad(F.col("l_partkey").cast("string"), 9, "0"),
+            F.lpad(F.col("l_suppkey").cast("string"), 7, "0"),
+            F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 12, "0"),
+        )
+        return self._shared(worked.unionByName(finished, allowMissingColumns=True), "actions").select(
+            F.concat(_padded("ACT-", "l_orderkey", 10), F.when(F.col("closing"), "99").otherwise(of_line)).alias("action_id"),
+            "investigation_id", "sequence_number", "action_type", "occurred_at",
+            F.lit(None).cast("bigint").alias("duration_seconds"), F.lit("SUCCESS").alias("outcome"),
         )
 
     def escalations(self) -> DataFrame:
