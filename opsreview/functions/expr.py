@@ -89,10 +89,23 @@ def step_level(levels: tuple[str, ...], col: Column, by: Column | int) -> Column
     return F.element_at(F.array(*[F.lit(x) for x in levels]), bounded + 1)
 
 
+def without_repeats(conditions: Iterable[tuple[Column, str]]) -> list[tuple[Column, str]]:
+    """The same conditions, where of those with one label only the first that holds does."""
+    told: list[tuple[Column, str]] = []
+    for condition, label in conditions:
+        for earlier in [c for c, other in told if other == label]:
+            condition = condition & ~F.coalesce(earlier, F.lit(False))
+        told.append((condition, label))
+    return told
+
+
 def kept(*conditions: tuple[Column, str]) -> Column:
-    """Array of the labels whose condition holds, in the order given, without repeats."""
-    labels = [F.when(condition, F.lit(label)) for condition, label in conditions]
-    return F.array_distinct(F.array_compact(F.array(*labels)))
+    """Array of the labels whose condition holds, in the order given, without repeats.
+
+    Listed as one text and split again: functions over arrays are not compiled. Labels hold no comma.
+    """
+    listed = F.concat_ws(",", *[F.when(condition, F.lit(label)) for condition, label in without_repeats(conditions)])
+    return F.when(listed == "", F.array().cast("array<string>")).otherwise(F.split(listed, ","))
 
 
 # --- Action sequences as text: one letter per action type -----------------------
