@@ -189,8 +189,9 @@ def json_elements(spark: SparkSession, path: str) -> tuple[DataFrame | None, boo
     """The objects of JSON documents, ``[...]`` or ``{"records": [...]}``, as ``_row, value``, in file order; and whether
     strings and brackets of all documents close.
 
-    Null where a document is not plainly of such a form: no object, other values in the list, or text between the objects or around
-    the list that is not JSON. What stands outside the list is put together as one value; the list never is.
+    Null where a document is not plainly of such a form: other values in the list, or text between the objects or around
+    the list that is not JSON; and where no document has an object. A document with an empty list adds none to those of the others.
+    What stands outside the list is put together as one value; the list never is.
     """
     pieces = spark.read.option("lineSep", "}").text(path).select("value", *position(), F.col("_metadata.file_size").alias("size"))
     kinds = "array<struct<end: int, s: boolean, d0: bigint, d1: bigint>>"
@@ -236,21 +237,22 @@ def json_elements(spark: SparkSession, path: str) -> tuple[DataFrame | None, boo
     if other or open_ones or not every:
         return None, not open_ones
     inner = known.join(docs, "_file")
-    after_opening = F.col("place") > F.col("opens")
+    opening, after_opening = F.col("place") == F.col("opens"), F.col("place") > F.col("opens")
     at_list = ~F.col("s") & (F.col("t") == F.col("level")) & after_opening
-    closing = F.when(at_list & F.startswith(F.ltrim("value", F.lit(" \t\n\r")), F.lit("]")), F.col("place"))
-    docs = write_through(inner.groupBy("_file").agg(F.min(closing).alias("closes")), "json-lists")
-    if docs.where("closes IS NULL").count():
-        return None, True
-    inner = inner.join(docs, "_file")
-    opening = F.col("place") == F.col("opens")
     # In the piece where the list begins, what comes up to its bracket belongs to the text around it.
     bracket = F.when(F.col("form") == "[", F.instr("value", "[")).otherwise(F.col("offset"))
-    ahead = F.when(opening, bracket).otherwise(0)
-    rest = F.expr("substr(value, ahead + 1)")
-    inner = inner.withColumn("ahead", ahead).withColumn("rest", rest).withColumn("brace", F.instr("rest", "{"))
+    inner = inner.withColumn("ahead", F.when(opening, bracket).otherwise(0))
+    inner = inner.withColumn("rest", F.when(opening, F.expr("substr(value, ahead + 1)")).otherwise(F.col("value")))
+    # A list without elements closes in the piece where it begins.
+    closing = F.when((opening | at_list) & F.startswith(F.ltrim("rest", F.lit(" \t\n\r")), F.lit("]")), F.col("place"))
+    marks = inner.select("_file", "opens", closing.alias("closes"))
+    docs = write_through(marks.groupBy("_file").agg(F.min("closes").alias("closes"), (F.min("closes") > F.first("opens")).alias("filled")), "json-lists")
+    unclosed, filled = docs.agg(F.count(F.when(F.col("closes").isNull(), 1)), F.bool_or("filled")).first()
+    if unclosed or not filled:
+        return None, True
+    inner = inner.join(docs.drop("filled"), "_file").withColumn("brace", F.instr("rest", "{"))
     before_list, after_list = F.col("place") < F.col("opens"), F.col("place") >= F.col("closes")
-    begins = opening | (at_list & ~after_list)
+    begins = (opening | at_list) & ~after_list
     gap = F.trim(F.expr("substr(rest, 1, brace - 1)"), F.lit(" \t\n\r"))
     wrong = begins & ((F.col("brace") == 0) | (gap != F.when(opening, F.lit("")).otherwise(F.lit(","))))
     brace = F.when((F.col("place") == F.col("last")) & ~F.col("closed"), F.lit("")).otherwise(F.lit("}"))

@@ -129,6 +129,41 @@ def test_other_json_is_left_to_the_whole_reader(spark, tmp_path, text):
     assert read_batch(spark, "entities", str(tmp_path / "x.json")).fatal or text == "[]"
 
 
+EMPTY_LISTS = ["[]", " [ \n] ", '{"records": []}', '{"source": {"name": "}{"}, "records": [\t], "end": [{}]}']
+
+
+def test_empty_lists_do_not_send_other_documents_to_the_whole_reader(spark, tmp_path, small_splits):
+    """Partitions without rows are written as documents without elements."""
+    rows = [{"n": k, "v": "]}[{"} for k in range(60)]
+    for k, text in enumerate([EMPTY_LISTS[0], json.dumps(rows[:25]), *EMPTY_LISTS[1:], json.dumps({"a": [], "records": rows[25:]}), EMPTY_LISTS[3]]):
+        (tmp_path / f"{k}.json").write_text(text)
+    found, balanced = pieces.json_elements(spark, str(tmp_path))
+    assert found is not None and balanced
+    got = sorted(found.collect(), key=lambda r: r["_row"])
+    assert [r["_row"] for r in got] == list(range(1, 61)) and [json.loads(r["value"]) for r in got] == rows
+
+
+@pytest.mark.parametrize("text, code", [('{"records": [], "b": }', "malformed_json"), ('[[{"a": 1}]]', "invalid_json_structure")])
+def test_what_only_begins_like_an_empty_list_is_refused(spark, tmp_path, text, code):
+    (tmp_path / "0.json").write_text('[{"a": 1}]')
+    (tmp_path / "1.json").write_text(text)
+    assert pieces.json_elements(spark, str(tmp_path))[0] is None
+    folder = tmp_path / "up.json"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"{k}.json").write_text((tmp_path / f"{k}.json").read_text())
+    assert read_batch(spark, "entities", str(folder)).fatal == (code,)
+
+
+def test_a_folder_of_empty_lists_has_no_rows(spark, tmp_path):
+    folder = tmp_path / "up.json"
+    folder.mkdir()
+    for k, text in enumerate(EMPTY_LISTS):
+        (folder / f"{k}.json").write_text(text)
+    batch = read_batch(spark, "entities", str(folder))
+    assert batch.fatal == () and batch.row_count == 0 and batch.rows.count() == 0
+
+
 def test_json_uploads_are_numbered_over_files(spark, tmp_path, small_splits):
     folder = tmp_path / "up.json"
     folder.mkdir()
